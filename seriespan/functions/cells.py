@@ -300,10 +300,14 @@ def to_codes(cells: DataFrame, dictionary: DataFrame, keys: Sequence[str], cell:
 
 def decode(samples: DataFrame, dictionary: DataFrame, keys: Sequence[str], code: str = "code") -> DataFrame:
     """Code to label; an unknown code stays as its text."""
-    d = dictionary.select(*keys, F.col("code").alias("_code"), F.col("label").alias("_label"))
-    return (
-        samples.join(d, [*[samples[k] == d[k] for k in keys], samples[code] == d["_code"]], "left")
-        .select(*[samples[c] for c in samples.columns], F.coalesce("_label", samples[code].cast("string")).alias("state"))
+    d = dictionary.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("code").alias("_code"), F.col("label").alias("_label")
+    )
+    same = F.col(code) == F.col("_code")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return samples.join(d, same, "left").select(
+        *samples.columns, F.coalesce("_label", F.col(code).cast("string")).alias("state")
     )
 
 

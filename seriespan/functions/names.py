@@ -106,10 +106,10 @@ def assign_roles(channels: DataFrame, roles: DataFrame, cutoff: float = 0.85, na
 def _closest(names: DataFrame, exact_keys: DataFrame, cutoff: float) -> DataFrame:
     """Best synonym per remaining distinct key by sequence similarity.
 
-    The candidate list (a configuration catalogue) rides along as one broadcast
-    row; each batch scores its own names against it.
+    The candidate list (a configuration catalogue) comes from a scalar subquery;
+    each batch scores its own names against it.
     """
-    candidates = exact_keys.agg(F.sort_array(F.collect_list(F.struct("key", "_r"))).alias("_c"))
+    candidates = exact_keys.agg(F.sort_array(F.collect_list("key")).alias("c")).scalar()
 
     @F.pandas_udf("struct<key:string,ratio:double>")
     def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -124,9 +124,8 @@ def _closest(names: DataFrame, exact_keys: DataFrame, cutoff: float) -> DataFram
             yield pd.DataFrame(rows, columns=["key", "ratio"])
 
     scored = (
-        names.withColumn("_one", F.lit(1))
-        .join(F.broadcast(candidates.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("_best", best("key", F.transform("_c", lambda x: x["key"])))
+        names.withColumn("_c", candidates)
+        .withColumn("_best", best("key", "_c"))
         .filter(F.col("_best.key").isNotNull())
     )
     keyed = exact_keys.select(F.col("key").alias("_k"), "_r")

@@ -78,15 +78,15 @@ def step_responses(grid: DataFrame, actual: str, target: str, lim: StepLimits) -
         (F.col("t_end") - F.col("t_start") >= lim.settled_s * 1000) & (F.col("n") >= lim.settled_samples)
     )
     settled = settled.select(
-        "log_id", "step", F.col("t_start").alias("_t_in"), F.col("i_end").alias("_i_end"),
+        F.col("log_id").alias("_l"), F.col("step").alias("_s"), F.col("t_start").alias("_t_in"), F.col("i_end").alias("_i_end"),
         F.col("n").alias("steady_samples"), F.col("_error"),
     )
     w = windows.join(last, "log_id")
     out = w.join(
         settled,
-        (w["log_id"] == settled["log_id"]) & (w["step"] == settled["step"]) & (w["_end"]["seq"] == settled["_i_end"]),
+        (F.col("log_id") == F.col("_l")) & (F.col("step") == F.col("_s")) & (F.col("_end.seq") == F.col("_i_end")),
         "left",
-    ).drop(settled["log_id"]).drop(settled["step"])
+    )
     done = F.col("_t_in").isNotNull()
     verdict = (
         F.when(F.col("kind") == "fall", "fall")

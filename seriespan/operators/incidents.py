@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .config import with_each
 from .plausibility import SEVERITIES, severity_rank
 
 COLUMNS = ["log_id", "detector", "t_start", "t_end", "severity", "detail"]
@@ -96,8 +97,7 @@ def detector_states(
     emit an affected severity and a role is unconfirmed.
     """
     needed = detectors.select("detector", F.explode_outer("roles").alias("role"))
-    logs = log_roles.select("log_id").distinct().withColumn("_one", F.lit(1))
-    grid = logs.join(F.broadcast(needed.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    grid = with_each(log_roles.select("log_id").distinct(), needed)
     have = log_roles.groupBy("log_id", "role").agg(F.max("confirmed").alias("_c"))
     met = grid.join(have, ["log_id", "role"], "left")
     lists = met.groupBy("log_id", "detector").agg(

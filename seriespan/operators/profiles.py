@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .config import with_each
+
 # Fixed value: confidence levels, best first.
 CONFIDENCE = ["exact", "indexed", "fuzzy", "manual"]
 
@@ -29,27 +31,22 @@ def apply_profiles(elements: DataFrame, channels: DataFrame) -> DataFrame:
         channels.filter(F.col("role").isNotNull())
         .withColumn("_k", F.row_number().over(best))
         .filter("_k = 1")
-        .select("log_id", F.col("role").alias("_r"), F.col("role_index").alias("_i"), F.col("channel_id").alias("_by_role"))
+        .select(F.col("log_id").alias("_l"), F.col("role").alias("_r"), F.col("role_index").alias("_i"), F.col("channel_id").alias("_by_role"))
     )
     by_id = (
         channels.filter(F.col("native_id").isNotNull())
-        .groupBy("log_id", F.col("native_id").alias("_n"))
+        .groupBy(F.col("log_id").alias("_m"), F.col("native_id").alias("_n"))
         .agg(F.min("channel_id").alias("_by_id"))
     )
-    per_log = (
-        channels.select("log_id").distinct().withColumn("_one", F.lit(1))
-        .join(F.broadcast(elements.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    )
+    per_log = with_each(channels.select("log_id").distinct(), elements)
+    role, index = F.col("role"), F.col("role_index")
     out = per_log.join(
-        by_role,
-        (per_log["log_id"] == by_role["log_id"]) & (per_log["role"] == by_role["_r"])
-        & per_log["role_index"].eqNullSafe(by_role["_i"]),
-        "left",
-    ).drop(by_role["log_id"])
+        by_role, (F.col("log_id") == F.col("_l")) & (role == F.col("_r")) & index.eqNullSafe(F.col("_i")), "left"
+    )
     out = out.join(
-        by_id, (out["log_id"] == by_id["log_id"]) & (out["native_id"] == by_id["_n"]) & out["role"].isNull(), "left"
-    ).drop(by_id["log_id"])
-    return out.withColumn("served_by", F.coalesce("_by_role", "_by_id")).drop("_r", "_i", "_by_role", "_n", "_by_id")
+        by_id, (F.col("log_id") == F.col("_m")) & (F.col("native_id") == F.col("_n")) & role.isNull(), "left"
+    )
+    return out.withColumn("served_by", F.coalesce("_by_role", "_by_id")).drop("_l", "_r", "_i", "_by_role", "_m", "_n", "_by_id")
 
 
 def panel_states(applied: DataFrame) -> DataFrame:
@@ -88,7 +85,7 @@ def suggest(
         all_roles = referenced.unionByName(only_limits)
     have = from_panels.distinct().groupBy("log_id", "profile").agg(F.count(F.lit(1)).alias("available"))
     totals = all_roles.groupBy("profile").agg(F.count(F.lit(1)).alias("roles"))
-    grid = logs.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    grid = with_each(logs, totals)
     out = grid.join(have, ["log_id", "profile"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
     out = out.withColumn("share", F.coalesce(F.try_divide(F.col("available").cast("double"), F.col("roles")), F.lit(0.0)))
     w = Window.partitionBy("log_id").orderBy(F.col("share").desc(), F.col("available").desc(), "profile")
@@ -110,8 +107,8 @@ def reapply_import(saved: DataFrame, current: DataFrame, files: DataFrame, profi
     """
     p = profile.select(
         "profile", F.col("delimiter").alias("_d"), F.col("encoding").alias("_e"), F.col("fingerprint").alias("_f")
-    ).withColumn("_one", F.lit(1))
-    pairs = files.withColumn("_one", F.lit(1)).join(F.broadcast(p), "_one").drop("_one")
+    )
+    pairs = with_each(files, p)
     cur = pairs.join(current, "file").select("file", "profile", "key", F.col("name").alias("_cn"), F.col("decision").alias("_cd"))
     old = pairs.select("file", "profile").join(
         F.broadcast(saved.select("profile", "key", F.col("name").alias("_sn"), F.col("decision").alias("_sd"), "origin")), "profile"
