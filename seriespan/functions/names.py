@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +13,18 @@ SEPARATORS = r"[\s_\-./\\()\[\]{}:,;+]+"
 _ASCII = "^[\\x00-\\x7F]*$"
 
 
-@F.pandas_udf("string")
-def _strip_marks(names: pd.Series) -> pd.Series:
+def _strip_marks(name: Column) -> Column:
     """NFKD without combining marks; only names outside ASCII come here."""
-    return names.map(
-        lambda s: None
-        if s is None
-        else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    )
+
+    @F.pandas_udf("string")
+    def strip(names: pd.Series) -> pd.Series:
+        return names.map(
+            lambda s: None
+            if s is None
+            else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+        )
+
+    return strip(name)
 
 
 def normalise(name: Column) -> Column:
@@ -34,7 +36,7 @@ def with_normalised(df: DataFrame, name: str, out: str) -> DataFrame:
     """Append the fully normalised name, resolving accents on the distinct names."""
     odd = (
         df.select(F.col(name).alias("_name")).filter(~F.col("_name").rlike(_ASCII)).distinct()
-        .withColumn("_plain", _strip_marks("_name"))
+        .withColumn("_plain", _strip_marks(F.col("_name")))
     )
     return (
         df.join(odd, df[name] == odd["_name"], "left")
@@ -90,12 +92,12 @@ def assign_roles(channels: DataFrame, roles: DataFrame, cutoff: float = 0.85, na
     hits = (
         rest.withColumn("_stem", stem)
         .join(F.broadcast(patterns), "_stem")
-        .filter(F.col("key").rlike(F.col("pattern")))
+        .filter(F.rlike("key", F.col("pattern")))
     )
     indexed = hits.groupBy("name", "key").agg(F.min_by(F.struct("role", "synonym", "pattern"), order).alias("_r")).select(
         "name", "key", "_r.role", "_r.synonym",
         F.lit("indexed").alias("confidence"),
-        F.regexp_extract("key", F.col("_r.pattern"), 1).try_cast("int").alias("index"),
+        F.expr("regexp_extract(key, _r.pattern, 1)").try_cast("int").alias("index"),
         F.lit(1.0).alias("ratio"),
     )
     rest = rest.join(indexed.select("key"), "key", "left_anti")
@@ -106,28 +108,22 @@ def assign_roles(channels: DataFrame, roles: DataFrame, cutoff: float = 0.85, na
 def _closest(names: DataFrame, exact_keys: DataFrame, cutoff: float) -> DataFrame:
     """Best synonym per remaining distinct key by sequence similarity.
 
-    The candidate list (a configuration catalogue) comes from a scalar subquery;
-    each batch scores its own names against it.
+    The candidates are the catalogue's synonyms, a few hundred strings of
+    configuration read on the driver and shipped with the function.
     """
-    candidates = exact_keys.agg(F.sort_array(F.collect_list("key")).alias("c")).scalar()
+    pool = sorted(r.key for r in exact_keys.select("key").collect())
 
     @F.pandas_udf("struct<key:string,ratio:double>")
-    def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for keys, lists in batches:
-            pool = list(lists.iloc[0]) if len(lists) else []
-            rows = []
-            for key in keys:
-                near = difflib.get_close_matches(key, pool, n=1, cutoff=cutoff)
-                rows.append(
-                    (near[0], difflib.SequenceMatcher(None, key, near[0]).ratio()) if near else (None, None)
-                )
-            yield pd.DataFrame(rows, columns=["key", "ratio"])
-
-    scored = (
-        names.withColumn("_c", candidates)
-        .withColumn("_best", best("key", "_c"))
-        .filter(F.col("_best.key").isNotNull())
-    )
+    def best(keys: pd.Series) -> pd.DataFrame:
+        rows = []
+        for key in keys:
+            near = difflib.get_close_matches(key, pool, n=1, cutoff=cutoff)
+            rows.append(
+                (near[0], difflib.SequenceMatcher(None, key, near[0]).ratio()) if near else (None, None)
+            )
+        return pd.DataFrame(rows, columns=["key", "ratio"])
+
+    scored = names.withColumn("_best", best("key")).filter(F.col("_best.key").isNotNull())
     keyed = exact_keys.select(F.col("key").alias("_k"), "_r")
     return scored.join(F.broadcast(keyed), F.col("_best.key") == F.col("_k")).select(
         "name", "key", "_r.role", "_r.synonym",

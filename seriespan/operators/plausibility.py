@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.units import (
@@ -40,63 +40,65 @@ class PlausibilityLimits:
 
 
 def hypotheses(
-    spark: SparkSession, lim: PlausibilityLimits, reference_kpa: float | None = DEFAULT_REFERENCE_KPA
-) -> DataFrame:
-    """Corrections to try per dimension, in order; under twenty per dimension.
+    dimension: str | None, lim: PlausibilityLimits, reference_kpa: float | None = DEFAULT_REFERENCE_KPA
+) -> list[tuple]:
+    """Corrections to try for a dimension, in order; fewer than twenty.
 
     A correction maps ``v`` to ``(v - b) / a + shift`` or ``a / v``: the units of
     the dimension (the stoichiometric one first), a missing gauge reference, then
-    plain factors by the size of their logarithm.
+    plain factors by the size of their logarithm. Rows are ``(diagnosis, unit, kind,
+    a, b, shift, factor)``.
     """
-    rows = []
-    dims = list(dict.fromkeys(r[0] for r in UNITS)) + ["*"]
-    for dim in dims:
-        tries = []
-        if dim != "*" and dim not in NOT_CONVERTIBLE:
-            others = sorted(units_of(dim)[1:], key=lambda c: c.parameter_role != "stoichiometry")
-            for c in others:
-                diagnosis = "afr_for_lambda" if c.parameter_role == "stoichiometry" else "wrong_unit"
-                factor = None if c.kind == RECIPROCAL or c.b != 0 else 1.0 / c.a
-                tries.append((diagnosis, c.unit, c.kind, c.a, c.b, 0.0, factor))
-            if dim in GAUGE_DIMENSIONS and reference_kpa is not None:
-                tries.append(("gauge_without_reference", None, AFFINE, 1.0, 0.0, reference_kpa, None))
-        for f in sorted(lim.factors, key=lambda x: abs(math.log(abs(x)))):
-            tries.append(("inverted_sign" if abs(f) == 1 else "wrong_scale", None, AFFINE, 1.0 / f, 0.0, 0.0, f))
-        rows += [(dim, i, *t) for i, t in enumerate(tries)]
-    return spark.createDataFrame(
-        rows,
-        "hdim string, ord int, diagnosis string, unit string, kind string, a double, b double, shift double, factor double",
+    tries: list[tuple] = []
+    if dimension is not None and dimension not in NOT_CONVERTIBLE:
+        for c in sorted(units_of(dimension)[1:], key=lambda c: c.parameter_role != "stoichiometry"):
+            diagnosis = "afr_for_lambda" if c.parameter_role == "stoichiometry" else "wrong_unit"
+            factor = None if c.kind == RECIPROCAL or c.b != 0 else 1.0 / c.a
+            tries.append((diagnosis, c.unit, c.kind, c.a, c.b, 0.0, factor))
+        if dimension in GAUGE_DIMENSIONS and reference_kpa is not None:
+            tries.append(("gauge_without_reference", None, AFFINE, 1.0, 0.0, reference_kpa, None))
+    for f in sorted(lim.factors, key=lambda x: abs(math.log(abs(x)))):
+        tries.append(("inverted_sign" if abs(f) == 1 else "wrong_scale", None, AFFINE, 1.0 / f, 0.0, 0.0, f))
+    return tries
+
+
+TRY = "struct<diagnosis:string,unit:string,kind:string,a:double,b:double,shift:double,factor:double>"
+
+
+def _with_tries(roles: DataFrame, lim: PlausibilityLimits) -> tuple[DataFrame, int]:
+    """Roles with the corrections of their dimension, and the longest list."""
+    known = list(dict.fromkeys(r[0] for r in UNITS))
+    table = {dim: hypotheses(dim, lim) for dim in known}
+    other = hypotheses(None, lim)
+    frame = roles.sparkSession.createDataFrame(
+        [*table.items(), ("*", other)], f"_dim string, tries array<{TRY}>"
     )
-
-
-def _corrected(v: Column, stoichiometry: float | None) -> Column:
-    a = F.col("a")
-    if stoichiometry is not None:
-        a = F.when(F.col("kind") == PARAMETRIC_KIND, F.lit(float(stoichiometry))).otherwise(a)
-    return F.when(F.col("kind") == RECIPROCAL, F.try_divide(a, v)).otherwise(
-        (v - F.col("b")) / a + F.col("shift")
+    keyed = roles.withColumn(
+        "_key", F.when(F.col("role_dim").isin(known), F.col("role_dim")).otherwise("*")
     )
+    out = keyed.join(F.broadcast(frame), F.col("_key") == F.col("_dim"), "left").drop("_key", "_dim")
+    return out, max(len(t) for t in [*table.values(), other])
 
 
 def evaluate(
     samples: DataFrame,
     channels: DataFrame,
     roles: DataFrame,
-    tries: DataFrame,
     lim: PlausibilityLimits,
     *,
     sentinels: Sequence[float] = (),
     stoichiometry: float | None = None,
 ) -> DataFrame:
-    """One finding per channel.
+    """One finding per channel, from a single pass over the samples.
 
     ``channels(log_id, channel_id, role, confidence, dim)``, ``roles(role, role_dim,
-    lo, hi, critical)``. The first pass counts; only channels that are out of range
-    beyond an excursion go through the second one, where each sample meets the few
-    corrections of its role's dimension and is counted map-side at once.
+    lo, hi, critical)``. Each row is tested against its role's range as it is and
+    under every correction of its dimension; the counters are plain sums that
+    combine map-side, so nothing is expanded or read twice.
     """
     keys = ["log_id", "channel_id"]
-    info = channels.join(F.broadcast(roles), "role", "left")
+    config, slots = _with_tries(roles, lim)
+    info = channels.join(F.broadcast(config), "role", "left")
     rows = samples.select(*keys, "v").join(info, keys)
     v = F.col("v")
     marked = F.coalesce(v.isin([float(s) for s in sentinels]), F.lit(False)) if sentinels else F.lit(False)
@@ -107,6 +109,13 @@ def evaluate(
         high = F.when(F.col("hi").isNull(), False).otherwise(F.coalesce(x > F.col("hi"), F.lit(True)))
         return low | high
 
+    def corrected(t: Column) -> Column:
+        a = t["a"]
+        if stoichiometry is not None:
+            a = F.when(t["kind"] == PARAMETRIC_KIND, F.lit(float(stoichiometry))).otherwise(a)
+        return F.when(t["kind"] == RECIPROCAL, F.try_divide(a, v)).otherwise((v - t["b"]) / a + t["shift"])
+
+    bad = [F.count_if(good & out_of(corrected(F.get("tries", F.lit(i))))).alias(f"_bad_{i}") for i in range(slots)]
     counted = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(v.isNull()).alias("gaps"),
@@ -115,6 +124,7 @@ def evaluate(
         F.count_if(good & out_of(v)).alias("outside"),
         F.min(F.when(good, v)).alias("v_min"),
         F.max(F.when(good, v)).alias("v_max"),
+        *bad,
     )
     base = info.join(counted, keys, "left").fillna(0, ["n", "gaps", "sentinels", "valid", "outside"])
     share = F.coalesce(F.try_divide(F.col("outside").cast("double"), F.col("valid")), F.lit(0.0))
@@ -133,27 +143,15 @@ def evaluate(
         .when(F.col("outside") == 0, "plausible")
         .when(F.col("outside_share") <= lim.max_excursion, "excursion")
     )
-    base = base.withColumn("outside_share", share).withColumn("_verdict", verdict)
-    suspects = base.filter(F.col("_verdict").isNull()).select(*keys, "role_dim", "lo", "hi")
-    known_dims = tries.select("hdim").distinct()
-    suspects = suspects.join(F.broadcast(known_dims), suspects["role_dim"] == known_dims["hdim"], "left").withColumn(
-        "hdim", F.coalesce("hdim", F.lit("*"))
-    )
-    tested = (
-        samples.select(*keys, "v")
-        .filter(good)
-        .join(suspects, keys)
-        .join(F.broadcast(tries), "hdim")
-        .groupBy(*keys, "ord", "diagnosis", "unit", "factor")
-        .agg(F.avg(out_of(_corrected(v, stoichiometry)).cast("int")).alias("fixed_share"))
-        .filter(F.col("fixed_share") <= lim.max_after_fix)
-    )
-    found = tested.groupBy(*keys).agg(
-        F.min_by(F.struct("diagnosis", "unit", "factor", "fixed_share"), "ord").alias("_h")
-    )
-    out = base.join(found, keys, "left").withColumn(
-        "diagnosis", F.coalesce("_verdict", F.col("_h.diagnosis"), F.lit("unexplained"))
+    tested = F.zip_with(
+        "tries",
+        F.slice(F.array(*[F.col(f"_bad_{i}") for i in range(slots)]), F.lit(1), F.size("tries")),
+        lambda t, n: F.struct(t.alias("t"), F.try_divide(n.cast("double"), F.col("valid")).alias("share")),
     )
+    passing = F.filter(tested, lambda x: x["share"] <= lim.max_after_fix)
+    out = base.withColumn("outside_share", share).withColumn("_verdict", verdict)
+    out = out.withColumn("_fix", F.when(F.col("_verdict").isNull(), F.get(passing, F.lit(0))))
+    out = out.withColumn("diagnosis", F.coalesce("_verdict", F.col("_fix.t.diagnosis"), F.lit("unexplained")))
     critical = F.coalesce("critical", F.lit(False))
     severity = (
         F.when(F.col("diagnosis").isin(DEFECTS), F.when(critical, "critica").otherwise("alta"))
@@ -164,9 +162,9 @@ def evaluate(
     return out.select(
         *keys, "role", "diagnosis", severity.alias("severity"),
         "n", "valid", "gaps", "sentinels", "outside", "outside_share", "v_min", "v_max",
-        F.when(F.col("_verdict").isNull(), F.col("_h.unit")).alias("likely_unit"),
-        F.when(F.col("_verdict").isNull(), F.col("_h.factor")).alias("factor"),
-        F.when(F.col("_verdict").isNull(), F.col("_h.fixed_share")).alias("fixed_share"),
+        F.col("_fix.t.unit").alias("likely_unit"),
+        F.col("_fix.t.factor").alias("factor"),
+        F.col("_fix.share").alias("fixed_share"),
         (F.col("confidence") == "fuzzy").alias("unconfirmed"),
     )
 
