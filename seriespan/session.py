@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,3 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         return configured
     return tempfile.mkdtemp(prefix="seriespan-")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it from there.
+
+    Cuts the lineage of results that many later steps use, and survives the loss of
+    executors. Only for results much smaller than the data.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
