@@ -204,11 +204,12 @@ def pressure_reference(
 ) -> DataFrame:
     """Reference per log: declared, else median pressure at standstill, else the constant."""
     from ..operators.align import role_grid
+    from ..operators.ordered import has_splits
     from ..operators.quantiles import quantiles
 
     grid = role_grid(samples, pressure, [speed], window_ms)
     still = grid.filter(F.col(speed) == 0)
-    measured = quantiles(still, ["log_id"], pressure, {"_measured": 0.5})
+    measured = quantiles(still, ["log_id"], pressure, {"_measured": 0.5}, check=has_splits(grid))
     d = F.lit(None).cast("double") if declared is None else declared
     return logs.join(measured, "log_id", "left").select(
         *logs.columns,

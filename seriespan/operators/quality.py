@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import CHANNEL_FILE, LOG_FILE, Axis, scan
+from .ordered import CHANNEL_FILE, LOG_FILE, Axis, has_splits, scan
 from .quantiles import quantiles
 
 STAT_QUANTILES = {"p1": 0.01, "p5": 0.05, "p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -17,9 +17,12 @@ def steps(samples: DataFrame, axis: Axis = CHANNEL_FILE, t: str = "t_ms") -> Dat
 
 
 def typical_period(samples: DataFrame, axis: Axis = CHANNEL_FILE, t: str = "t_ms") -> DataFrame:
-    """Median of the positive time steps per series; series without one are absent."""
+    """Median of the positive time steps per series; series without one are absent.
+
+    Samples without splits have no oversized series, so neither have their steps.
+    """
     d = steps(samples, axis, t).filter(F.col("dt") > 0)
-    return quantiles(d, list(axis.keys), "dt", {"period_ms": 0.5})
+    return quantiles(d, list(axis.keys), "dt", {"period_ms": 0.5}, check=has_splits(samples))
 
 
 def gaps(samples: DataFrame, factor: float = 3.0, axis: Axis = CHANNEL_FILE, t: str = "t_ms") -> DataFrame:

@@ -11,10 +11,19 @@ from .ordered import SPLIT, Axis, attach_splits, has_splits, scan
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], target_rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    target_rows: int | None = None,
+    *,
+    check: bool = True,
 ) -> DataFrame:
     """One row per key with a column per name in ``probs``; NULL values are ignored.
 
+    ``check=False`` skips counting the rows per key, for callers that already know
+    that no key is oversized.
+
     Ordinary keys use the exact ``percentile`` aggregate. Its state is one hash map
     per key, so an oversized key is ranked instead: distinct values are counted
     map-side, a chunked running count gives the ranks, and the two order statistics
@@ -22,6 +31,8 @@ def quantiles(
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if not check:
+        return _by_percentile(rows, keys, probs)
     axis = Axis(tuple(keys), "_v")
     marked = attach_splits(rows, axis, **({"target_rows": target_rows} if target_rows else {}))
     names = list(probs)

@@ -48,4 +48,7 @@ def load() -> None:
         import_module(f"{__name__}.{module}")
 
 
-MODULES = ["conditions", "windows", "meshes", "rollups", "quality", "units", "phases", "catalogue", "logs", "cells", "detectors", "analyses"]
+MODULES = [
+    "conditions", "windows", "meshes", "rollups", "quality", "units", "phases", "catalogue", "logs", "cells",
+    "detectors", "analyses", "ingest",
+]

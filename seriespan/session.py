@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,19 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (unit
     tests on one machine) a temporary folder is used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="seriespan-")
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and read it from there.
 
-    Cuts the lineage of results that many later steps use, and survives the loss of
-    executors. Only for results much smaller than the data.
+    Cuts the lineage of results that many later steps use, survives the loss of
+    executors, and gives the planner real sizes to choose joins by. Only for results
+    much smaller than the data.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

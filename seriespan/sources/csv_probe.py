@@ -7,11 +7,14 @@ sample is the feature: the dialect is read off the first 64 kB of a file; pass
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as c
-from ..functions.clock import instant_seconds
+from ..functions.clock import iso_instant, row_clock_seconds
+from ..operators.ordered import SPLIT, Axis, attach_splits, has_splits, runs, scan
 from ..session import settle
 from .lines import field_count, split_fields
 
@@ -27,18 +30,24 @@ SAMPLE_ROWS = 200
 METADATA = r"^\s*([^:=]{1,60}?)\s*[:=]\s*(.*?)\s*$"
 
 
+FILE_LINES = Axis(("file",), "line")
+
+
 def sample_lines(lines: DataFrame, max_bytes: int | None = SAMPLE_BYTES) -> DataFrame:
     """Non-blank lines of each file's sample, renumbered in ``k`` from 0."""
-    if max_bytes is not None:
+    lines = lines.select("file", "line", "text")
+    if max_bytes is None:
+        lines = attach_splits(lines, FILE_LINES)
+    else:
         w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
         lines = (
             lines.filter(F.col("line") < max_bytes)
             .withColumn("_end", F.sum(F.octet_length("text") + 1).over(w))
             .filter(F.col("_end") <= max_bytes)
+            .drop("_end")
         )
-    useful = lines.filter(F.trim("text") != "")
-    k = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    return useful.select("file", "line", k.alias("k"), "text")
+    useful = scan(lines.filter(F.trim("text") != ""), FILE_LINES, total={"_n": F.lit(1).cast("bigint")})
+    return useful.withColumn("k", F.col("_n") - 1).drop("_n")
 
 
 def encodings(lines: DataFrame) -> DataFrame:
@@ -67,23 +76,23 @@ def delimiter_scores(sample: DataFrame) -> DataFrame:
         F.max(F.col("text").contains('"')).alias("_q1"),
         F.max(F.col("text").contains("'")).alias("_q2"),
     )
-    rows = sample.join(present, "file").select("file", "k", "lines", "text", "_q1", "_q2", F.explode(F.array(*tries)).alias("t"))
+    split = [SPLIT] if has_splits(sample) else []
+    rows = sample.join(present, "file").select(
+        "file", "line", "k", *split, "lines", "text", "_q1", "_q2", F.explode(F.array(*tries)).alias("t")
+    )
     rows = rows.filter((F.col("t.q") == 0) | ((F.col("t.q") == 1) & F.col("_q1")) | ((F.col("t.q") == 2) & F.col("_q2")))
     rows = rows.select(
-        "file", "lines", "k", F.col("t.d").alias("d"), F.col("t.q").alias("q"), F.col("t.delimiter").alias("delimiter"),
-        F.col("t.quote").alias("quote"),
+        "file", "line", "k", *split, F.col("t.d").alias("d"), F.col("t.q").alias("q"), "lines",
         field_count(F.col("text"), F.col("t.delimiter"), F.col("t.quote")).alias("fields"),
     )
-    lane = Window.partitionBy("file", "d", "q")
-    change = F.coalesce((F.col("fields") != F.lag("fields").over(lane.orderBy("k"))).cast("int"), F.lit(0))
-    rows = rows.withColumn("_c", change)
-    rows = rows.withColumn("_run", F.sum("_c").over(lane.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy("file", "lines", "d", "q", "delimiter", "quote", "fields", "_run").agg(
-        F.count(F.lit(1)).alias("run"), F.min("k").alias("start")
-    )
+    islands = runs(
+        rows, Axis(("file", "d", "q"), "line"), F.col("fields"),
+        {"start": ("first", F.col("k")), "lines": ("first", F.col("lines"))}, only_true=False,
+    ).withColumnsRenamed({"state": "fields", "n": "run"})
     best = F.max(F.struct(F.col("run"), (-F.col("start")).alias("early"), F.col("fields"))).alias("_b")
-    return islands.groupBy("file", "lines", "d", "q", "delimiter", "quote").agg(best).select(
-        "file", "lines", "d", "q", "delimiter", "quote", F.col("_b.run").alias("run"), (-F.col("_b.early")).alias("start"),
+    marks = F.array(*[F.lit(d) for d in DELIMITERS]), F.array(*[F.lit(q).cast("string") for q in QUOTES])
+    return islands.groupBy("file", "lines", "d", "q").agg(best).select(
+        "file", "lines", "d", "q", F.get(marks[0], F.col("d")).alias("delimiter"), F.get(marks[1], F.col("q")).alias("quote"), F.col("_b.run").alias("run"), (-F.col("_b.early")).alias("start"),
         F.col("_b.fields").alias("fields"),
     ).withColumn("consistency", F.try_divide(F.col("run").cast("double"), F.col("lines") - F.col("start")))
 
@@ -202,7 +211,7 @@ def headers(cells: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str = "k") -> DataFrame:
-    """Time class of each column and its factor to seconds.
+    """Time class of each column, its factor to seconds, first instant and median step.
 
     Rule order: ISO text, clock text, epoch seconds, epoch ms, then non-decreasing
     numbers, which are a counter when they step by one and a relative axis otherwise
@@ -210,15 +219,16 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
     window over the sampled rows of one column.
     """
     t = F.trim("cell")
-    rows = cells.filter(t != "")
-    number = F.when(decimal == ",", F.replace(t, F.lit(","), F.lit("."))).otherwise(t).try_cast("double")
-    rows = rows.withColumns({"_n": number, "_t": t})
-    step = F.col("_n") - F.lag("_n").over(Window.partitionBy(*keys).orderBy(order))
-    rows = rows.withColumn("_d", step)
+    rows = cells.filter(t != "").withColumns({"_t": t, "_dec": decimal})
+    number = F.when(F.col("_dec") == ",", F.replace("_t", F.lit(","), F.lit("."))).otherwise(F.col("_t")).try_cast("double")
+    rows = rows.withColumns({"_iso": F.col("_t").rlike(c.ISO_TIME), "_clock": F.col("_t").rlike(c.CLOCK_TIME), "_n": number})
+    raw = F.when(F.col("_iso"), iso_instant(F.col("_t"))).when(F.col("_clock"), row_clock_seconds(F.col("_t"))).otherwise(F.col("_n"))
+    rows = rows.withColumn("_raw", raw)
+    rows = rows.withColumn("_d", F.col("_raw") - F.lag("_raw").over(Window.partitionBy(*keys).orderBy(order)))
     n = F.col("_n")
     g = rows.groupBy(*keys).agg(
-        F.min(F.col("_t").rlike(c.ISO_TIME)).alias("_iso"),
-        F.min(F.col("_t").rlike(c.CLOCK_TIME)).alias("_clock"),
+        F.min("_iso").alias("_iso"),
+        F.min("_clock").alias("_clock"),
         F.min(F.col("_t").rlike(c.DATE_ONLY)).alias("is_date"),
         F.min(n.isNotNull()).alias("_num"),
         F.min(F.coalesce(n.between(c.EPOCH_MIN_S, c.EPOCH_MAX_S), F.lit(False))).alias("_es"),
@@ -229,6 +239,7 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
         F.count(F.lit(1)).alias("_rows"),
         F.percentile(F.when(F.col("_d") > 0, F.col("_d")), 0.5).alias("_step"),
         F.min_by("_t", order).alias("first_text"),
+        F.min_by("_raw", order).alias("_first"),
     )
     counter = (F.col("_rows") >= 3) & F.col("_whole") & F.col("_ones")
     cls = (
@@ -244,7 +255,10 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
     factor = F.when(F.col("class") == "epoch_ms", 0.001).when(
         (F.col("class") == "relative") & (F.col("_step") > c.LONGEST_SECOND_STEP), 0.001
     ).otherwise(1.0)
-    return g.withColumn("class", cls).withColumn("factor", factor).select(*keys, "class", "factor", "is_date", "first_text")
+    return g.withColumn("class", cls).withColumn("factor", factor).select(
+        *keys, "class", "factor", "is_date", "first_text",
+        (F.col("_first") * F.col("factor")).alias("first_s"), (F.col("_step") * F.col("factor")).alias("step_s"),
+    )
 
 
 def data_rows(cells: DataFrame, found: DataFrame, rows: int | None = SAMPLE_ROWS) -> DataFrame:
@@ -270,36 +284,19 @@ def time_column(
     """
     rows = data.join(decimal.select("file", "decimal"), "file")
     classes = time_classes(rows, ["file", "col"], F.col("decimal"))
-    chosen = classes.filter("class IS NOT NULL").groupBy("file").agg(
-        F.min_by(F.struct("col", "class", "factor"), "col").alias("_t")
-    ).select("file", F.col("_t.col").alias("col"), F.col("_t.class").alias("class"), F.col("_t.factor").alias("factor"))
-    dates = classes.filter("is_date").groupBy("file").agg(F.min_by(F.struct("col", "first_text"), "col").alias("_d")).select(
-        "file", F.col("_d.col").alias("date_col"), F.col("_d.first_text").alias("date_text")
+    axis = F.struct("col", "class", "factor", "first_s", "step_s")
+    out = classes.groupBy("file").agg(
+        F.min_by(axis, F.when(F.col("class").isNotNull(), F.col("col"))).alias("_t"),
+        F.min_by(F.struct("col", "first_text"), F.when(F.col("is_date"), F.col("col"))).alias("_d"),
     )
-    files = rows.select("file", "decimal").distinct()
-    out = files.join(chosen, "file", "left").join(dates, "file", "left")
+    out = out.select("file", "_t.*", F.col("_d.col").alias("date_col"), F.col("_d.first_text").alias("date_text"))
     joined = (F.col("class") == "clock") & F.col("date_col").isNotNull()
     out = out.withColumn("class", F.when(joined, "date_and_clock").otherwise(F.coalesce("class", F.lit("absent"))))
-    kind = F.when(F.col("class") == "date_and_clock", "clock").otherwise(F.col("class"))
-    instant = F.when(F.col("decimal") == ",", instant_seconds(F.col("cell"), F.col("_kind"), F.col("factor"), ",")).otherwise(
-        instant_seconds(F.col("cell"), F.col("_kind"), F.col("factor"))
-    )
-    seconds = (
-        rows.join(out.select("file", "col", kind.alias("_kind"), "factor"), ["file", "col"])
-        .filter(F.trim("cell") != "")
-        .select("file", "k", instant.alias("_s"))
-    )
-    step = F.col("_s") - F.lag("_s").over(Window.partitionBy("file").orderBy("k"))
-    axis = seconds.withColumn("_d", step).groupBy("file").agg(
-        F.min_by("_s", "k").alias("first_s"), F.percentile(F.when(F.col("_d") > 0, F.col("_d")), 0.5).alias("step_s")
-    )
     if metadata_date is None:
         out = out.withColumn("_date", F.lit(None).cast("date"))
     else:
         out = out.join(metadata_date.select("file", F.col("date").alias("_date")), "file", "left")
-    out = out.join(axis, "file", "left").join(
-        head.select("file", F.col("pos").alias("col"), "name"), ["file", "col"], "left"
-    )
+    out = out.join(head.select("file", F.col("pos").alias("col"), "name"), ["file", "col"], "left")
     hz = F.lit(None).cast("double") if declared_hz is None else F.lit(float(declared_hz))
     synthetic = F.col("class").isin("counter", "absent")
     day = F.coalesce(
@@ -344,31 +341,56 @@ def column_types(data: DataFrame, decimal: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def probe(
-    lines: DataFrame, *, declared_hz: float | None = None, max_bytes: int | None = SAMPLE_BYTES
-) -> dict[str, DataFrame]:
-    """All probe tables of a set of files.
+class Probe:
+    """Probe tables of a set of files, each computed when first asked for.
 
-    Every step feeds several later ones, so each is settled: the sample is at most
-    64 kB per file and what follows only shrinks.
+    Every step feeds several later ones, so the steps are settled: the sample is at
+    most 64 kB per file and what follows only shrinks.
     """
-    sample = sample_lines(lines, max_bytes)
-    encoding = settle(encodings(sample))
-    sample = settle(decode_text(sample, encoding))
-    dialect = settle(dialects(sample))
-    cells = settle(sample_cells(sample, dialect))
-    decimal = settle(decimals(cells, dialect))
-    found = settle(structure(sample, cells, decimal))
-    head = settle(headers(cells, found))
-    data = data_rows(cells, found)
-    return {
-        "sample": sample,
-        "encodings": encoding,
-        "dialects": dialect,
-        "decimals": decimal,
-        "structure": found,
-        "headers": head,
-        "metadata": preamble_metadata(sample, found),
-        "time": settle(time_column(data, decimal, head, declared_hz=declared_hz)),
-        "types": column_types(data, decimal),
-    }
+
+    def __init__(self, lines: DataFrame, *, declared_hz: float | None = None, max_bytes: int | None = SAMPLE_BYTES):
+        self.lines, self.declared_hz, self.max_bytes = lines, declared_hz, max_bytes
+
+    @cached_property
+    def _raw_sample(self) -> DataFrame:
+        return settle(sample_lines(self.lines, self.max_bytes))
+
+    @cached_property
+    def encodings(self) -> DataFrame:
+        return settle(encodings(self._raw_sample))
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        return decode_text(self._raw_sample, self.encodings)
+
+    @cached_property
+    def dialects(self) -> DataFrame:
+        return settle(dialects(self.sample))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return sample_cells(self.sample, self.dialects)
+
+    @cached_property
+    def decimals(self) -> DataFrame:
+        return settle(decimals(self.cells, self.dialects))
+
+    @cached_property
+    def structure(self) -> DataFrame:
+        return settle(structure(self.sample, self.cells, self.decimals))
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return settle(headers(self.cells, self.structure))
+
+    @property
+    def metadata(self) -> DataFrame:
+        return preamble_metadata(self.sample, self.structure)
+
+    @cached_property
+    def time(self) -> DataFrame:
+        data = data_rows(self.cells, self.structure)
+        return settle(time_column(data, self.decimals, self.headers, declared_hz=self.declared_hz))
+
+    def types(self, rows: int | None = SAMPLE_ROWS) -> DataFrame:
+        return column_types(data_rows(self.cells, self.structure, rows), self.decimals)

@@ -146,40 +146,39 @@ def csv_dir(tmp_path_factory):
 @pytest.fixture(scope="module")
 def probed(spark, csv_dir):
     lines = read_lines(spark, csv_dir)
-    out = cp.probe(lines.cache(), declared_hz=20.0)
-    return lines, out
+    return lines, cp.Probe(lines.cache(), declared_hz=20.0)
 
 
 def test_dialects(probed):
     _, p = probed
-    got = {k: (r.delimiter, r.quote, r.fields) for k, r in by_name(p["dialects"].collect()).items()}
+    got = {k: (r.delimiter, r.quote, r.fields) for k, r in by_name(p.dialects.collect()).items()}
     assert got["plain.csv"] == (",", None, 3)
     assert got["comma.csv"] == (";", None, 3)
     assert got["tab.csv"] == ("\t", None, 2)
     assert got["quoted.csv"] == (",", '"', 4)
-    enc = {k: r.encoding for k, r in by_name(p["encodings"].collect()).items()}
+    enc = {k: r.encoding for k, r in by_name(p.encodings.collect()).items()}
     assert enc["latin.csv"] == "latin-1" and enc["plain.csv"] == "utf-8"
-    dec = {k: r.decimal for k, r in by_name(p["decimals"].collect()).items()}
+    dec = {k: r.decimal for k, r in by_name(p.decimals.collect()).items()}
     assert dec["comma.csv"] == "," and dec["plain.csv"] == "."
 
 
 def test_structure(probed):
     _, p = probed
-    got = {k: (r.data_start, r.names_line, r.units_line) for k, r in by_name(p["structure"].collect()).items()}
+    got = {k: (r.data_start, r.names_line, r.units_line) for k, r in by_name(p.structure.collect()).items()}
     assert got["plain.csv"] == (1, 0, None)
     assert got["units.csv"] == (2, 0, 1)
     assert got["preamble.csv"] == (4, 3, None)
     assert got["nohead.csv"] == (0, None, None)
-    meta = {r.key: r.value for r in p["metadata"].collect() if r.file.endswith("preamble.csv")}
+    meta = {r.key: r.value for r in p.metadata.collect() if r.file.endswith("preamble.csv")}
     assert meta == {"vehicle": "GT2", "engine": "2000cc"}
-    heads = {(r.file.rsplit("/", 1)[1], r.pos): (r.name, r.unit) for r in p["headers"].collect()}
+    heads = {(r.file.rsplit("/", 1)[1], r.pos): (r.name, r.unit) for r in p.headers.collect()}
     assert heads[("units.csv", 2)] == ("MAP", "kPa") and heads[("latin.csv", 1)] == ("Régimen", None)
     assert heads[("quoted.csv", 1)] == ("Name, long", None)
 
 
 def test_time_axis(probed):
     _, p = probed
-    got = by_name(p["time"].collect())
+    got = by_name(p.time.collect())
     assert got["plain.csv"]["class"] == "relative" and got["plain.csv"].factor == 1.0
     assert abs(got["plain.csv"].hz - 20.0) < 1e-6
     assert got["tab.csv"]["class"] == "relative" and got["tab.csv"].factor == 0.001
@@ -192,10 +191,10 @@ def test_time_axis(probed):
 
 def test_read_block_and_series(spark, probed):
     lines, p = probed
-    block = cr.read_block(cr.data_lines(lines, p["sample"], p["structure"]), p["dialects"], p["encodings"])
+    block = cr.read_block(cr.data_lines(lines, p.sample, p.structure), p.dialects, p.encodings)
     ragged = by_name(cr.ragged_rows(block).collect())
     assert (ragged["ragged.csv"].rows, ragged["ragged.csv"].short, ragged["ragged.csv"].long) == (30, 1, 1)
-    series = cr.read_series(block, p["time"], p["decimals"])
+    series = cr.read_series(block, p.time, p.decimals)
     s = {(r.log_id.rsplit("/", 1)[1], r.channel_id, r.seq): (r.t_ms, r.v) for r in series.collect()}
     assert s[("comma.csv", "2", 3)] == (150, 1.0)
     assert s[("epoch.csv", "1", 10)] == (500, 3.0)
@@ -219,3 +218,45 @@ def test_declared_units(spark):
     assert got[5][1:] == ("none", None, None, None)
     assert got[6][4] == "unit_unresolved"
     assert got[7][2:4] == ("frequency", "Hz")
+
+
+def test_ingest_native_end_to_end(spark, native_dir, tmp_path):
+    from seriespan.plans.ingest import ingest_native
+
+    tables = ingest_native(spark, native_dir, str(tmp_path / "out"))
+    assert {r.status for r in tables["files"].collect()} >= {"ok", "no_rows", "not_native"}
+    logs = [r.file for r in tables["files"].filter("status = 'ok'").collect()]
+    one = [x for x in logs if x.endswith("/good.csv")]
+    from seriespan.sources.store import read_samples
+
+    picked = read_samples(spark, str(tmp_path / "out/samples"), logs=one)
+    assert picked.select("log_id").distinct().count() == 1
+    assert picked.count() == tables["samples"].filter(F.col("log_id").isin(one)).count() == 12
+    codes = {(r.file.rsplit("/", 1)[1], r.code, r.notices) for r in tables["notices"].collect()}
+    assert ("good.csv", "row_malformed", 2) in codes
+
+
+def test_import_csv_end_to_end(spark, csv_dir, tmp_path):
+    from seriespan.plans.ingest import import_csv
+
+    t = import_csv(spark, csv_dir + "/units.csv", str(tmp_path / "out"))
+    assert t["samples"].count() == 60
+    assert {(r.pos, r.dim) for r in t["columns"].collect()} == {(0, "time"), (1, "angular_speed"), (2, "pressure")}
+
+
+def test_rescan_reuses_and_recomputes(spark, native_dir):
+    from seriespan.plans.ingest import scan_folder
+
+    def summary(samples, files):
+        return samples.groupBy(F.col("log_id").alias("path")).agg(F.max("v").alias("v_max"))
+
+    schema = "path string, size bigint, mtime bigint, parser_version string, format_version string, status string, v_max double"
+    first = scan_folder(spark, native_dir, spark.createDataFrame([], schema), summary, parser_version="1", format_version="1")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in first.collect()}
+    assert rows["good.csv"].status == "ok" and rows["good.csv"].v_max == 1500.0
+    assert rows["version.csv"].status == "unsupported_version" and rows["version.csv"].v_max is None
+    stored = spark.createDataFrame([r for k, r in rows.items() if k != "bom.csv"], first.schema).withColumn(
+        "v_max", F.when(F.col("status") == "ok", -1.0)
+    )
+    again = {r.path.rsplit("/", 1)[1]: r for r in scan_folder(spark, native_dir, stored, summary, parser_version="1", format_version="1").collect()}
+    assert again["good.csv"].v_max == -1.0 and again["bom.csv"].v_max == 1500.0
