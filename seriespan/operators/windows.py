@@ -80,18 +80,17 @@ def local_peak(
     if window_ms <= 0 or prominence < 0:
         raise ValueError("the peak window must be positive and the prominence not negative")
     half = window_ms // 2
-    work = window_extremes(
-        df.withColumn("_v", value),
-        axis,
-        -half,
-        half,
-        {"_max": ("max", F.col("_v")), "_min": ("min", F.col("_v"))},
-    )
+    f = framed(span_of_key(df.withColumn("_v", value), axis), axis, -half, half)
+    work = f.done(f.df.withColumns({"_max": F.max("_v").over(f.window), "_min": F.min("_v").over(f.window)}))
+    t = F.col(axis.order)
+    judged = (t - half >= F.col("_t_first")) & (t + half <= F.col("_t_last")) & F.col("_v").isNotNull()
     top = F.col("_v") >= F.col("_max")
     core = F.coalesce(top & (F.col("_v") - F.col("_min") >= prominence), F.lit(False)).cast("int")
     f = framed(work.withColumn("_core", core), axis, -half, half)
     near = f.done(f.df.withColumn("_near", F.max("_core").over(f.window)))
-    return near.withColumn(out, top & (F.col("_near") > 0)).drop("_v", "_max", "_min", "_core", "_near")
+    return near.withColumn(out, F.when(judged, top & (F.col("_near") > 0))).drop(
+        "_v", "_max", "_min", "_core", "_near", "_t_first", "_t_last"
+    )
 
 
 def hold_after(df: DataFrame, axis: Axis, trigger: Column, window_ms: int, out: str) -> DataFrame:

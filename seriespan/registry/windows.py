@@ -64,14 +64,11 @@ def window_extreme_ahead(spark, d):
 
 @query(
     "local_peak",
-    f"""{{S}}, w AS (SELECT *, {EDGE},
-    max(v) OVER f AS hi0, min(v) OVER f AS lo0 FROM s
+    f"""{{S}}, w AS (SELECT *, {EDGE}, max(v) OVER f AS hi, min(v) OVER f AS lo FROM s
     WINDOW f AS (PARTITION BY log_id ORDER BY t_ms RANGE BETWEEN 43200000 PRECEDING AND 43200000 FOLLOWING)),
-  x AS (SELECT *, CASE WHEN t_ms - 43200000 >= t_first AND t_ms + 43200000 <= t_last THEN hi0 END AS hi,
-    CASE WHEN t_ms - 43200000 >= t_first AND t_ms + 43200000 <= t_last THEN lo0 END AS lo FROM w),
-  c AS (SELECT *, coalesce(v >= hi AND v - lo >= 20, FALSE)::INT AS core FROM x),
+  c AS (SELECT *, coalesce(v >= hi AND v - lo >= 20, FALSE)::INT AS core FROM w),
   n AS (SELECT *, max(core) OVER (PARTITION BY log_id ORDER BY t_ms RANGE BETWEEN 43200000 PRECEDING AND 43200000 FOLLOWING) AS near FROM c)
-  SELECT log_id, seq, (v >= hi) AND (near > 0) AS peak FROM n""",
+  SELECT log_id, seq, CASE WHEN t_ms - 43200000 >= t_first AND t_ms + 43200000 <= t_last THEN v >= hi AND near > 0 END AS peak FROM n""",
 )
 def local_peak(spark, d):
     return win.local_peak(by_log(spark, d), LOG_TIME, F.col("v"), 20.0, DAY, "peak").select("log_id", "seq", "peak")
