@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 DAY_S = 86400
 
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
 # Fixed values.
-ROW_CLOCK = r"^(\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d+))?$"
+ROW_CLOCK = r"^\d{1,2}:\d{2}:\d{2}([.,]\d+)?$"
 FACTORY_DATES = ["19800101", "19700101", "20000101", "20010101"]
 EARLIEST_DATE = "2005-01-01"
 TOLERANCE_S = 60.0
 AMBIGUITY_S = 43200
 
 
+def to_number(text: Column) -> Column:
+    """Plain decimal text to a double; the pattern spares failing casts, which are dear."""
+    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+
+
 def row_clock_seconds(text: Column) -> Column:
     """``HH:MM:SS[.fraction]`` to seconds of the day; NULL where it is not one."""
     t = F.trim(text)
-    part = lambda i: F.regexp_extract(t, ROW_CLOCK, i)
-    whole = (
-        part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double")
-    )
-    fraction = F.when(part(4) != "", F.concat(F.lit("0."), part(4)).try_cast("double")).otherwise(F.lit(0.0))
-    fine = (part(1).try_cast("int") < 24) & (part(2).try_cast("int") < 60) & (part(3).try_cast("int") < 60)
-    return F.when(t.rlike(ROW_CLOCK) & fine, whole + fraction)
+    hours = F.substring_index(t, ":", 1).try_cast("int")
+    minutes = F.substring_index(F.substring_index(t, ":", 2), ":", -1).try_cast("int")
+    seconds = F.replace(F.substring_index(t, ":", -1), F.lit(","), F.lit(".")).try_cast("double")
+    fine = t.rlike(ROW_CLOCK) & (hours < 24) & (minutes < 60) & (seconds < 60)
+    return F.when(fine, hours * 3600 + minutes * 60 + seconds)
 
 
 def header_stamp(text: Column) -> Column:
@@ -45,7 +50,7 @@ def instant_seconds(text: Column, cls: Column, factor: Column, decimal: str = ".
     return (
         F.when(cls == "iso8601", iso_instant(text))
         .when(cls == "clock", row_clock_seconds(text))
-        .otherwise(number.try_cast("double") * factor)
+        .otherwise(to_number(number) * factor)
     )
 
 

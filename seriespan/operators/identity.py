@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["log_id", "channel_id"]
-LAYERS = ["manual", "role", "native", "name"]
 
 
 def manual_layer(channels: DataFrame, manual: DataFrame) -> DataFrame:
@@ -28,15 +27,26 @@ def manual_layer(channels: DataFrame, manual: DataFrame) -> DataFrame:
     )
 
 
-def one_layer(pending: DataFrame, layer: str, key: Column) -> DataFrame:
-    """Members claimed by one key; the first channel by id per log wins."""
-    w = Window.partitionBy("group_id", "log_id").orderBy("channel_id")
+def one_layer(channels: DataFrame, layer: str, key: Column) -> DataFrame:
+    """Fill ``layer`` and ``group_id`` of unclaimed channels that own their key.
+
+    The first channel by id per (key, log) wins. Claimed and keyless rows get a key
+    of their own, so no window partition is larger than one key of one log.
+    """
+    free = F.col("group_id").isNull()
+    work = channels.withColumn("_key", F.when(free, key))
+    own = F.coalesce("_key", F.concat(F.lit("-"), "channel_id"))
+    w = Window.partitionBy("log_id", own).orderBy("channel_id")
+    wins = F.col("_key").isNotNull() & (F.row_number().over(w) == 1)
     return (
-        pending.withColumn("group_id", key)
-        .filter(F.col("group_id").isNotNull())
-        .withColumn("_k", F.row_number().over(w))
-        .filter("_k = 1")
-        .select(F.lit(layer).alias("layer"), "group_id", *KEYS)
+        work.withColumn("_wins", wins)
+        .withColumns(
+            {
+                "layer": F.when(F.col("_wins"), layer).otherwise(F.col("layer")),
+                "group_id": F.when(F.col("_wins"), F.col("_key")).otherwise(F.col("group_id")),
+            }
+        )
+        .drop("_key", "_wins")
     )
 
 
@@ -56,29 +66,31 @@ def name_key() -> Column:
     return F.when(F.col("name_key") != "", F.concat(F.lit("name:"), "name_key"))
 
 
-def match_channels(channels: DataFrame, manual: DataFrame | None = None) -> DataFrame:
-    """``(layer, group_id, log_id, channel_id)`` over all layers.
+def assign_groups(channels: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """All channels with their ``layer`` and ``group_id``, NULL where none claims them.
 
     ``channels(log_id, channel_id, role, role_index, format, native_id, name_key)``.
+    One window per layer over (log, key); nothing is joined back.
     """
-    pending, out = channels, None
-    for layer in LAYERS:
-        if layer == "manual":
-            if manual is None:
-                continue
-            members = manual_layer(pending, manual)
-        else:
-            key = {"role": role_key, "native": native_key, "name": name_key}[layer]()
-            members = one_layer(pending, layer, key)
-        out = members if out is None else out.unionByName(members)
-        pending = pending.join(members.select(*KEYS), KEYS, "left_anti")
-    return out
-
-
-def identity_notices(channels: DataFrame, matched: DataFrame) -> DataFrame:
+    if manual is None:
+        work = channels.withColumns({"layer": F.lit(None).cast("string"), "group_id": F.lit(None).cast("string")})
+    else:
+        work = channels.join(manual_layer(channels, manual), KEYS, "left")
+    for layer, key in (("role", role_key()), ("native", native_key()), ("name", name_key())):
+        work = one_layer(work, layer, key)
+    return work
+
+
+def match_channels(channels: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """``(layer, group_id, log_id, channel_id)`` of every channel some layer claims."""
+    out = assign_groups(channels, manual).filter(F.col("group_id").isNotNull())
+    return out.select("layer", "group_id", *KEYS)
+
+
+def identity_notices(channels: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Channels no layer could claim, with the reason."""
-    loose = channels.join(matched.select(*KEYS), KEYS, "left_anti")
-    has_key = role_key().isNotNull() | native_key().isNotNull() | name_key().isNotNull()
+    loose = assign_groups(channels, manual).filter(F.col("group_id").isNull())
+    has_key = role_key().isNotNull() | native_key().isNotNull() | F.coalesce(name_key().isNotNull(), F.lit(False))
     return loose.select(
         *KEYS,
         F.when(has_key, "same_log_same_group").otherwise("no_identity").alias("code"),

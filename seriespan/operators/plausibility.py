@@ -115,13 +115,18 @@ def evaluate(
             a = F.when(t["kind"] == PARAMETRIC_KIND, F.lit(float(stoichiometry))).otherwise(a)
         return F.when(t["kind"] == RECIPROCAL, F.try_divide(a, v)).otherwise((v - t["b"]) / a + t["shift"])
 
-    bad = [F.count_if(good & out_of(corrected(F.get("tries", F.lit(i))))).alias(f"_bad_{i}") for i in range(slots)]
+    rows = rows.select(
+        *keys, v.alias("v"), good.alias("_good"), (v.isNotNull() & marked).alias("_marked"), out_of(v).alias("_out"),
+        F.when(good, F.transform("tries", lambda t: out_of(corrected(t)))).alias("_tested"),
+    )
+    good = F.col("_good")
+    bad = [F.count_if(F.get("_tested", F.lit(i))).alias(f"_bad_{i}") for i in range(slots)]
     counted = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(v.isNull()).alias("gaps"),
-        F.count_if(v.isNotNull() & marked).alias("sentinels"),
+        F.count_if("_marked").alias("sentinels"),
         F.count_if(good).alias("valid"),
-        F.count_if(good & out_of(v)).alias("outside"),
+        F.count_if(good & F.col("_out")).alias("outside"),
         F.min(F.when(good, v)).alias("v_min"),
         F.max(F.when(good, v)).alias("v_max"),
         *bad,

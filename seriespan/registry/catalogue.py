@@ -181,8 +181,7 @@ def identity_groups(spark, d):
     THEN 'same_log_same_group' ELSE 'no_identity' END AS code FROM ch ANTI JOIN mm USING (log_id, channel_id)""",
 )
 def identity_notices(spark, d):
-    ch, manual = _channels(spark, d)
-    return identity.identity_notices(ch, identity.match_channels(ch, manual))
+    return identity.identity_notices(*_channels(spark, d))
 
 
 ROLE_SYNONYMS = [

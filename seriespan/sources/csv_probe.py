@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as c
-from ..functions.clock import iso_instant, row_clock_seconds
+from ..functions.clock import iso_instant, row_clock_seconds, to_number
 from ..operators.ordered import SPLIT, Axis, attach_splits, has_splits, runs, scan
 from ..session import settle
 from .lines import field_count, split_fields
@@ -220,7 +220,7 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
     """
     t = F.trim("cell")
     rows = cells.filter(t != "").withColumns({"_t": t, "_dec": decimal})
-    number = F.when(F.col("_dec") == ",", F.replace("_t", F.lit(","), F.lit("."))).otherwise(F.col("_t")).try_cast("double")
+    number = to_number(F.when(F.col("_dec") == ",", F.replace("_t", F.lit(","), F.lit("."))).otherwise(F.col("_t")))
     rows = rows.withColumns({"_iso": F.col("_t").rlike(c.ISO_TIME), "_clock": F.col("_t").rlike(c.CLOCK_TIME), "_n": number})
     raw = F.when(F.col("_iso"), iso_instant(F.col("_t"))).when(F.col("_clock"), row_clock_seconds(F.col("_t"))).otherwise(F.col("_n"))
     rows = rows.withColumn("_raw", raw)

@@ -15,6 +15,7 @@ from ..catalog.units import INT32_SENTINELS
 from ..functions.clock import row_clock_seconds
 from ..operators.ordered import SPLIT, TARGET_ROWS, Axis
 from ..operators.quality import unwrap_midnight
+from ..session import settle
 
 # Raw types of the format as (type, dimension, factor, confidence).
 TYPES: list[tuple[str, str, float, str]] = [
@@ -110,9 +111,8 @@ def _first_rows(lines: DataFrame, fmt: NativeFormat) -> DataFrame:
     )
 
 
-def _header(lines: DataFrame, fmt: NativeFormat) -> DataFrame:
+def _header(lines: DataFrame, starts: DataFrame, fmt: NativeFormat) -> DataFrame:
     """Header pairs with the channel block each belongs to (0 = metadata)."""
-    starts = _first_rows(lines, fmt)
     key = F.trim(F.substring_index("text", fmt.separator, 1))
     value = F.trim(F.expr(f"substring(text, instr(text, '{fmt.separator}') + 1)"))
     head = (
@@ -136,7 +136,8 @@ def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[D
     confidence)``. ``metadata(file, key, value)``, last value of each key. Headers
     are a few thousand lines per file; rows are never part of these windows.
     """
-    head = _header(lines, fmt)
+    starts = settle(_first_rows(lines, fmt))
+    head = settle(_header(lines, starts, fmt))
     part = lambda k: F.max_by("value", F.when(F.col("key") == k, F.col("line")))
     blocks = (
         head.filter("block > 0")
@@ -167,9 +168,7 @@ def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[D
     per_file = channels.groupBy("file").agg(
         F.count(F.lit(1)).alias("channels"), F.max("incomplete").alias("_inc"), F.max("bad_id").alias("_bad")
     )
-    files = (
-        _first_rows(lines, fmt).join(per_file, "file", "left").join(version, "file", "left")
-    )
+    files = starts.join(per_file, "file", "left").join(version, "file", "left")
     status = (
         F.when(~F.coalesce("signed", F.lit(False)), "not_native")
         .when(F.coalesce("_inc", F.lit(False)), "incomplete_channel")
@@ -269,23 +268,23 @@ def read_samples(
     timed = unwrap_midnight(timed, "clock_s", axis)
     first = rows.groupBy("file").agg(F.min_by("clock_s", "seq").alias("_t0"))
     t_ms = F.floor(F.round((F.col("t_abs_s") - F.col("_t0")) * 1000, 3)).cast("bigint")
-    per_file = channels.groupBy("file").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("pos", F.struct("native_id", "factor", "confidence")))
-        ).alias("_c")
-    )
+    info = F.struct("pos", "native_id", "factor")
+    per_file = channels.groupBy("file").agg(F.sort_array(F.collect_list(info)).alias("info"))
+    paired = F.arrays_zip(F.col("cells").alias("cell"), F.col("info"))
     cells = (
         timed.join(first, "file")
         .join(per_file, "file")
-        .select("file", "seq", t_ms.alias("t_ms"), "_c", F.posexplode("cells").alias("pos", "cell"))
-        .withColumn("raw", F.trim("cell").try_cast("int"))
+        .select("file", "seq", t_ms.alias("t_ms"), F.inline(paired).alias("cell", "info"))
+        .withColumn("cell", F.trim("cell"))
+        .filter(F.col("cell").rlike(r"^[+-]?\d+$"))  # a failing cast is dear, most cells are empty
+        .withColumn("raw", F.col("cell").try_cast("int"))
         .filter(F.col("raw").isNotNull())
     )
-    info = F.col("_c")[F.col("pos")]
     raw = F.col("raw") if keep_sentinels else drop_sentinels(F.col("raw"))
     return cells.select(
-        F.col("file").alias("log_id"), "pos", info["native_id"].cast("string").alias("channel_id"), "seq", "t_ms",
-        raw.alias("raw"), (raw * info["factor"]).alias("v"),
+        F.col("file").alias("log_id"), F.col("info.pos").alias("pos"),
+        F.col("info.native_id").cast("string").alias("channel_id"), "seq", "t_ms",
+        raw.alias("raw"), (raw * F.col("info.factor")).alias("v"),
     )
 
 
