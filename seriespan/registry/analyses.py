@@ -148,10 +148,10 @@ def sensor_health(spark, d):
 @query(
     "triage_table",
     """{S} SELECT log_id, max(v) FILTER (channel_id = 'click') AS rpm_max, round(avg(v) FILTER (channel_id = 'view'), 6) AS boost_avg,
-    min(v) FILTER (channel_id = 'error' AND log_id % 2 = 0) AS lambda_min, count(v) FILTER (channel_id = 'click') AS samples FROM s GROUP BY log_id""",
+    min(v) FILTER (channel_id = 'error' AND v > 150) AS lambda_min, count(v) FILTER (channel_id = 'click') AS samples FROM s GROUP BY log_id""",
 )
 def triage_table(spark, d):
-    s = samples(spark, d).filter(~((F.col("channel_id") == "error") & (F.col("log_id") % 2 == 1)))
+    s = samples(spark, d).filter(~((F.col("channel_id") == "error") & (F.col("v") <= 150)))
     out = an.triage_table(
         s,
         {"rpm_max": ("click", "max"), "boost_avg": ("view", "avg"), "lambda_min": ("error", "min"), "samples": ("click", "count")},

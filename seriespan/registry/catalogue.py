@@ -119,7 +119,7 @@ CH = """WITH ch AS (SELECT p_partkey % 97 AS log_id, printf('c%06d', p_partkey)
     CASE WHEN p_size % 3 = 0 THEN 'fmt' END AS format, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) END AS native_id,
     CASE WHEN p_size % 7 <> 0 THEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') END AS name_key FROM part),
   man(ord, pair, log_id, channel_id) AS (SELECT CAST(p_partkey // 10 AS INT), 'm' || (p_partkey // 10), p_partkey % 97, printf('c%06d', p_partkey)
-    FROM part WHERE p_partkey % 10 < 2 AND p_partkey % 3 = 0),
+    FROM part WHERE p_size < 9),
 """
 
 
@@ -135,7 +135,7 @@ def _channels(spark, d):
         F.when(size % 7 != 0, names.normalise(F.col("p_name"))).alias("name_key"),
     )
     ten = F.floor(F.col("p_partkey") / 10)
-    manual = p.filter((F.col("p_partkey") % 10 < 2) & (F.col("p_partkey") % 3 == 0)).select(
+    manual = p.filter(size < 9).select(
         ten.cast("int").alias("ord"), F.concat(F.lit("m"), ten).alias("pair"),
         (F.col("p_partkey") % 97).alias("log_id"), F.format_string("c%06d", "p_partkey").alias("channel_id"),
     )

@@ -87,15 +87,15 @@ COLD = "{S}, c AS (SELECT *, " + limit("v", "60.0::DOUBLE", True, 0.1) + " AS ho
 @query(
     "event_anchor",
     COLD + """, f AS (SELECT log_id, min(t_start) AS a FROM e GROUP BY log_id),
-  z AS (SELECT lg.log_id, a, CASE WHEN NOT bool_or_present THEN 'role_missing' WHEN lg.log_id % 13 = 0 THEN 'role_unconfirmed' WHEN a IS NULL THEN 'event_absent' END AS reason
-    FROM (SELECT log_id, bool_or(channel_id = 'signup' AND v > 80) AS bool_or_present FROM s GROUP BY log_id) lg LEFT JOIN f USING (log_id))
+  z AS (SELECT lg.log_id, a, CASE WHEN NOT bool_or_present THEN 'role_missing' WHEN pending THEN 'role_unconfirmed' WHEN a IS NULL THEN 'event_absent' END AS reason
+    FROM (SELECT log_id, bool_or(channel_id = 'signup' AND v > 80) AS bool_or_present, bool_or(channel_id = 'error' AND v > 200) AS pending FROM s GROUP BY log_id) lg LEFT JOIN f USING (log_id))
   SELECT log_id, CASE WHEN reason IS NULL THEN a END AS anchor_ms, CASE WHEN reason IS NULL THEN -a END AS "offset", reason FROM z""",
 )
 def event_anchor(spark, d):
     s = samples(spark, d)
     logs = s.select("log_id").distinct()
     present = s.filter("channel_id = 'signup' AND v > 80").select("log_id")
-    pending = logs.filter(F.col("log_id") % 13 == 0)
+    pending = s.filter("channel_id = 'error' AND v > 200").select("log_id")
     return axes.anchors(logs, cold_events(spark, d), present, pending)
 
 
@@ -152,9 +152,9 @@ def concatenated_series(spark, d):
     return axes.concatenate_series(s, matched, o, ["session"])
 
 
-INDEX = """WITH li AS (SELECT '/logs/' || o_orderkey || '.csv' AS path, o_custkey AS size, epoch_ms(o_orderdate) AS mtime FROM orders WHERE o_orderkey % 5 <> 0),
-  ix AS (SELECT '/logs/' || o_orderkey || '.csv' AS path, o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS size, epoch_ms(o_orderdate) AS mtime,
-    CASE WHEN o_orderkey % 11 = 0 THEN '1' ELSE '2' END AS parser_version, 'f1' AS format_version, 'ok' AS status, o_totalprice AS metric FROM orders WHERE o_orderkey % 3 <> 0),
+INDEX = """WITH li AS (SELECT '/logs/' || o_orderkey || '.csv' AS path, o_custkey AS size, epoch_ms(o_orderdate) AS mtime FROM orders WHERE o_orderpriority <> '5-LOW'),
+  ix AS (SELECT '/logs/' || o_orderkey || '.csv' AS path, o_custkey + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS size, epoch_ms(o_orderdate) AS mtime,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN '1' ELSE '2' END AS parser_version, 'f1' AS format_version, 'ok' AS status, o_totalprice AS metric FROM orders WHERE o_totalprice < 300000),
   pn AS (SELECT path, CASE WHEN li.path IS NULL THEN 'discard' WHEN ix.path IS NOT NULL AND li.size = ix.size AND li.mtime = ix.mtime AND parser_version = '2' THEN 'reuse' ELSE 'compute' END AS action,
     li.size AS size, li.mtime AS mtime FROM li FULL JOIN ix USING (path))
 """
@@ -164,11 +164,10 @@ def _index(spark, d):
     o = table(spark, d, "orders")
     path = F.concat(F.lit("/logs/"), "o_orderkey", F.lit(".csv"))
     micros = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)")
-    key = F.col("o_orderkey")
-    listing = o.filter(key % 5 != 0).select(path.alias("path"), F.col("o_custkey").alias("size"), micros.alias("mtime"))
-    index = o.filter(key % 3 != 0).select(
-        path.alias("path"), (F.col("o_custkey") + F.when(key % 7 == 0, 1).otherwise(0)).alias("size"), micros.alias("mtime"),
-        F.when(key % 11 == 0, "1").otherwise("2").alias("parser_version"), F.lit("f1").alias("format_version"),
+    listing = o.filter(F.col("o_orderpriority") != "5-LOW").select(path.alias("path"), F.col("o_custkey").alias("size"), micros.alias("mtime"))
+    index = o.filter(F.col("o_totalprice") < 300000).select(
+        path.alias("path"), (F.col("o_custkey") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("size"), micros.alias("mtime"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "1").otherwise("2").alias("parser_version"), F.lit("f1").alias("format_version"),
         F.lit("ok").alias("status"), F.col("o_totalprice").alias("metric"),
     )
     return listing, index
@@ -297,17 +296,15 @@ def notice_groups(spark, d):
 
 @query(
     "detector_states",
-    """{S}, r AS (SELECT log_id, channel_id AS role, bool_or(v < 200) AND log_id % 4 <> 0 AS confirmed FROM s WHERE NOT (channel_id = 'error' AND log_id % 3 = 0) GROUP BY 1, 2),
+    """{S}, r AS (SELECT log_id, channel_id AS role, min(v) < 2 AS confirmed FROM s GROUP BY 1, 2 HAVING max(v) > 100),
   dt(detector, sens) AS (VALUES ('D1', TRUE), ('D2', FALSE), ('D3', TRUE)), nd(detector, role) AS (VALUES ('D1', 'click'), ('D1', 'view'), ('D2', 'error'), ('D2', 'click')),
   m AS (SELECT l.log_id, dt.detector, any_value(sens) AS sens, count(*) FILTER (nd.role IS NOT NULL AND r.role IS NULL) AS missing, count(*) FILTER (NOT r.confirmed) AS pending
     FROM (SELECT DISTINCT log_id FROM r) l CROSS JOIN dt LEFT JOIN nd USING (detector) LEFT JOIN r ON r.log_id = l.log_id AND r.role = nd.role GROUP BY 1, 2)
   SELECT log_id, detector, NOT (missing > 0 OR (sens AND pending > 0)) AS active, CASE WHEN missing > 0 THEN 'role_missing' WHEN sens AND pending > 0 THEN 'role_unconfirmed' END AS reason FROM m""",
 )
 def detector_states(spark, d):
-    s = samples(spark, d).filter(~((F.col("channel_id") == "error") & (F.col("log_id") % 3 == 0)))
-    roles = s.groupBy("log_id", F.col("channel_id").alias("role")).agg(F.max(F.col("v") < 200).alias("c")).select(
-        "log_id", "role", (F.col("c") & (F.col("log_id") % 4 != 0)).alias("confirmed")
-    )
+    s = samples(spark, d).groupBy("log_id", F.col("channel_id").alias("role")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    roles = s.filter("hi > 100").select("log_id", "role", (F.col("lo") < 2).alias("confirmed"))
     detectors = spark.createDataFrame(
         [("D1", ["click", "view"], ["alta", "critica"]), ("D2", ["error", "click"], ["media"]), ("D3", [], ["critica"])],
         "detector string, roles array<string>, severities array<string>",

@@ -103,8 +103,8 @@ def compound_units(spark, d):
 @query(
     "unit_precedence",
     """WITH ch AS (SELECT p_partkey AS channel_id, list_extract(['temperature', 'pressure', 'speed', 'torque'], 1 + p_size % 4) AS dim,
-      p_size FROM part),
-  f AS (SELECT *, CASE WHEN channel_id % 5 = 0 THEN CASE WHEN dim = 'temperature' THEN 'degR' ELSE 'psi' END END AS o,
+      p_size, p_type FROM part),
+  f AS (SELECT *, CASE WHEN p_type = 'ECONOMY' THEN CASE WHEN dim = 'temperature' THEN 'degR' ELSE 'psi' END END AS o,
       CASE WHEN dim = 'speed' THEN 'mph' END AS p,
       CASE dim WHEN 'temperature' THEN 'degC' WHEN 'pressure' THEN 'bar' WHEN 'speed' THEN 'km/h' END AS s,
       CASE dim WHEN 'temperature' THEN 'K' WHEN 'pressure' THEN 'kPa' WHEN 'speed' THEN 'km/h' ELSE 'Nm' END AS c FROM ch),
@@ -115,13 +115,13 @@ def compound_units(spark, d):
 def unit_precedence(spark, d):
     dims = F.array(*[F.lit(x) for x in ("temperature", "pressure", "speed", "torque")])
     part = table(spark, d, "part")
-    channels = part.select(F.col("p_partkey").alias("channel_id"), dims[F.col("p_size") % 4].alias("dim"))
-    overrides = channels.filter(F.col("channel_id") % 5 == 0).select(
+    channels = part.select(F.col("p_partkey").alias("channel_id"), dims[F.col("p_size") % 4].alias("dim"), "p_type")
+    overrides = channels.filter("p_type = 'ECONOMY'").select(
         "channel_id", F.when(F.col("dim") == "temperature", "degR").otherwise("psi").alias("unit")
     )
     profile = spark.createDataFrame([("speed", "mph")], "dim string, unit string")
     preset = spark.createDataFrame(list(PRESETS["metrico"].items()), "dim string, unit string")
-    return u.effective_unit(channels, overrides, profile, preset, u.unit_frame(spark))
+    return u.effective_unit(channels.drop("p_type"), overrides, profile, preset, u.unit_frame(spark))
 
 
 @query(
