@@ -60,7 +60,8 @@ def field_count(text: Column, delimiter: Column, quote: Column | None = None) ->
 
 def split_fields(text: Column, delimiter: Column, quote: Column | None = None) -> Column:
     """Fields of a line as an array, quotes removed and doubled quotes undone."""
-    literal = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    # One-character patterns split without the regex engine; only the bar needs quoting.
+    literal = F.when(delimiter == "|", F.lit("\\|")).otherwise(delimiter)
     plain = F.split(text, literal, -1)
     if quote is None:
         return plain

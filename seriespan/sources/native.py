@@ -16,6 +16,7 @@ from ..functions.clock import row_clock_seconds
 from ..operators.ordered import SPLIT, TARGET_ROWS, Axis
 from ..operators.quality import unwrap_midnight
 from ..session import settle
+from .lines import field_count, split_fields
 
 # Raw types of the format as (type, dimension, factor, confidence).
 TYPES: list[tuple[str, str, float, str]] = [
@@ -152,7 +153,8 @@ def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[D
     two = F.split("_range", ",")
     ok_range = F.size(two) == 2
     hi, lo = F.get(two, F.lit(0)).try_cast("int"), F.get(two, F.lit(1)).try_cast("int")
-    channels = blocks.join(F.broadcast(types), "type", "left").select(
+    channels = blocks.join(F.broadcast(types), "type", "left")
+    channels = channels.select(
         "file", (F.col("block") - 1).cast("int").alias("pos"), "line", "name", F.col("_id").try_cast("int").alias("native_id"),
         "type", F.when(ok_range & hi.isNotNull(), lo).alias("disp_min"), F.when(ok_range & lo.isNotNull(), hi).alias("disp_max"),
         F.coalesce("dim", F.lit("unknown")).alias("dim"),
@@ -163,6 +165,7 @@ def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[D
         (F.col("_id").isNull() | F.col("type").isNull()).alias("incomplete"),
         (F.col("_id").isNotNull() & F.col("_id").try_cast("int").isNull()).alias("bad_id"),
     )
+    channels = settle(channels)
     metadata = head.filter("block = 0").groupBy("file", "key").agg(F.max_by("value", "line").alias("value"))
     version = metadata.filter(F.col("key") == fmt.version_key).select("file", F.col("value").alias("version"))
     per_file = channels.groupBy("file").agg(
@@ -180,7 +183,7 @@ def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[D
         .otherwise("ok")
     )
     files = files.select("file", status.alias("status"), "first_row", "version", F.coalesce("channels", F.lit(0)).alias("channels"))
-    return files, channels, metadata
+    return settle(files), channels, metadata
 
 
 def header_notices(channels: DataFrame) -> DataFrame:
@@ -209,19 +212,18 @@ def header_notices(channels: DataFrame) -> DataFrame:
 
 
 def read_rows(lines: DataFrame, files: DataFrame, fmt: NativeFormat = NativeFormat()) -> DataFrame:
-    """Body rows of readable files: ``(file, bytes, seq, clock_s, cells, fields, expected)``."""
+    """Body rows of readable files: ``(file, bytes, seq, clock_s, text, fields, expected)``.
+
+    The text stays whole: it is several times smaller to shuffle than its fields.
+    """
     good = files.filter("status = 'ok'").select("file", "first_row", "channels")
-    fields = F.split("text", F.concat(F.lit("\\Q"), F.lit(fmt.delimiter), F.lit("\\E")), -1)
     return (
         lines.join(good, "file")
         .filter(F.col("line") >= F.col("first_row"))
         .select(
-            "file", "bytes", (F.col("line") - F.col("first_row")).alias("seq"), fields.alias("_f"), "channels",
-        )
-        .select(
-            "file", "bytes", "seq", row_clock_seconds(F.col("_f")[0]).alias("clock_s"),
-            F.slice("_f", F.lit(2), F.col("channels")).alias("cells"),
-            F.size("_f").alias("fields"), (F.col("channels") + 1).alias("expected"),
+            "file", "bytes", (F.col("line") - F.col("first_row")).alias("seq"),
+            row_clock_seconds(F.substring_index("text", fmt.delimiter, 1)).alias("clock_s"), "text",
+            field_count(F.col("text"), F.lit(fmt.delimiter)).alias("fields"), (F.col("channels") + 1).alias("expected"),
         )
     )
 
@@ -251,40 +253,43 @@ def read_samples(
     big_bytes: int | None = None,
     rows_per_slice: int = TARGET_ROWS,
     keep_sentinels: bool = False,
+    delimiter: str = ",",
 ) -> DataFrame:
     """Long samples ``(log_id, pos, channel_id, seq, t_ms, raw, v)`` of native rows.
 
     The row clock is unwrapped over midnight in file order and rebased to the log's
-    first row; empty cells are not samples and the overflow codes become NULL. Files
-    above ``big_bytes`` are scanned in slices of ``rows_per_slice`` rows (their row
+    first row; empty cells are not samples and the overflow codes become NULL. Only the
+    clocks go through the ordered scan; the cells meet their time by (file, seq), which
+    spreads a single long log over all tasks. Files above ``big_bytes`` are scanned in slices of ``rows_per_slice`` rows (their row
     number is dense, so equal slices need no statistics); ``None`` means the caller
     saw in the listing that no file is that large.
     """
     axis = Axis(("file",), "seq")
-    timed = rows.select("file", "bytes", "seq", "clock_s", "cells")
+    timed = rows.select("file", "bytes", "seq", "clock_s")
     if big_bytes is not None:
         slices = F.struct(F.lit(0.0).alias("lo"), F.lit(float(rows_per_slice)).alias("width"))
         timed = timed.withColumn(SPLIT, F.when(F.col("bytes") > big_bytes, slices))
     timed = unwrap_midnight(timed, "clock_s", axis)
     first = rows.groupBy("file").agg(F.min_by("clock_s", "seq").alias("_t0"))
     t_ms = F.floor(F.round((F.col("t_abs_s") - F.col("_t0")) * 1000, 3)).cast("bigint")
-    info = F.struct("pos", "native_id", "factor")
-    per_file = channels.groupBy("file").agg(F.sort_array(F.collect_list(info)).alias("info"))
-    paired = F.arrays_zip(F.col("cells").alias("cell"), F.col("info"))
+    timed = timed.join(first, "file").select("file", "seq", t_ms.alias("t_ms"))
+    per_file = channels.groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.col("native_id").cast("string").alias("id"), "factor"))).alias("info")
+    )
     cells = (
-        timed.join(first, "file")
+        rows.select("file", "seq", "text")
+        .join(timed, ["file", "seq"])
         .join(per_file, "file")
-        .select("file", "seq", t_ms.alias("t_ms"), F.inline(paired).alias("cell", "info"))
-        .withColumn("cell", F.trim("cell"))
-        .filter(F.col("cell").rlike(r"^[+-]?\d+$"))  # a failing cast is dear, most cells are empty
-        .withColumn("raw", F.col("cell").try_cast("int"))
+        .select("file", "seq", "t_ms", "info", F.posexplode(split_fields(F.col("text"), F.lit(delimiter))).alias("_at", "cell"))
+        .withColumn("pos", F.col("_at") - 1)
+        .filter(F.col("pos").between(0, F.size("info") - 1) & (F.trim("cell") != ""))
+        .withColumn("raw", F.trim("cell").try_cast("int"))  # a failing cast is dear: empty cells are gone
         .filter(F.col("raw").isNotNull())
     )
     raw = F.col("raw") if keep_sentinels else drop_sentinels(F.col("raw"))
     return cells.select(
-        F.col("file").alias("log_id"), F.col("info.pos").alias("pos"),
-        F.col("info.native_id").cast("string").alias("channel_id"), "seq", "t_ms",
-        raw.alias("raw"), (raw * F.col("info.factor")).alias("v"),
+        F.col("file").alias("log_id"), "pos", F.get("info", F.col("pos"))["id"].alias("channel_id"),
+        "seq", "t_ms", raw.alias("raw"), (raw * F.get("info", F.col("pos"))["factor"]).alias("v"),
     )
 
 
