@@ -183,6 +183,13 @@ def vote_decimal(cells: DataFrame, keys: Sequence[str], cell: str = "cell", deli
     )
 
 
+def _pair_flags(i: int, both: tuple[str, str], data: Column) -> list[Column]:
+    """Whether either word of a boolean pair, or anything else, is among the values."""
+    word = F.lower("_t")
+    tests = {"yes": word == both[0], "no": word == both[1], "else": ~word.isin(*both)}
+    return [F.coalesce(F.max(data & t), F.lit(False)).alias(f"_{n}_{i}") for n, t in tests.items()]
+
+
 def infer_types(
     cells: DataFrame,
     keys: Sequence[str],
@@ -193,8 +200,8 @@ def infer_types(
     """Type of each column from all of its cells.
 
     Cells collapse to distinct values first, so the per-column step sees each value
-    once and only ever keeps two of them (enough for the constant and boolean
-    tests); the distinct count stays exact beyond the listing limit.
+    once and keeps counts and flags only; the distinct count stays exact beyond the
+    listing limit.
     """
     c = F.trim(F.coalesce(F.col(cell), F.lit("")))
     kind = cell_kind(c)
@@ -220,20 +227,18 @@ def infer_types(
         tally(data & ~numeric).alias("non_numeric"),
         F.count_if(data).alias("distinct"),
         F.coalesce(F.max(numeric & F.col("_t").rlike(fraction)), F.lit(False)).alias("_fraction"),
-        F.min(F.when(data, F.lower("_t"))).alias("_a"),
-        F.max(F.when(data, F.lower("_t"))).alias("_b"),
         F.min(F.when(data, F.col("_t"))).alias("_only"),
+        *[flag for i, both in enumerate(BOOLEAN_PAIRS) for flag in _pair_flags(i, both, data)],
     )
     pair = F.lit(False)
-    for yes, no in BOOLEAN_PAIRS:
-        lo, hi = sorted((yes, no))
-        pair = pair | ((F.col("_a") == lo) & (F.col("_b") == hi))
+    for i in range(len(BOOLEAN_PAIRS)):
+        pair = pair | (F.col(f"_yes_{i}") & F.col(f"_no_{i}") & ~F.col(f"_else_{i}"))
     with_data = F.col("numeric") + F.col("non_numeric")
     share = F.try_divide(F.col("numeric"), with_data)
     kind_of = (
         F.when(with_data == 0, "empty")
         .when(F.col("distinct") == 1, "constant")
-        .when((F.col("distinct") == 2) & pair, "boolean")
+        .when((F.col("distinct") <= MAX_LISTED) & pair, "boolean")
         .when((share >= min_numeric_share) & F.col("_fraction"), "decimal")
         .when(share >= min_numeric_share, "integer")
         .otherwise("text_enum")
@@ -265,24 +270,20 @@ def enum_dictionary(
 ) -> DataFrame:
     """Labels and codes per column; a column with more labels has no dictionary.
 
-    Codes are the rank of the label in binary order, or 1 / 0 for a known boolean
-    pair. Columns above the limit are dropped before any ordering, so the ranking
+    Codes are the rank of the label in binary order, or 1 / 0 for one positive and one
+    negative boolean word. Columns above the limit are dropped before any ordering, so the ranking
     window holds at most ``limit`` rows per column.
     """
     t = F.trim(F.col(cell))
     labels = cells.filter(t.isNotNull() & ~t.isin(TEXT_SENTINELS)).select(*keys, t.alias("label")).distinct()
+    positive = F.lower("label").isin([yes for yes, _ in BOOLEAN_PAIRS])
+    negative = F.lower("label").isin([no for _, no in BOOLEAN_PAIRS])
     size = labels.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.lower("label")).alias("_a"), F.max(F.lower("label")).alias("_b")
+        F.count(F.lit(1)).alias("_n"), F.count_if(positive).alias("_yes"), F.count_if(negative).alias("_no")
     ).filter(F.col("_n") <= limit)
-    pair = F.lit(False)
-    positive = F.lit(False)
-    for yes, no in BOOLEAN_PAIRS:
-        lo, hi = sorted((yes, no))
-        pair = pair | ((F.col("_a") == lo) & (F.col("_b") == hi))
-        positive = positive | (F.lower("label") == yes)
     kept = labels.join(size, list(keys))
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("label")) - 1
-    is_pair = (F.col("_n") == 2) & pair & F.lit(booleans)
+    is_pair = (F.col("_n") == 2) & (F.col("_yes") == 1) & (F.col("_no") == 1) & F.lit(booleans)
     return kept.withColumn("_rank", rank).select(
         *keys, "label", F.when(is_pair, positive.cast("int")).otherwise(F.col("_rank")).alias("code")
     )

@@ -15,7 +15,7 @@ CELLS = """WITH base AS (SELECT l_suppkey % 13 AS file, row_number() OVER () AS
         ELSE '1.' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ',5' END AS cell FROM base
     UNION ALL SELECT file, 'qty', CASE WHEN file % 2 = 0 THEN replace(printf('%.1f', l_quantity), '.', ',') ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END FROM base
     UNION ALL SELECT file, 'disc', '0,0' || CAST(CAST(floor(l_discount * 100 + 0.5) AS INT) AS VARCHAR) FROM base
-    UNION ALL SELECT file, 'flag', CASE WHEN l_linenumber > 3 THEN 'On' ELSE 'off' END FROM base
+    UNION ALL SELECT file, 'flag', CASE WHEN l_linenumber > 5 THEN 'ON' WHEN l_linenumber > 3 THEN 'On' ELSE 'off' END FROM base
     UNION ALL SELECT file, 'same', 'k' FROM base
     UNION ALL SELECT file, 'none', CASE WHEN l_linenumber > 2 THEN '' ELSE '---' END FROM base
     UNION ALL SELECT file, 'text', 't' || CAST(l_partkey % 70 AS VARCHAR) FROM base)
@@ -37,7 +37,7 @@ def _cells(spark, d):
     qty = F.when(F.col("l_suppkey") % 13 % 2 == 0, F.replace(F.format_string("%.1f", "l_quantity"), F.lit("."), F.lit(","))).otherwise(whole)
     disc = F.concat(F.lit("0,0"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int"))
     pairs = {
-        "price": price, "qty": qty, "disc": disc, "flag": F.when(n > 3, "On").otherwise("off"), "same": F.lit("k"),
+        "price": price, "qty": qty, "disc": disc, "flag": F.when(n > 5, "ON").when(n > 3, "On").otherwise("off"), "same": F.lit("k"),
         "none": F.when(n > 2, "").otherwise("---"), "text": F.concat(F.lit("t"), part % 70),
     }
     structs = F.array(*[F.struct(F.lit(k).alias("col"), v.alias("cell")) for k, v in pairs.items()])
@@ -111,10 +111,10 @@ def decimal_vote(spark, d):
 TYPES = CELLS + f""", p AS (SELECT file, col, trim(cell) AS t, {KIND} AS k FROM c),
   g AS (SELECT file, col, count(*) AS cells, count(*) FILTER (k = 'empty') AS empty, count(*) FILTER (k = 'sentinel') AS sentinels, count(*) FILTER (k = 'overflow') AS overflows,
     count(*) FILTER (k = 'data' AND regexp_matches(t, '{NUM}')) AS numeric, count(*) FILTER (k = 'data' AND NOT regexp_matches(t, '{NUM}')) AS non_numeric,
-    count(DISTINCT t) FILTER (k = 'data') AS "distinct", coalesce(bool_or(k = 'data' AND regexp_matches(t, '{NUM}') AND regexp_matches(t, '[,]\\d|[eE][+-]?\\d')), FALSE) AS frac,
+    count(DISTINCT t) FILTER (k = 'data') AS "distinct", count(DISTINCT lower(t)) FILTER (k = 'data') AS words, coalesce(bool_or(k = 'data' AND regexp_matches(t, '{NUM}') AND regexp_matches(t, '[,]\\d|[eE][+-]?\\d')), FALSE) AS frac,
     min(lower(t)) FILTER (k = 'data') AS a, max(lower(t)) FILTER (k = 'data') AS b, min(t) FILTER (k = 'data') AS o FROM p GROUP BY 1, 2),
   y AS (SELECT *, CASE WHEN numeric + non_numeric = 0 THEN 'empty' WHEN "distinct" = 1 THEN 'constant'
-    WHEN "distinct" = 2 AND (a, b) IN (('false', 'true'), ('off', 'on'), ('no', 'sí'), ('no', 'si'), ('falso', 'verdadero'), ('no', 'yes')) THEN 'boolean'
+    WHEN words = 2 AND "distinct" <= 64 AND (a, b) IN (('false', 'true'), ('off', 'on'), ('no', 'sí'), ('no', 'si'), ('falso', 'verdadero'), ('no', 'yes')) THEN 'boolean'
     WHEN numeric::DOUBLE / (numeric + non_numeric) >= 0.95 THEN CASE WHEN frac THEN 'decimal' ELSE 'integer' END ELSE 'text_enum' END AS type FROM g)
 """
 

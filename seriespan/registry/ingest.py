@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,3 +288,13 @@ def export_wide(spark, d):
         ("log_id", "seq"),
     )
     return out.withColumns({c: F.round(c, 6) for c in ("clt", "boost")})
+
+
+@query("store_round_trip", "{S} SELECT log_id, channel_id, seq, t_ms, v FROM s")
+def store_round_trip(spark, d):
+    from ..session import shared_folder
+    from ..sources import store
+
+    path = f"{shared_folder(spark)}/store/{uuid.uuid4().hex}"
+    store.write_samples(samples(spark, d), path)
+    return store.read_samples(spark, path).select("log_id", "channel_id", "seq", "t_ms", "v")
