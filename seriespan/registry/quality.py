@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as q
-from ..operators.ordered import LOG_FILE, LOG_TIME, attach_splits
+from ..operators.ordered import LOG_FILE, attach_splits
 from ..plans.views import samples, table
 from . import query
 

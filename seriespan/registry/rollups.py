@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import rollup as ru
 from ..operators.ordered import LOG_TIME, attach_splits
 from ..plans.views import counters

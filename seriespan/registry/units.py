@@ -157,7 +157,7 @@ def pressure_reference(spark, d):
     """WITH ch AS (SELECT p_partkey AS channel_id, p_type AS type, p_size AS raw FROM part)
   SELECT channel_id, CASE type WHEN 'ECONOMY' THEN 'pressure' WHEN 'SMALL' THEN 'temperature' ELSE 'unknown' END AS dim,
     CASE type WHEN 'ECONOMY' THEN 'confirmed' WHEN 'SMALL' THEN 'confirmed' WHEN 'LARGE' THEN 'unknown' ELSE 'unknown' END AS confidence,
-    round(CASE type WHEN 'ECONOMY' THEN raw * 0.1 WHEN 'SMALL' THEN raw * 0.01 ELSE raw END, 6) AS value,
+    round(CASE type WHEN 'ECONOMY' THEN raw * 0.1::DOUBLE WHEN 'SMALL' THEN raw * 0.01::DOUBLE ELSE raw::DOUBLE END, 6) AS value,
     CASE WHEN type NOT IN ('ECONOMY', 'SMALL') THEN 'unknown_dimension' END AS reason FROM ch""",
 )
 def raw_scale(spark, d):
