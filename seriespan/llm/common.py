@@ -26,7 +26,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, *, count: str, total: i
     ``groups`` has ``key``, the key's row ``count`` and the values to attach. Keys above
     ``HOT_SHARE`` of ``total`` (at most ``1 / HOT_SHARE`` keys, so the broadcast is bounded) are
     looked up by broadcast. The others meet in a shuffled join, in which the rows already served
-    carry a key of their own made from ``spread`` and so are dealt evenly.
+    and those without a key carry one of their own made from ``spread`` (not null) and so are dealt
+    evenly.
     """
     values = [c for c in groups.columns if c not in (key, count)]
     limit = max(total * HOT_SHARE, HOT_ROWS)
@@ -39,7 +40,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, *, count: str, total: i
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
     out = out.withColumn(
         "_ck",
-        F.when(F.col("_hot").isNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(
+        F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(
             F.concat(F.lit("s"), spread.cast("string"))
         ),
     )

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from . import hilbert, tokens, warc
+from . import hilbert, warc
 from .common import read
+from .minhash import near_duplicates
 from .tokens import token_counts
 
 
@@ -40,6 +41,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op5_minhash")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("op6_hilbert_shards")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text", "lang", "source", "n_chars")
