@@ -148,3 +148,38 @@ def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK_BYTES)
         held += len(text)
     if got:
         yield begin, got
+
+
+def code_points(texts: Sequence[str | None], pad: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' code points in one array, ``pad`` zeros after each, and where each text begins."""
+    joined = ("\0" * pad).join([*((t or "").lower() if lower else t or "" for t in texts), ""])
+    flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter((len((t or "").lower() if lower else t or "") for t in texts), np.int64, len(texts))
+    return flat, np.concatenate([[0], np.cumsum(sizes + pad)])
+
+
+def text_blocks(values: pa.Array, size: int = BLOCK_BYTES) -> Iterator[list[str | None]]:
+    """A column's texts in blocks of about ``size`` characters; a longer text is a block of its own."""
+    got: list[str | None] = []
+    held = 0
+    for value in values:
+        text = value.as_py()
+        if got and held + len(text or "") > size:
+            yield got
+            got, held = [], 0
+        got.append(text)
+        held += len(text or "")
+    if got:
+        yield got
+
+
+def gram_codes(flat: np.ndarray, sizes: Sequence[int], bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``bits``-bit hashes of the character n-grams that begin at each place, for each n in ``sizes``."""
+    value = np.zeros(len(flat), np.uint32)
+    for n in range(1, max(sizes) + 1):
+        count = max(len(flat) - n + 1, 0)
+        value = value[:count] * np.uint32(0x01000193) + (flat[n - 1 :] + np.uint32(n))
+        if n in sizes:
+            mixed = (value ^ (value >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            mixed = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+            yield n, mixed >> np.uint32(32 - bits)
