@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from . import hilbert, warc
+from . import hilbert, quality, toxicity, warc
 from .common import read
 from .minhash import near_duplicates
 from .tokens import token_counts
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels", "doc_id", "toxic")))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return quality.score(docs, quality.fit(docs, read(spark, folder, "labels", "doc_id", "quality")))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
