@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from . import hilbert, quality, toxicity, warc
+from . import hilbert, mixing, quality, rules, toxicity, warc
 from .common import read
 from .minhash import near_duplicates
 from .tokens import token_counts
@@ -65,3 +65,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.hilbert_shards(docs, dimensions).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
+
+
+@query("op8_adaptive_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    return rules.adaptive_rules(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op10_entropy_mix")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
