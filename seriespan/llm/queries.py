@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from . import hilbert, mixing, quality, rules, toxicity, warc
+from . import decontamination, hilbert, mixing, quality, rules, toxicity, warc
 from .common import read
 from .minhash import near_duplicates
 from .tokens import token_counts
@@ -75,6 +75,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_simhash_leaks")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return decontamination.leaks(docs, read(spark, folder, "benchmark", "item_id", "text"))
+
+
 @query("op10_entropy_mix")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text", "source")

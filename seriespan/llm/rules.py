@@ -62,8 +62,8 @@ RULES = (
     Rule("symbol_share", "n_symbols / word_chars", 0.01, False, True),
     Rule("punct_share", "n_punct / word_chars", 0.01, False, True),
     Rule("upper_share", "n_upper / word_chars", 0.02, False, True),
-    Rule("dup_line_share", "n_dup_lines / n_lines", 0.05, False, True),
-    Rule("repeat_share", "n_repeat_words / n_words", 0.05, False, True),
+    Rule("dup_line_share", "n_dup_lines / n_lines", 0.1, False, True),
+    Rule("repeat_share", "n_repeat_words / n_words", 0.1, False, True),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punct", "n_upper")
 
