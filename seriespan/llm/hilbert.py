@@ -95,24 +95,46 @@ def hilbert_shards(
     docs: DataFrame, dimensions: Sequence[Numeric | Category], *, shards: int = SHARDS, bits: int = BITS,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """``key, size, text_crc32, shard, slot, curve, _q0 ...`` for every row of ``docs``.
-
-    Rows are dealt by range of (curve index, checksum, key), so a cell with a third of all rows is
-    spread like any other. A row's rank is its place in its range plus the ranges before it; only the
-    row count of each range reaches the driver. Shard ``s`` holds the ranks from ``ceil(s*n/shards)``
-    on, so counts differ by one at most.
-    """
-    names = [d.column for d in dimensions]
+    """``key, size, text_crc32, shard, slot, curve, _q0 ...`` for every row of ``docs``; see ``placed``."""
     used = docs.select(
         F.col(key).alias("_k"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"),
-        *(F.col(n).alias(f"_d{i}") for i, n in enumerate(names)),
+        *(F.col(d.column).alias(f"_d{i}") for i, d in enumerate(dimensions)),
     )
-    used = settle(used)
     held = [type(d)(f"_d{i}") for i, d in enumerate(dimensions)]
-    coded = used.select("_k", "_size", "_crc", *quantised(used, held, bits))
-    codes = [f"_q{i}" for i in range(len(names))]
+    rows = placed(settle(used), held, shards, bits)
+    return rows.select(
+        F.col("_k").alias(key), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot", "curve",
+        *(f"_q{i}" for i in range(len(dimensions))),
+    )
+
+
+def sharded_rows(
+    docs: DataFrame, dimensions: Sequence[Numeric | Category], *, shards: int = SHARDS, bits: int = BITS,
+    key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` with ``shard`` and ``slot``, which replace input columns of these names."""
+    used = docs.select(
+        F.struct("*").alias("_row"), F.col(key).alias("_k"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"),
+        *(F.col(d.column).alias(f"_d{i}") for i, d in enumerate(dimensions)),
+    )
+    held = [type(d)(f"_d{i}") for i, d in enumerate(dimensions)]
+    rows = placed(used, held, shards, bits)
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
+
+
+def placed(used: DataFrame, dimensions: Sequence[Numeric | Category], shards: int, bits: int) -> DataFrame:
+    """``used(_k, _crc, ...)`` with the codes, ``curve``, ``shard`` and ``slot``.
+
+    Rows are dealt by range of (curve index, checksum, key), so a cell with a third of all rows is
+    spread like any other. A row's rank is its place in its range plus the ranges before it; only the
+    row count of each range reaches the driver. Shard ``s`` holds the ranks from ``ceil(s*n/shards)``
+    on, so counts differ by one at most.
+    """
+    codes = [f"_q{i}" for i in range(len(dimensions))]
+    coded = used.select("*", *quantised(used, dimensions, bits)).drop(*(d.column for d in dimensions))
 
     @F.pandas_udf("long")
     def index(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -128,21 +150,13 @@ def hilbert_shards(
     for at, n in counts:
         offsets.append((at, before))
         before += n
-    spark = docs.sparkSession
-    starts = spark.createDataFrame(offsets, "_range int, _before long")  # a row per range
+    starts = used.sparkSession.createDataFrame(offsets, "_range int, _before long")  # a row per range
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     ranked = ranged.withColumn("_in", inside).join(F.broadcast(starts), "_range")
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in") - 1)
-    ranked = ranked.withColumn("shard", F.expr(f"int(_rank * {shards}L div {max(total, 1)}L)"))
-    return ranked.select(
-        F.col("_k").alias(key),
-        F.col("_size").alias("size"),
-        F.col("_crc").alias("text_crc32"),
-        "shard",
-        (F.col("_rank") - F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}L")).cast("long").alias("slot"),
-        "curve",
-        *codes,
-    )
+    n = max(total, 1)
+    ranked = ranked.withColumn("shard", F.expr(f"int(_rank * {shards}L div {n}L)"))
+    return ranked.withColumn("slot", (F.col("_rank") - F.expr(f"(shard * {n}L + {shards - 1}) div {shards}L")).cast("long"))
 
 
 def manifest(sharded: DataFrame) -> DataFrame:
