@@ -9,6 +9,7 @@ from ..registry import query
 from . import decontamination, hilbert, mixing, quality, rules, toxicity, warc
 from .common import read
 from .minhash import near_duplicates
+from .suffixes import suffix_dedup
 from .tokens import token_counts
 
 
@@ -67,6 +68,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup(read(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("op8_adaptive_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text", "lang", "source")

@@ -68,6 +68,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def rolling_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all substrings of ``k`` bytes, worked in stretches to bound memory."""
+    n = max(len(data) - k + 1, 0)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK_BYTES):
+        part = data[at : at + BLOCK_BYTES + k - 1]
+        power, inverse = _power_tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
+        m = len(part) - k + 1
+        out[at : at + m] = mix((total[k:] - total[:m]) * inverse[:m])
+    return out
+
+
 class Block:
     """Some whole texts in one byte array, a line feed after each."""
 
