@@ -21,21 +21,16 @@ from seriespan.registry import query  # noqa: E402
 from seriespan.session import settle  # noqa: E402
 
 
-def only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id ``verdicts`` has."""
-    ids = verdicts.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours vote for; the labels are those of the folder's table."""
     model = quality.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
-    return only(docs, quality.score(docs, model).where("predicted = 1"))
+    return quality.keep(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate class."""
-    return only(docs, minhash.near_duplicates(docs).where("kept"))
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

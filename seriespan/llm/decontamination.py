@@ -73,6 +73,8 @@ class Items:
             known = np.unique(np.concatenate([self.shingles[i] for i in mine]))
             prints = fingerprints_of([self.shingles[i] for i in mine])
             self.by_length[n] = Length(mine, known, prints)
+        self.short = any(n < SHINGLE for n in self.by_length)
+        self.every = np.unique(np.concatenate([np.empty(0, np.uint64), *(g.known for n, g in self.by_length.items() if n >= SHINGLE)]))
 
 
 class Length:
@@ -168,32 +170,39 @@ def search(words: np.ndarray, items: Items, known: np.ndarray) -> Iterator[tuple
                 yield best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``key, item_id, first_word, n_words, similarity``: the best window of each item in a document."""
+def benchmark_items(benchmark: DataFrame, item: str, item_text: str):
+    """The benchmark's rows as a broadcast, checked against ``MAX_ITEM_WORDS`` before."""
     found = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
     length = F.coalesce(F.sum(F.regexp_count("t", F.lit("[^\\x20\\x09-\\x0D]+"))), F.lit(0))
     if found.agg(length).first()[0] > MAX_ITEM_WORDS:
         raise ValueError(f"the benchmark has more than {MAX_ITEM_WORDS} words; split it")
     rows = sorted(((r["i"], r["t"]) for r in found.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-    items = docs.sparkSession.sparkContext.broadcast(rows)
+    return benchmark.sparkSession.sparkContext.broadcast(rows)
+
+
+def find_in(batch: pa.RecordBatch, text: str, items: Items) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+    """Row number and hit (see ``search``) of all leaks in a batch's texts."""
+    for begin, texts in blocks(batch, text):
+        words, first = word_hashes(texts)
+        for i in doubtful(words, first, items.every, items):
+            for hit in search(words[first[i] : first[i + 1]], items, items.every):
+                yield begin + int(i), hit
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``key, item_id, first_word, n_words, similarity``: the best window of each item in a document."""
+    rows = benchmark_items(benchmark, item, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items([r[0] for r in items.value], [r[1] for r in items.value])
-        every = np.unique(np.concatenate([np.empty(0, np.uint64), *(g.known for n, g in known.by_length.items() if n >= SHINGLE)]))
-        known.short = any(n < SHINGLE for n in known.by_length)
+        items = Items([r[0] for r in rows.value], [r[1] for r in rows.value])
         for batch in batches:
-            where, hits = [], []
-            for begin, texts in blocks(batch, "_t"):
-                words, first = word_hashes(texts)
-                for i in doubtful(words, first, every, known):
-                    for hit in search(words[first[i] : first[i + 1]], known, every):
-                        where.append(begin + i)
-                        hits.append(hit)
+            found = list(find_in(batch, "_t", items))
+            hits = [hit for _, hit in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_k").take(pa.array(where, pa.int64())),
-                    pa.array([known.ids[h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()),
-                    pa.array([known.length[h[0]] for h in hits], pa.int64()), pa.array([h[2] / h[3] for h in hits], pa.float64()),
+                    batch.column("_k").take(pa.array([row for row, _ in found], pa.int64())),
+                    pa.array([items.ids[h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()),
+                    pa.array([items.length[h[0]] for h in hits], pa.int64()), pa.array([h[2] / h[3] for h in hits], pa.float64()),
                 ],
                 ["_k", "item_id", "first_word", "n_words", "similarity"],
             )
@@ -203,6 +212,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     return texts.mapInArrow(run, f"_k {kind}, item_id long, first_word long, n_words long, similarity double").withColumnRenamed("_k", key)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, without moving any."""
+    rows = benchmark_items(benchmark, item, item_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items([r[0] for r in rows.value], [r[1] for r in rows.value])
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, _ in find_in(batch, text, items)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def doubtful(words: np.ndarray, first: np.ndarray, known: np.ndarray, items: Items) -> np.ndarray:
     """The texts of a block that share a shingle with any item (all, if an item is shorter than one)."""
     if items.short or not len(known):
@@ -212,9 +235,3 @@ def doubtful(words: np.ndarray, first: np.ndarray, known: np.ndarray, items: Ite
     place[place == len(known)] = 0
     at = np.flatnonzero(known[place] == runs)
     return np.unique(np.searchsorted(first, at, "right") - 1)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found."""
-    found = leaks(docs, benchmark, key=key, text=text).select(F.col(key).alias("_leaked")).distinct()
-    return docs.join(found, F.col(key) == F.col("_leaked"), "left_anti")

@@ -132,19 +132,34 @@ def votes(model: Model, vectors: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """The score of every text of a column, in blocks."""
+    out = [np.empty(0)]
+    for block in text_blocks(texts, BLOCK):
+        for at in range(0, len(block), 512):
+            out.append(votes(model, model.vectors_of(term_counts(block[at : at + 512]))))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key, held_out, score, predicted`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.empty(0)]
-            for texts in text_blocks(batch.column("_t"), BLOCK):
-                for at in range(0, len(texts), 512):
-                    out.append(votes(model, model.vectors_of(term_counts(texts[at : at + 512]))))
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(np.concatenate(out))], ["_k", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(scores(model, batch.column("_t")))], ["_k", "score"])
 
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     scored = rows.mapInArrow(run, f"_k {rows.schema['_k'].dataType.simpleString()}, score double")
     return scored.select(
         F.col("_k").alias(key), held_out("_k").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``score`` would predict 1, without moving any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(model, batch.column(text)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -43,6 +43,7 @@ from .common import attach
 
 BLOCK_LINES = 1024
 ARCHIVE_BYTES = 64 << 20
+READ_BYTES = 2 << 20
 DATE = "2026-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -303,8 +304,8 @@ def lookup(keys: DataFrame, files: DataFrame, folder: str) -> DataFrame:
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
     """The records of ``captures(archive, offset, length)``, each by a read of its own range.
 
-    A task takes an archive's captures in the order of their offsets. A stored payload is digested
-    anew and must match its header.
+    A task takes captures of ``READ_BYTES`` of an archive in the order of their offsets. A stored
+    payload is digested anew and must match its header.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +335,8 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    dealt = captures.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    places = captures.select("archive", "offset", "length")
+    dealt = places.repartition("archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(scan, ddl(RECORDS))
 
 
