@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog.units import INT32_SENTINELS, TEXT_SENTINELS
+from ..operators.lookup import attach
 
 # Cell shapes and boolean pairs.
 INTEGER = r"^[+-]?\d+$"
@@ -39,8 +40,6 @@ BOOLEAN_PAIRS = [
 EPOCH_MIN_S = 946684800.0
 EPOCH_MAX_S = 4102444800.0
 LONGEST_SECOND_STEP = 2.0
-MAX_LISTED = 64
-MAX_ENUM = 512
 MIN_NUMERIC_SHARE = 0.95
 
 
@@ -196,12 +195,13 @@ def infer_types(
     decimal: str,
     cell: str = "cell",
     min_numeric_share: float = MIN_NUMERIC_SHARE,
+    free_text_over: int | None = None,
 ) -> DataFrame:
     """Type of each column from all of its cells.
 
     Cells collapse to distinct values first, so the per-column step sees each value
-    once and keeps counts and flags only; the distinct count stays exact beyond the
-    listing limit.
+    once and keeps counts and flags only; the distinct count is exact. ``free_text``
+    marks columns of more than ``free_text_over`` different values.
     """
     c = F.trim(F.coalesce(F.col(cell), F.lit("")))
     kind = cell_kind(c)
@@ -238,7 +238,7 @@ def infer_types(
     kind_of = (
         F.when(with_data == 0, "empty")
         .when(F.col("distinct") == 1, "constant")
-        .when((F.col("distinct") <= MAX_LISTED) & pair, "boolean")
+        .when(pair, "boolean")
         .when((share >= min_numeric_share) & F.col("_fraction"), "decimal")
         .when(share >= min_numeric_share, "integer")
         .otherwise("text_enum")
@@ -247,7 +247,7 @@ def infer_types(
         *keys, "cells", "empty", "sentinels", "overflows", "numeric", "non_numeric", "distinct",
         kind_of.alias("type"),
         F.when(F.col("distinct") == 1, F.col("_only")).alias("constant_value"),
-        (F.col("distinct") > MAX_LISTED).alias("distinct_truncated"),
+        (F.lit(False) if free_text_over is None else F.col("distinct") > free_text_over).alias("free_text"),
     )
 
 
@@ -259,20 +259,19 @@ def type_notices(types: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.when(F.col("type") == "empty", "column_empty"),
             F.when(F.col("type") == "constant", "column_constant"),
             F.when(mixed, "column_mixed"),
-            F.when((F.col("type") == "text_enum") & F.col("distinct_truncated"), "column_free_text"),
+            F.when((F.col("type") == "text_enum") & F.col("free_text"), "column_free_text"),
         )
     )
     return types.select(*keys, F.explode(notices).alias("code"))
 
 
 def enum_dictionary(
-    cells: DataFrame, keys: Sequence[str], cell: str = "cell", limit: int = MAX_ENUM, booleans: bool = True
+    cells: DataFrame, keys: Sequence[str], cell: str = "cell", limit: int | None = None, booleans: bool = True
 ) -> DataFrame:
-    """Labels and codes per column; a column with more labels has no dictionary.
+    """Labels and codes per column; with a ``limit``, columns with more labels have no dictionary.
 
     Codes are the rank of the label in binary order, or 1 / 0 for one positive and one
-    negative boolean word. Columns above the limit are dropped before any ordering, so the ranking
-    window holds at most ``limit`` rows per column.
+    negative boolean word. The ranking sees each label of a column once.
     """
     t = F.trim(F.col(cell))
     labels = cells.filter(t.isNotNull() & ~t.isin(TEXT_SENTINELS)).select(*keys, t.alias("label")).distinct()
@@ -280,7 +279,9 @@ def enum_dictionary(
     negative = F.lower("label").isin([no for _, no in BOOLEAN_PAIRS])
     size = labels.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(positive).alias("_yes"), F.count_if(negative).alias("_no")
-    ).filter(F.col("_n") <= limit)
+    )
+    if limit is not None:
+        size = size.filter(F.col("_n") <= limit)
     kept = labels.join(size, list(keys))
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("label")) - 1
     is_pair = (F.col("_n") == 2) & (F.col("_yes") == 1) & (F.col("_no") == 1) & F.lit(booleans)
@@ -290,26 +291,31 @@ def enum_dictionary(
 
 
 def to_codes(cells: DataFrame, dictionary: DataFrame, keys: Sequence[str], cell: str = "cell") -> DataFrame:
-    """Append the code of each cell; cells without one are NULL."""
-    d = dictionary.select(*keys, F.col("label").alias("_label"), "code")
-    return (
-        cells.withColumn("_label", F.trim(F.col(cell)))
-        .join(d, [*keys, "_label"], "left")
-        .drop("_label")
-    )
+    """Append the code of each cell; cells without one are NULL. One label may fill a column."""
+    return _look_up(cells, dictionary.select(*keys, "label", "code"), [*keys, "label"], [*map(F.col, keys), F.trim(F.col(cell))])
+
+
+def _look_up(rows: DataFrame, values: DataFrame, keys: list[str], match: list[Column]) -> DataFrame:
+    """Attach the other columns of ``values`` where all ``keys`` equal ``match``."""
+    known = F.lit(True)
+    for m in match:
+        known = known & m.isNotNull()
+    as_text = lambda cols: F.to_json(F.array(*[c.cast("string") for c in cols]))
+    keyed = rows.withColumn("_key", F.when(known, as_text(match)))
+    counted = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rest = [c for c in values.columns if c not in keys]
+    groups = values.select(as_text([F.col(k) for k in keys]).alias("_key"), *rest).join(counted, "_key")
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    return attach(
+        keyed, groups, "_key", count="_n", total=total, spread=F.monotonically_increasing_id()
+    ).drop("_key")
 
 
 def decode(samples: DataFrame, dictionary: DataFrame, keys: Sequence[str], code: str = "code") -> DataFrame:
     """Code to label; an unknown code stays as its text."""
-    d = dictionary.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("code").alias("_code"), F.col("label").alias("_label")
-    )
-    same = F.col(code) == F.col("_code")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    return samples.join(d, same, "left").select(
-        *samples.columns, F.coalesce("_label", F.col(code).cast("string")).alias("state")
-    )
+    d = dictionary.select(*keys, F.col("code").alias("_code"), F.col("label").alias("_label"))
+    found = _look_up(samples, d, [*keys, "_code"], [*map(F.col, keys), F.col(code)])
+    return found.select(*samples.columns, F.coalesce("_label", F.col(code).cast("string")).alias("state"))
 
 
 def name_and_unit(name: Column) -> tuple[Column, Column, Column]:

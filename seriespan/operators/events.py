@@ -26,21 +26,12 @@ def events(
     ).drop("state")
 
 
-def assert_event_cap(found: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """Fail the job where a log yields more than ``cap`` events (never truncate).
+def over_event_cap(found: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """Logs with more than ``cap`` events and how many: widen their hysteresis or duration.
 
-    The count per log is checked while it is computed, then joined back, so every
-    event row depends on its log having passed the check.
+    Nothing is cut and no other log fails with them; the caller decides.
     """
-    message = f"more than {cap} events in one log: widen the hysteresis or the duration"
-    checked = (
-        found.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_ok", F.assert_true(F.col("_n") <= cap, message).isNull())
-        .filter("_ok")
-        .select(*keys)
-    )
-    return found.join(checked, keys, "left_semi")
+    return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("events")).filter(F.col("events") > cap)
 
 
 def accumulated_time(found: DataFrame, keys: list[str]) -> DataFrame:

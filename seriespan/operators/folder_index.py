@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 FINGERPRINT = ["path", "size", "mtime", "parser_version", "format_version"]
 
 
-def same_fingerprint(a: DataFrame, b: DataFrame, columns: Sequence[str] = FINGERPRINT) -> Column:
-    """Every key field equal, NULL included."""
+def same_fingerprint(a: Column, b: Column, columns: Sequence[str] = FINGERPRINT) -> Column:
+    """Every key field of two fingerprint structs equal, NULL included."""
     return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
 
 
@@ -22,23 +22,13 @@ def plan(listing: DataFrame, index: DataFrame, parser_version: str, format_versi
     ``listing(path, size, mtime)``, ``index(path, size, mtime, parser_version,
     format_version, ...)``. One full join on the path decides all three.
     """
-    now = listing.select(
-        "path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_listed")
-    )
-    old = index.select("path", "size", "mtime", "parser_version", "format_version", F.lit(True).alias("_stored"))
+    versions = [F.lit(parser_version).alias("parser_version"), F.lit(format_version).alias("format_version")]
+    now = listing.select("path", F.struct("path", "size", "mtime", *versions).alias("_now"))
+    old = index.select("path", F.struct(*FINGERPRINT).alias("_old"))
     both = now.join(old, "path", "full_outer")
-    same = (
-        F.col("_size").eqNullSafe(F.col("size"))
-        & F.col("_mtime").eqNullSafe(F.col("mtime"))
-        & F.col("parser_version").eqNullSafe(F.lit(parser_version))
-        & F.col("format_version").eqNullSafe(F.lit(format_version))
-    )
-    action = (
-        F.when(F.col("_listed").isNull(), "discard")
-        .when(F.col("_stored").isNotNull() & same, "reuse")
-        .otherwise("compute")
-    )
-    return both.select("path", action.alias("action"), F.col("_size").alias("size"), F.col("_mtime").alias("mtime"))
+    reuse = F.col("_old").isNotNull() & same_fingerprint(F.col("_now"), F.col("_old"))
+    action = F.when(F.col("_now").isNull(), "discard").when(reuse, "reuse").otherwise("compute")
+    return both.select("path", action.alias("action"), F.col("_now.size").alias("size"), F.col("_now.mtime").alias("mtime"))
 
 
 def merge(

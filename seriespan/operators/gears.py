@@ -18,7 +18,7 @@ class GearLimits:
     min_samples: int = 25
     tolerance: float = 0.04
     separation: float = 0.12
-    max_gears: int = 8
+    max_gears: int | None = None
 
 
 def _useful(rpm: Column, speed: Column, lim: GearLimits) -> Column:
@@ -83,13 +83,14 @@ def gear_table(hist: DataFrame, lim: GearLimits) -> DataFrame:
 
 def detect_gears(grid: DataFrame, rpm: str, speed: str, lim: GearLimits) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(gears, summary, samples)``: kept gears renumbered from 1, reasons per log,
-    and the grid with its ``gear`` (0 = none). More peaks than ``max_gears`` marks
+    and the grid with its ``gear`` (0 = none). With ``max_gears``, more peaks mark
     the log ``too_many_peaks`` and gives it no gears.
     """
     r, v = F.col(rpm), F.col(speed)
     ratios = with_ratio(grid, rpm, speed, lim)
     table = gear_table(histogram(ratios, lim), lim)
-    fine = table.filter(F.col("peaks") <= lim.max_gears)
+    too_many = F.lit(False) if lim.max_gears is None else F.coalesce("peaks", F.lit(0)) > lim.max_gears
+    fine = table.filter(~too_many)
     band = F.try_element_at(
         F.filter("gears", lambda g: (F.col("ratio") >= g["lo"]) & (F.col("ratio") < g["hi"])), F.lit(1)
     )
@@ -120,7 +121,7 @@ def detect_gears(grid: DataFrame, rpm: str, speed: str, lim: GearLimits) -> tupl
             (F.col("n") - F.col("no_data") - F.col("useful")).alias("stopped"),
             (F.col("useful") - F.coalesce("_in", F.lit(0))).alias("between"),
             F.coalesce("gears", F.lit(0)).alias("gears"),
-            F.when(F.coalesce("peaks", F.lit(0)) > lim.max_gears, "too_many_peaks").otherwise("ok").alias("status"),
+            F.when(too_many, "too_many_peaks").otherwise("ok").alias("status"),
         )
     )
     numbering = kept.groupBy("log_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "gear"))).alias("_m"))

@@ -67,7 +67,7 @@ def by_severity(incidents: DataFrame, severities: Sequence[str] = SEVERITIES) ->
 # Notices that are only informational; any other code is a warning.
 INFORMATIONAL = [
     "clock_without_metadata", "clock_metadata_unreadable", "factory_epoch", "clock_without_first_row",
-    "header_before_midnight", "download_before_log",
+    "header_before_midnight", "download_before_log", "duplicate_name", "invalid_display_range",
 ]
 
 

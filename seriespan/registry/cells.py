@@ -114,7 +114,7 @@ TYPES = CELLS + f""", p AS (SELECT file, col, trim(cell) AS t, {KIND} AS k FROM
     count(DISTINCT t) FILTER (k = 'data') AS "distinct", count(DISTINCT lower(t)) FILTER (k = 'data') AS words, coalesce(bool_or(k = 'data' AND regexp_matches(t, '{NUM}') AND regexp_matches(t, '[,]\\d|[eE][+-]?\\d')), FALSE) AS frac,
     min(lower(t)) FILTER (k = 'data') AS a, max(lower(t)) FILTER (k = 'data') AS b, min(t) FILTER (k = 'data') AS o FROM p GROUP BY 1, 2),
   y AS (SELECT *, CASE WHEN numeric + non_numeric = 0 THEN 'empty' WHEN "distinct" = 1 THEN 'constant'
-    WHEN words = 2 AND "distinct" <= 64 AND (a, b) IN (('false', 'true'), ('off', 'on'), ('no', 'sí'), ('no', 'si'), ('falso', 'verdadero'), ('no', 'yes')) THEN 'boolean'
+    WHEN words = 2 AND (a, b) IN (('false', 'true'), ('off', 'on'), ('no', 'sí'), ('no', 'si'), ('falso', 'verdadero'), ('no', 'yes')) THEN 'boolean'
     WHEN numeric::DOUBLE / (numeric + non_numeric) >= 0.95 THEN CASE WHEN frac THEN 'decimal' ELSE 'integer' END ELSE 'text_enum' END AS type FROM g)
 """
 
@@ -122,10 +122,10 @@ TYPES = CELLS + f""", p AS (SELECT file, col, trim(cell) AS t, {KIND} AS k FROM
 @query(
     "type_inference",
     TYPES + """SELECT file, col, cells, empty, sentinels, overflows, numeric, non_numeric, "distinct", type,
-    CASE WHEN "distinct" = 1 THEN o END AS constant_value, "distinct" > 64 AS distinct_truncated FROM y""",
+    CASE WHEN "distinct" = 1 THEN o END AS constant_value, "distinct" > 64 AS free_text FROM y""",
 )
 def type_inference(spark, d):
-    return cells.infer_types(_cells(spark, d), ["file", "col"], ",")
+    return cells.infer_types(_cells(spark, d), ["file", "col"], ",", free_text_over=64)
 
 
 @query(
@@ -134,11 +134,11 @@ def type_inference(spark, d):
     CASE WHEN type IN ('integer', 'decimal') AND non_numeric > 0 THEN 'column_mixed' END, CASE WHEN type = 'text_enum' AND "distinct" > 64 THEN 'column_free_text' END]) AS code FROM y) WHERE code IS NOT NULL""",
 )
 def type_notices(spark, d):
-    return cells.type_notices(cells.infer_types(_cells(spark, d), ["file", "col"], ","), ["file", "col"])
+    return cells.type_notices(cells.infer_types(_cells(spark, d), ["file", "col"], ",", free_text_over=64), ["file", "col"])
 
 
 ENUM = CELLS + f""", lb AS (SELECT DISTINCT file, col, trim(cell) AS label FROM c WHERE trim(cell) NOT IN ('', {SENT})),
-  sz AS (SELECT file, col, count(*) AS n, min(lower(label)) AS a, max(lower(label)) AS b FROM lb GROUP BY 1, 2 HAVING count(*) <= 512),
+  sz AS (SELECT file, col, count(*) AS n, min(lower(label)) AS a, max(lower(label)) AS b FROM lb GROUP BY 1, 2),
   en AS (SELECT file, col, label, CAST(CASE WHEN n = 2 AND (a, b) IN (('false', 'true'), ('off', 'on'), ('no', 'sí'), ('no', 'si'), ('falso', 'verdadero'), ('no', 'yes'))
      THEN CASE WHEN lower(label) IN ('true', 'on', 'sí', 'si', 'verdadero', 'yes') THEN 1 ELSE 0 END ELSE dense_rank() OVER (PARTITION BY file, col ORDER BY label) - 1 END AS INT) AS code FROM lb JOIN sz USING (file, col))
 """

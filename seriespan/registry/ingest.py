@@ -163,7 +163,7 @@ def csv_lines(spark, d) -> DataFrame:
 
 
 def _probe(spark, d) -> cp.Probe:
-    return cp.Probe(csv_lines(spark, d), max_bytes=None)
+    return cp.Probe(csv_lines(spark, d))
 
 
 SUP = """WITH f AS (SELECT l_suppkey AS k, '/csv/' || l_suppkey AS file, l_suppkey % 5 AS m, count(*) AS n FROM lineitem GROUP BY l_suppkey)
@@ -176,18 +176,21 @@ SUP = """WITH f AS (SELECT l_suppkey AS k, '/csv/' || l_suppkey AS file, l_suppk
     4 AS fields, CASE WHEN m = 3 THEN 1 ELSE 0 END::BIGINT AS start, n + CASE WHEN m = 4 THEN 2 ELSE 1 END AS run, CASE WHEN m = 3 THEN 'inconsistent_fields' END AS notice FROM f""",
 )
 def csv_dialect(spark, d):
-    return cp.dialects(cp.sample_lines(csv_lines(spark, d), None))
+    return cp.dialects(cp.sample_lines(csv_lines(spark, d)))
 
 
 @query(
     "csv_delimiter_score",
-    SUP + """SELECT file, list_extract([',', ';', chr(9), '|', ';'], m + 1) AS delimiter, n + CASE WHEN m = 4 THEN 2 ELSE 1 END AS run, 4 AS fields FROM f""",
+    SUP + """, t(d, delimiter) AS (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|'), (4, ' ')),
+  x AS (SELECT file, m, n, t.*, list_extract([',', ';', chr(9), '|', ';'], m + 1) AS own FROM f, t)
+  SELECT file, delimiter, CASE WHEN delimiter = own THEN n + CASE WHEN m = 4 THEN 2 ELSE 1 END
+      WHEN delimiter = ',' AND m = 1 THEN n WHEN delimiter = ' ' AND m = 4 THEN n + 1 WHEN delimiter = ' ' THEN n
+      ELSE n + CASE WHEN m >= 3 THEN 2 ELSE 1 END END AS run,
+    CASE WHEN delimiter = own THEN 4 WHEN delimiter = ',' AND m = 1 THEN 4 ELSE 1 END AS fields FROM x""",
 )
 def csv_delimiter_score(spark, d):
-    scores = cp.delimiter_scores(cp.sample_lines(csv_lines(spark, d), None))
-    m = F.substring("file", 6, 20).cast("bigint") % 5
-    own = F.get(F.array(*[F.lit(x) for x in (",", ";", "\t", "|", ";")]), m.cast("int"))
-    return scores.filter(F.col("delimiter") == own).select("file", "delimiter", "run", "fields")
+    scores = cp.delimiter_scores(cp.sample_lines(csv_lines(spark, d)))
+    return scores.select("file", "delimiter", "run", "fields")
 
 
 @query(
@@ -229,7 +232,7 @@ def csv_time_axis(spark, d):
   SELECT file, col, count(*) AS cells, count(DISTINCT cell) AS "distinct", CASE WHEN count(DISTINCT cell) = 1 THEN 'constant' WHEN col = 1 THEN 'integer' ELSE 'decimal' END AS type FROM c GROUP BY 1, 2""",
 )
 def csv_column_types(spark, d):
-    out = _probe(spark, d).types(None).filter("col > 0")
+    out = _probe(spark, d).types.filter("col > 0")
     return out.select("file", "col", "cells", "distinct", "type")
 
 
@@ -245,6 +248,81 @@ def csv_series(spark, d):
     return out.select("log_id", "channel_id", "seq", "t_ms", F.round("v", 2).alias("v"))
 
 
+LATE = """WITH f AS (SELECT l_suppkey AS k, '/late/' || l_suppkey AS file, count(*) AS n FROM lineitem GROUP BY l_suppkey)
+"""
+
+
+def _late_lines(spark, d) -> DataFrame:
+    """Files whose first 300 rows look like whole numbers on a counter; later rows tell otherwise."""
+    axis = Axis(("l_suppkey",), "l_orderkey", ("l_linenumber", "l_partkey", "l_extendedprice"))
+    li = scan(attach_splits(table(spark, d, "lineitem"), axis), axis, total={"n": F.lit(1).cast("bigint")})
+    late = F.col("n") > 300
+    whole = F.col("l_quantity").cast("int").cast("string")
+    text = F.concat(
+        F.col("n").cast("string"), F.when(late, ",5").otherwise(""), F.lit(";"), whole, F.when(late, ",5").otherwise(""), F.lit(";7;"), whole, F.lit(";"),
+        F.when(late & (F.col("n") % 2 == 0), "on").when(late, "off").otherwise("on"),
+    )
+    body = li.select("l_suppkey", F.col("n").alias("line"), text.alias("text"))
+    head = li.select("l_suppkey").distinct().select("l_suppkey", F.lit(0).cast("bigint").alias("line"), F.lit("T;A;B;C;State").alias("text"))
+    return head.unionByName(body).select(F.concat(F.lit("/late/"), "l_suppkey").alias("file"), "line", "text")
+
+
+@query(
+    "csv_late_evidence",
+    LATE + """SELECT file, CASE WHEN n > 300 THEN ',' ELSE '.' END AS decimal, CASE WHEN n > 300 THEN 'relative' ELSE 'counter' END AS class,
+    CASE WHEN n > 300 THEN 'decimal' ELSE 'integer' END AS type_a, CASE WHEN n > 301 THEN 'boolean' ELSE 'constant' END AS type_state FROM f""",
+)
+def csv_late_evidence(spark, d):
+    found = cp.Probe(_late_lines(spark, d))
+    kind = lambda col: F.max(F.when(F.col("col") == col, F.col("type")))
+    types = found.types.groupBy("file").agg(kind(1).alias("type_a"), kind(4).alias("type_state"))
+    out = found.decimals.select("file", "decimal").join(found.time.select("file", "class"), "file")
+    return out.join(types, "file").select("file", "decimal", "class", "type_a", "type_state")
+
+
+@query(
+    "csv_enum_series",
+    """WITH r AS (SELECT l_suppkey, l_quantity, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq FROM lineitem),
+  l AS (SELECT l_suppkey, l_returnflag, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem))
+  SELECT '/enum/' || l_suppkey AS log_id, u.channel_id, seq, seq * 500 AS t_ms, u.v::DOUBLE AS v FROM r JOIN l USING (l_suppkey, l_returnflag),
+    LATERAL (VALUES ('1', l_quantity), ('2', l_quantity), ('3', l_quantity), ('4', l_quantity), ('5', l.code), ('6', CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)) u(channel_id, v)""",
+)
+def csv_enum_series(spark, d):
+    axis = Axis(("l_suppkey",), "l_orderkey", ("l_linenumber", "l_partkey", "l_extendedprice"))
+    li = scan(attach_splits(table(spark, d, "lineitem"), axis), axis, total={"n": F.lit(1).cast("bigint")})
+    cells = [
+        F.format_string("%.1f", (F.col("n") - 1) * 0.5), *[F.format_string("%.0f", "l_quantity")] * 4, F.concat(F.lit("flag "), "l_returnflag"),
+        F.when(F.col("l_linestatus") == "F", "on").otherwise("off"),
+    ]
+    body = li.select("l_suppkey", F.col("n").alias("line"), F.concat_ws(";", *cells).alias("text"))
+    head = li.select("l_suppkey").distinct().select("l_suppkey", F.lit(0).cast("bigint").alias("line"), F.lit("T;A;B;C;D;Flag;On").alias("text"))
+    found = cp.Probe(head.unionByName(body).select(F.concat(F.lit("/enum/"), "l_suppkey").alias("file"), "line", "text"))
+    block = cr.read_block(cr.data_lines(found.lines, found.sample, found.structure), found.dialects)
+    return cr.read_channels(block, found.time, found.decimals, found.types)[0]
+
+
+@query(
+    "csv_file_status",
+    """SELECT '/status/' || l_suppkey AS file, CASE WHEN l_suppkey % 5 = 0 THEN 'ok' ELSE 'error' END AS status,
+    list_extract([NULL, 'delimiter_undetermined', 'no_data_row', 'no_time_column', 'counter_without_frequency'], CAST(1 + l_suppkey % 5 AS INT)) AS reason,
+    CASE WHEN l_suppkey % 5 = 0 THEN count(*) FILTER (n % 100 = 0) ELSE 0 END AS unreadable_cells
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n FROM lineitem) GROUP BY l_suppkey""",
+)
+def csv_file_status(spark, d):
+    axis = Axis(("l_suppkey",), "l_orderkey", ("l_linenumber", "l_partkey", "l_extendedprice"))
+    li = scan(attach_splits(table(spark, d, "lineitem"), axis), axis, total={"n": F.lit(1).cast("bigint")})
+    n, k, q = F.col("n"), F.col("l_suppkey") % 5, F.format_string("%.0f", "l_quantity")
+    text = (
+        F.when(k == 0, F.concat_ws(";", F.format_string("%.1f", n * 0.5), F.when(n % 100 == 0, "odd cell").otherwise(q)))
+        .when(k == 1, F.concat(F.lit("word"), n.cast("string")))
+        .when(k == 2, F.concat_ws(";", F.lit("a"), "l_returnflag", "l_linestatus"))
+        .when(k == 3, F.concat_ws(";", q, F.format_string("%.2f", F.col("l_extendedprice") - n * (n % 2 * 2 - 1))))
+        .otherwise(F.concat_ws(";", n.cast("string"), q))
+    )
+    lines = li.select(F.concat(F.lit("/status/"), "l_suppkey").alias("file"), (n - 1).alias("line"), text.alias("text"))
+    return cp.Probe(lines).status
+
+
 @query(
     "csv_ragged_rows",
     """SELECT o_custkey % 50 AS file, count(*) AS rows, count(*) FILTER (o_orderkey % 3 = 0) AS short, count(*) FILTER (o_orderkey % 3 = 1) AS long FROM orders GROUP BY 1""",

@@ -195,14 +195,18 @@ def index_merge(spark, d):
 
 @query(
     "fingerprint_equality",
-    INDEX + "SELECT path, (li.size IS NOT DISTINCT FROM ix.size AND li.mtime IS NOT DISTINCT FROM ix.mtime) AS same FROM li JOIN ix USING (path)",
+    INDEX + """, nw AS (SELECT *, CASE WHEN size % 3 = 0 THEN '2' ELSE '1' END AS pv, CASE WHEN size % 5 <> 0 THEN 'f1' END AS fv FROM li)
+  SELECT path, nw.size IS NOT DISTINCT FROM ix.size AND nw.mtime IS NOT DISTINCT FROM ix.mtime AND nw.pv IS NOT DISTINCT FROM ix.parser_version AND nw.fv IS NOT DISTINCT FROM ix.format_version AS same FROM nw JOIN ix USING (path)""",
 )
 def fingerprint_equality(spark, d):
     listing, index = _index(spark, d)
-    a, b = listing.alias("a"), index.alias("b")
-    joined = a.join(b, F.col("a.path") == F.col("b.path"))
-    same = F.col("a.size").eqNullSafe(F.col("b.size")) & F.col("a.mtime").eqNullSafe(F.col("b.mtime"))
-    return joined.select(F.col("a.path").alias("path"), same.alias("same"))
+    now = listing.withColumns({
+        "parser_version": F.when(F.col("size") % 3 == 0, "2").otherwise("1"),
+        "format_version": F.when(F.col("size") % 5 != 0, "f1"),
+    })
+    a = now.select("path", F.struct(*[F.col(c).alias(c) for c in fi.FINGERPRINT]).alias("a"))
+    b = index.select("path", F.struct(*[F.col(c).alias(c) for c in fi.FINGERPRINT]).alias("b"))
+    return a.join(b, "path").select("path", fi.same_fingerprint(F.col("a"), F.col("b")).alias("same"))
 
 
 @query(
@@ -284,12 +288,18 @@ def jump_incidents(spark, d):
 
 @query(
     "notice_groups",
-    """WITH n AS (SELECT l_suppkey % 20 AS log_id, CASE l_linenumber WHEN 1 THEN 'factory_epoch' WHEN 2 THEN 'clock_not_reliable' WHEN 3 THEN 'row_malformed' ELSE 'header_before_midnight' END AS code FROM lineitem)
-  SELECT log_id, code, count(*) AS notices, CASE WHEN code IN ('factory_epoch', 'header_before_midnight') THEN 'informational' ELSE 'warning' END AS severity FROM n GROUP BY 1, 2""",
+    """WITH n AS (SELECT l_suppkey % 20 AS log_id, list_extract(['clock_without_metadata', 'clock_metadata_unreadable', 'factory_epoch', 'clock_without_first_row', 'header_before_midnight', 'download_before_log',
+    'duplicate_name', 'invalid_display_range', 'duplicate_id', 'unknown_type', 'unconfirmed_scale', 'row_malformed', 'clock_not_reliable', 'column_empty'], CAST(1 + l_partkey % 14 AS INT)) AS code FROM lineitem)
+  SELECT log_id, code, count(*) AS notices, CASE code WHEN 'duplicate_id' THEN 'warning' WHEN 'unknown_type' THEN 'warning' WHEN 'unconfirmed_scale' THEN 'warning' WHEN 'row_malformed' THEN 'warning'
+    WHEN 'clock_not_reliable' THEN 'warning' WHEN 'column_empty' THEN 'warning' ELSE 'informational' END AS severity FROM n GROUP BY 1, 2""",
 )
 def notice_groups(spark, d):
-    n = F.col("l_linenumber")
-    code = F.when(n == 1, "factory_epoch").when(n == 2, "clock_not_reliable").when(n == 3, "row_malformed").otherwise("header_before_midnight")
+    codes = [
+        "clock_without_metadata", "clock_metadata_unreadable", "factory_epoch", "clock_without_first_row", "header_before_midnight",
+        "download_before_log", "duplicate_name", "invalid_display_range", "duplicate_id", "unknown_type", "unconfirmed_scale",
+        "row_malformed", "clock_not_reliable", "column_empty",
+    ]
+    code = F.get(F.array(*[F.lit(c) for c in codes]), (F.col("l_partkey") % 14).cast("int"))
     rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("log_id"), code.alias("code"))
     return inc.notice_groups(rows, ["log_id"])
 

@@ -163,7 +163,7 @@ def excluded_share(spark, d):
     return out.withColumn("excluded_share", F.round("excluded_share", 9))
 
 
-GL = gears.GearLimits()
+GL = gears.GearLimits(max_gears=8)
 RATIO = "(5 + floor(l_discount * 100 + 0.5) * 0.9 + l_tax)"
 GEAR = f"""WITH RECURSIVE g AS (SELECT l_returnflag || l_linestatus AS log_id, l_orderkey * 8 + l_linenumber AS seq, l_quantity * 100 AS rpm,
     CASE WHEN l_linenumber <> 7 THEN l_quantity / 10 * {RATIO} END AS speed FROM lineitem),

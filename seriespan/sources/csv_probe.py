@@ -1,8 +1,8 @@
 """What arbitrary CSV files look like: dialect, structure, time axis, types.
 
-Everything runs as grouped aggregates over sample lines of many files at once. The
-sample is the feature: the dialect is read off the first 64 kB of a file; pass
-``max_bytes=None`` to judge from whole files.
+Everything runs as grouped aggregates over the lines of many files at once, and every
+line counts: what is judged is what is read. A caller who only wants a preview may give
+``max_bytes`` for a file's first bytes.
 """
 
 from __future__ import annotations
@@ -14,27 +14,26 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as c
 from ..functions.clock import iso_instant, row_clock_seconds, to_number
-from ..operators.ordered import SPLIT, Axis, attach_splits, has_splits, runs, scan
+from ..operators.ordered import SPLIT, Axis, attach_splits, has_splits, scan
+from ..operators.quantiles import quantiles
 from ..session import settle
 from .lines import field_count, split_fields
 
 # Fixed values.
-SAMPLE_BYTES = 65536
 DELIMITERS = [",", ";", "\t", "|", " "]
 QUOTES = [None, '"', "'"]
 MIN_CONSISTENCY = 0.6
 MIN_RUN = 3
 MIN_NUMERIC = 0.7
 MAX_UNIT_LENGTH = 12
-SAMPLE_ROWS = 200
 METADATA = r"^\s*([^:=]{1,60}?)\s*[:=]\s*(.*?)\s*$"
 
 
 FILE_LINES = Axis(("file",), "line")
 
 
-def sample_lines(lines: DataFrame, max_bytes: int | None = SAMPLE_BYTES) -> DataFrame:
-    """Non-blank lines of each file's sample, renumbered in ``k`` from 0."""
+def sample_lines(lines: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Non-blank lines of each file (of its first ``max_bytes``), renumbered in ``k`` from 0."""
     lines = lines.select("file", "line", "text")
     if max_bytes is None:
         lines = attach_splits(lines, FILE_LINES)
@@ -51,7 +50,7 @@ def sample_lines(lines: DataFrame, max_bytes: int | None = SAMPLE_BYTES) -> Data
 
 
 def encodings(lines: DataFrame) -> DataFrame:
-    """UTF-8 where every sampled byte sequence is valid, else latin-1."""
+    """UTF-8 where every line's bytes are valid, else latin-1."""
     return lines.groupBy("file").agg(
         F.when(F.min(F.is_valid_utf8("text")), "utf-8").otherwise("latin-1").alias("encoding")
     )
@@ -65,30 +64,36 @@ def decode_text(lines: DataFrame, encoding: DataFrame) -> DataFrame:
 
 
 def delimiter_scores(sample: DataFrame) -> DataFrame:
-    """Longest run of equal field counts for every delimiter and quote per file."""
-    tries = [
-        F.struct(F.lit(i).alias("d"), F.lit(d).alias("delimiter"), F.lit(j).alias("q"), F.lit(q).cast("string").alias("quote"))
-        for i, d in enumerate(DELIMITERS)
-        for j, q in enumerate(QUOTES)
-    ]
+    """Longest run of equal field counts for every delimiter and quote per file.
+
+    A line's counts under all tries travel as one array through one ordered scan, which
+    numbers each try's runs; the runs are then summed up map-side, and only their
+    summaries are spread over the tries.
+    """
+    tries = [(i, j) for i in range(len(DELIMITERS)) for j in range(len(QUOTES))]
     present = sample.groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"),
         F.max(F.col("text").contains('"')).alias("_q1"),
         F.max(F.col("text").contains("'")).alias("_q2"),
     )
+    present = present.withColumn("_file_lines", F.col("lines")).drop("lines")
     split = [SPLIT] if has_splits(sample) else []
-    rows = sample.join(present, "file").select(
-        "file", "line", "k", *split, "lines", "text", "_q1", "_q2", F.explode(F.array(*tries)).alias("t")
+    counts = F.array(
+        *[field_count(F.col("text"), F.lit(DELIMITERS[i]), None if QUOTES[j] is None else F.lit(QUOTES[j])) for i, j in tries]
     )
-    rows = rows.filter((F.col("t.q") == 0) | ((F.col("t.q") == 1) & F.col("_q1")) | ((F.col("t.q") == 2) & F.col("_q2")))
-    rows = rows.select(
-        "file", "line", "k", *split, F.col("t.d").alias("d"), F.col("t.q").alias("q"), "lines",
-        field_count(F.col("text"), F.col("t.delimiter"), F.col("t.quote")).alias("fields"),
+    rows = sample.select("file", "line", "k", *split, counts.alias("_c"))
+    rows = scan(rows, FILE_LINES, prev={"_p": F.col("_c")})
+    changed = {f"_r{n}": (~F.get("_c", F.lit(n)).eqNullSafe(F.get("_p", F.lit(n)))).cast("bigint") for n in range(len(tries))}
+    rows = scan(rows, FILE_LINES, total=changed)
+    each = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("d"), F.lit(j).alias("q"), F.col(f"_r{n}").alias("r"), F.get("_c", F.lit(n)).alias("fields")) for n, (i, j) in enumerate(tries)])
     )
-    islands = runs(
-        rows, Axis(("file", "d", "q"), "line"), F.col("fields"),
-        {"start": ("first", F.col("k")), "lines": ("first", F.col("lines"))}, only_true=False,
-    ).withColumnsRenamed({"state": "fields", "n": "run"})
+    islands = (
+        rows.select("file", "k", each.alias("_t")).select("file", "k", "_t.*").groupBy("file", "d", "q", "r", "fields")
+        .agg(F.count(F.lit(1)).alias("run"), F.min("k").alias("start"))
+        .join(present, "file").withColumnRenamed("_file_lines", "lines")
+    )
+    islands = islands.filter((F.col("q") == 0) | ((F.col("q") == 1) & F.col("_q1")) | ((F.col("q") == 2) & F.col("_q2")))
     best = F.max(F.struct(F.col("run"), (-F.col("start")).alias("early"), F.col("fields"))).alias("_b")
     marks = F.array(*[F.lit(d) for d in DELIMITERS]), F.array(*[F.lit(q).cast("string") for q in QUOTES])
     return islands.groupBy("file", "lines", "d", "q").agg(best).select(
@@ -122,11 +127,12 @@ def sample_cells(sample: DataFrame, dialect: DataFrame) -> DataFrame:
     """``(file, k, fields, col, cell)`` of the sample under each file's dialect."""
     known = dialect.filter("delimiter IS NOT NULL").select("file", "delimiter", "quote", "start")
     rows = sample.join(known, "file").withColumn("_f", split_fields(F.col("text"), F.col("delimiter"), F.col("quote")))
-    return rows.select("file", "k", "start", F.size("_f").alias("fields"), F.posexplode("_f").alias("col", "cell"))
+    split = [SPLIT] if has_splits(sample) else []
+    return rows.select("file", "k", *split, "start", F.size("_f").alias("fields"), F.posexplode("_f").alias("col", "cell"))
 
 
-def decimals(cells: DataFrame, dialect: DataFrame, rows: int | None = SAMPLE_ROWS) -> DataFrame:
-    """Decimal sign per file from its data rows; the delimiter cannot be it."""
+def decimals(cells: DataFrame, dialect: DataFrame, rows: int | None = None) -> DataFrame:
+    """Decimal sign per file from its data rows (the first ``rows``); the delimiter cannot be it."""
     data = cells.filter(F.col("k") >= F.col("start"))
     if rows is not None:
         data = data.filter(F.col("k") < F.col("start") + rows)
@@ -215,8 +221,8 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
 
     Rule order: ISO text, clock text, epoch seconds, epoch ms, then non-decreasing
     numbers, which are a counter when they step by one and a relative axis otherwise
-    (seconds up to a median step of two). Monotony needs the row order, so it is a
-    window over the sampled rows of one column.
+    (seconds up to a median step of two). Monotony needs the row order: one ordered
+    scan over the rows of each column, in slices where a file is large.
     """
     t = F.trim("cell")
     rows = cells.filter(t != "").withColumns({"_t": t, "_dec": decimal})
@@ -224,7 +230,8 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
     rows = rows.withColumns({"_iso": F.col("_t").rlike(c.ISO_TIME), "_clock": F.col("_t").rlike(c.CLOCK_TIME), "_n": number})
     raw = F.when(F.col("_iso"), iso_instant(F.col("_t"))).when(F.col("_clock"), row_clock_seconds(F.col("_t"))).otherwise(F.col("_n"))
     rows = rows.withColumn("_raw", raw)
-    rows = rows.withColumn("_d", F.col("_raw") - F.lag("_raw").over(Window.partitionBy(*keys).orderBy(order)))
+    rows = scan(rows, Axis(tuple(keys), order), prev={"_before": F.col("_raw")})
+    rows = rows.withColumn("_d", F.col("_raw") - F.col("_before"))
     n = F.col("_n")
     g = rows.groupBy(*keys).agg(
         F.min("_iso").alias("_iso"),
@@ -237,10 +244,11 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
         F.coalesce(F.min(F.col("_d") == 1.0), F.lit(False)).alias("_ones"),
         F.min(F.coalesce(n == F.floor(n), F.lit(False))).alias("_whole"),
         F.count(F.lit(1)).alias("_rows"),
-        F.percentile(F.when(F.col("_d") > 0, F.col("_d")), 0.5).alias("_step"),
         F.min_by("_t", order).alias("first_text"),
         F.min_by("_raw", order).alias("_first"),
     )
+    steps = quantiles(rows.filter(F.col("_d") > 0).select(*keys, "_d"), keys, "_d", {"_step": 0.5}, check=has_splits(cells))
+    g = g.join(steps, list(keys), "left")
     counter = (F.col("_rows") >= 3) & F.col("_whole") & F.col("_ones")
     cls = (
         F.when(F.col("_iso"), "iso8601")
@@ -261,8 +269,8 @@ def time_classes(cells: DataFrame, keys: list[str], decimal: Column, order: str
     )
 
 
-def data_rows(cells: DataFrame, found: DataFrame, rows: int | None = SAMPLE_ROWS) -> DataFrame:
-    """Sample cells of the data block, padded columns dropped."""
+def data_rows(cells: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cells of the data block (of its first ``rows``), padded columns dropped."""
     data = cells.drop("start").join(found.select("file", "data_start", "columns"), "file").filter(
         (F.col("k") >= F.col("data_start")) & (F.col("col") < F.col("columns"))
     )
@@ -344,11 +352,12 @@ def column_types(data: DataFrame, decimal: DataFrame) -> DataFrame:
 class Probe:
     """Probe tables of a set of files, each computed when first asked for.
 
-    Every step feeds several later ones, so the steps are settled: the sample is at
-    most 64 kB per file and what follows only shrinks.
+    Every step feeds several later ones, so the steps are settled. The numbered lines
+    are the largest: they are written once, and every later step and the reading of the
+    data block start from them instead of numbering the text again.
     """
 
-    def __init__(self, lines: DataFrame, *, declared_hz: float | None = None, max_bytes: int | None = SAMPLE_BYTES):
+    def __init__(self, lines: DataFrame, *, declared_hz: float | None = None, max_bytes: int | None = None):
         self.lines, self.declared_hz, self.max_bytes = lines, declared_hz, max_bytes
 
     @cached_property
@@ -392,5 +401,27 @@ class Probe:
         data = data_rows(self.cells, self.structure)
         return settle(time_column(data, self.decimals, self.headers, declared_hz=self.declared_hz))
 
-    def types(self, rows: int | None = SAMPLE_ROWS) -> DataFrame:
-        return column_types(data_rows(self.cells, self.structure, rows), self.decimals)
+    @cached_property
+    def types(self) -> DataFrame:
+        return settle(column_types(data_rows(self.cells, self.structure), self.decimals))
+
+    @property
+    def status(self) -> DataFrame:
+        """``(file, status, reason)`` of every file: what stands in the way of its samples."""
+        files = self.lines.select("file").distinct()
+        out = files.join(self.dialects.select("file", F.col("notice").alias("_dn"), "delimiter"), "file", "left")
+        out = out.join(self.structure.select("file", "data_start"), "file", "left")
+        out = out.join(self.time.select("file", "class", "hz"), "file", "left")
+        reason = (
+            F.when(F.col("delimiter").isNull(), F.coalesce("_dn", F.lit("no_lines")))
+            .when(F.col("data_start").isNull(), "no_data_row")
+            .when((F.col("class") == "absent") & F.col("hz").isNull(), "no_time_column")
+            .when((F.col("class") == "counter") & F.col("hz").isNull(), "counter_without_frequency")
+        )
+        numeric = F.col("type").isin("integer", "decimal")
+        unread = self.types.groupBy("file").agg(F.sum(F.when(numeric, F.col("non_numeric")).otherwise(0)).alias("unreadable_cells"))
+        out = out.join(unread, "file", "left")
+        return out.select(
+            "file", F.when(reason.isNull(), "ok").otherwise("error").alias("status"), reason.alias("reason"),
+            F.coalesce("unreadable_cells", F.lit(0)).alias("unreadable_cells"),
+        )

@@ -226,12 +226,11 @@ def test_precedence_keeps_unknown(spark):
     assert got == [(True, False), (None, None), (False, True), (False, None)]
 
 
-def test_event_cap_is_an_error(spark):
+def test_event_cap_is_reported(spark):
     rows = [(1, "a", i, i * 10, float(i % 2)) for i in range(10)]
     found = ev.events(spark.createDataFrame(rows, SCHEMA), LOG_TIME, F.col("v") > 0.5)
-    assert ev.assert_event_cap(found, ["log_id"], 5).count() == 5
-    with pytest.raises(Exception, match="events in one log"):
-        ev.assert_event_cap(found, ["log_id"], 4).count()
+    assert ev.over_event_cap(found, ["log_id"], 5).count() == 0
+    assert [(r.log_id, r.events) for r in ev.over_event_cap(found, ["log_id"], 4).collect()] == [(1, 5)]
 
 
 def test_state_lanes(data):
