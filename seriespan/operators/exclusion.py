@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import LOG_TIME
+from .ordered import LOG_TIME, any_of_key
 from .windows import derivative, window_extremes
 
 REASONS = ["transient", "cut", "protection", "transport_delay"]
@@ -26,6 +26,10 @@ class ExclusionLimits:
     transport_ms: int = 150
 
 
+def _columns(throttle: str | None, cut: str | None, protection: str | None) -> dict[str, str | None]:
+    return {"transient": throttle, "cut": cut, "protection": protection, "transport_delay": throttle}
+
+
 def exclusion(
     grid: DataFrame,
     lim: ExclusionLimits,
@@ -35,15 +39,18 @@ def exclusion(
     protection: str | None = None,
     unconfirmed: Collection[str] = (),
 ) -> DataFrame:
-    """Append ``ex_<reason>`` for every reason that applies, and ``exclude``.
+    """Append ``ex_<reason>`` for every reason that applies to some log, and ``exclude``.
 
-    A reason whose role is missing or unconfirmed is not applied (see
-    ``reasons_not_applied``); the result is the Kleene OR of the others, or FALSE
-    when none applies.
+    A reason applies to a log that has its role and has it confirmed: ``unconfirmed`` are
+    roles that no log has confirmed, and a column ``confirmed_<role column>`` on the grid
+    says it log by log. In a log it does not apply to, ``ex_<reason>`` is NULL and the
+    others decide (see ``reasons``): ``exclude`` is the Kleene OR of those that apply, or
+    FALSE when none does.
     """
-    roles = {"transient": throttle, "cut": cut, "protection": protection, "transport_delay": throttle}
+    roles = _columns(throttle, cut, protection)
     applied = {r: c for r, c in roles.items() if c is not None and c not in set(unconfirmed)}
-    out = grid
+    has = {f"_has_{c}": _usable(grid, c) for c in dict.fromkeys(applied.values())}
+    out = any_of_key(grid, LOG_TIME, has) if has else grid
     flags: dict[str, Column] = {}
     if "transient" in applied:
         out = derivative(out, LOG_TIME, F.col(throttle), lim.rate_window_ms, "_rate")
@@ -55,24 +62,44 @@ def exclusion(
         flags["cut"] = F.col(cut) >= lim.cut_min
     if "protection" in applied:
         flags["protection"] = F.col(protection) >= lim.protection_min
-    exclude: Column | None = None
+    exclude = F.lit(False)
+    for reason, flag in flags.items():
+        exclude = exclude | F.when(F.col(f"_has_{applied[reason]}"), flag).otherwise(False)
+    flags = {r: F.when(F.col(f"_has_{applied[r]}"), flags[r]) for r in REASONS if r in flags}
+    out = out.withColumns({**{f"ex_{r}": c for r, c in flags.items()}, "exclude": exclude})
+    return out.drop("_rate", "_hit", "_tr", "_td", *has)
+
+
+def _usable(grid: DataFrame, column: str) -> Column:
+    there = F.col(column).isNotNull()
+    return there & F.col(f"confirmed_{column}") if f"confirmed_{column}" in grid.columns else there
+
+
+def reasons(
+    grid: DataFrame,
+    *,
+    throttle: str | None = None,
+    cut: str | None = None,
+    protection: str | None = None,
+    unconfirmed: Collection[str] = (),
+) -> DataFrame:
+    """``(log_id, reason, applied, cause)``: for every log, which reasons apply and why others do not.
+
+    ``cause`` is ``missing`` where the log has no value of the role, else ``unconfirmed``.
+    """
+    roles = _columns(throttle, cut, protection)
+    used = [c for c in dict.fromkeys(roles.values()) if c is not None]
+    per_log = grid.groupBy("log_id").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max(F.col(c).isNotNull()).alias(f"_in_{c}") for c in used],
+        *[F.coalesce(F.max(_usable(grid, c)), F.lit(False)).alias(f"_ok_{c}") for c in used],
+    )
+    rows = []
     for reason in REASONS:
-        if reason in flags:
-            exclude = flags[reason] if exclude is None else exclude | flags[reason]
-    out = out.withColumns({f"ex_{r}": flags[r] for r in REASONS if r in flags})
-    out = out.withColumn("exclude", F.lit(False) if exclude is None else exclude)
-    return out.drop("_rate", "_hit", "_tr", "_td")
-
-
-def reasons_not_applied(present: Collection[str], unconfirmed: Collection[str], required: dict[str, list[str]]) -> dict[str, dict[str, list[str]]]:
-    """Reasons left out with their missing and unconfirmed roles."""
-    out = {}
-    for reason, roles in required.items():
-        missing = [r for r in roles if r not in present]
-        pending = [r for r in roles if r in unconfirmed and r not in missing]
-        if missing or pending:
-            out[reason] = {"missing": missing, "unconfirmed": pending}
-    return out
+        c = roles[reason]
+        there = F.lit(False) if c is None else F.col(f"_in_{c}")
+        sure = F.lit(False) if c is None or c in set(unconfirmed) else F.col(f"_ok_{c}")
+        rows.append(F.struct(F.lit(reason).alias("reason"), (there & sure).alias("applied"), F.when(~there, "missing").when(~sure, "unconfirmed").alias("cause")))
+    return per_log.select("log_id", F.explode(F.array(*rows)).alias("_r")).select("log_id", "_r.*")
 
 
 def kept(excluded: DataFrame) -> DataFrame:

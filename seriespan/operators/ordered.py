@@ -252,6 +252,22 @@ def span_of_key(df: DataFrame, axis: Axis, first: str = "_t_first", last: str =
     )
 
 
+def any_of_key(df: DataFrame, axis: Axis, flags: Mapping[str, Column]) -> DataFrame:
+    """Append whether each flag is TRUE on any row of the key; as ``span_of_key`` for large keys."""
+    inputs = {f"_a_{n}": F.coalesce(c, F.lit(False)) for n, c in flags.items()}
+    work = df.withColumns(inputs)
+    if not has_splits(df):
+        w = Window.partitionBy(*axis.keys)
+        return work.select(*df.columns, *[F.max(f"_a_{n}").over(w).alias(n) for n in flags])
+    large = (
+        work.filter(F.col(SPLIT).isNotNull()).groupBy(*axis.keys).agg(*[F.max(f"_a_{n}").alias(f"_b_{n}") for n in flags])
+    )
+    w = Window.partitionBy(*axis.keys, _chunk_at(F.col(axis.order)))
+    return work.join(F.broadcast(large), list(axis.keys), "left").select(
+        *df.columns, *[F.coalesce(F.col(f"_b_{n}"), F.max(f"_a_{n}").over(w)).alias(n) for n in flags]
+    )
+
+
 AGGREGATES = ("min", "max", "sum", "first", "last")
 
 

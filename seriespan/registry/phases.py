@@ -157,6 +157,34 @@ def exclusion_kept(spark, d):
     return exclusion.kept(_excluded(spark, d)).select("log_id", "seq", "click")
 
 
+PER_LOG = EXCL.replace(
+    "f AS (SELECT *,",
+    "f AS (SELECT * REPLACE (CASE WHEN log_id % 4 <> 1 THEN tps END AS tps, CASE WHEN log_id % 4 <> 2 THEN cut END AS cut, CASE WHEN log_id % 4 <> 3 THEN prot END AS prot),", 1,
+).replace("e AS (SELECT *, ex_transient OR ex_cut OR ex_protection OR ex_transport_delay AS exclude FROM y)", """p AS (SELECT log_id, bool_or(tps IS NOT NULL) AS ht, bool_or(cut IS NOT NULL) AS hc, bool_or(prot IS NOT NULL) AS hp FROM y GROUP BY log_id),
+  e AS (SELECT y.*, ht, hc, hp, CASE WHEN ht THEN ex_transient ELSE FALSE END OR CASE WHEN hc THEN ex_cut ELSE FALSE END OR CASE WHEN hp THEN ex_protection ELSE FALSE END OR CASE WHEN ht THEN ex_transport_delay ELSE FALSE END AS exclude FROM y JOIN p USING (log_id))""")
+
+
+def _some_roles(spark, d):
+    """Each log lacks one role or none, in turn."""
+    g = role_grid(samples(spark, d), "click", ["view", "error", "signup"], 2 * DAY)
+    return g.withColumns({c: F.when(F.col("log_id") % 4 != k, F.col(c)) for k, c in ((1, "view"), (2, "error"), (3, "signup"))})
+
+
+@query("exclusion_per_log", PER_LOG + "SELECT log_id, seq, CASE WHEN ht THEN ex_transient END AS ex_transient, CASE WHEN hc THEN ex_cut END AS ex_cut, CASE WHEN hp THEN ex_protection END AS ex_protection, exclude FROM e")
+def exclusion_per_log(spark, d):
+    out = exclusion.exclusion(_some_roles(spark, d), EXL, throttle="view", cut="error", protection="signup")
+    return out.select("log_id", "seq", "ex_transient", "ex_cut", "ex_protection", "exclude")
+
+
+@query(
+    "exclusion_reasons_per_log",
+    PER_LOG + """SELECT log_id, u.reason, u.has AS applied, CASE WHEN NOT u.has THEN 'missing' END AS cause
+  FROM (SELECT DISTINCT log_id, ht, hc, hp FROM e), LATERAL (VALUES ('transient', ht), ('cut', hc), ('protection', hp), ('transport_delay', ht)) u(reason, has)""",
+)
+def exclusion_reasons_per_log(spark, d):
+    return exclusion.reasons(_some_roles(spark, d), throttle="view", cut="error", protection="signup")
+
+
 @query("excluded_share", EXCL + "SELECT log_id, round(avg(coalesce(exclude, FALSE)::INT), 9) AS excluded_share FROM e GROUP BY log_id")
 def excluded_share(spark, d):
     out = exclusion.excluded_share(_excluded(spark, d))
