@@ -49,7 +49,8 @@ def native_lines(spark, d) -> DataFrame:
 
 def _header(spark, d):
     lines = native_lines(spark, d)
-    return (lines, *nat.read_header(lines))
+    marks = nat.scan_marks(lines)
+    return (lines, *nat.read_header(lines, marks=marks), marks)
 
 
 @query(
@@ -99,8 +100,8 @@ ROWS = """{S}, o AS (SELECT *, (t_ms % 86400000) AS sod, row_number() OVER w - 1
     round(CASE WHEN v <= 200 THEN floor(v * 100) * CASE channel_id WHEN 'error' THEN 0.1 WHEN 'view' THEN 0.1 WHEN 'purchase' THEN 0.001 ELSE 1 END END, 6) AS v FROM z""",
 )
 def native_samples(spark, d):
-    lines, files, channels, _ = _header(spark, d)
-    out = nat.read_samples(nat.read_rows(lines, files), channels)
+    lines, files, channels, _, marks = _header(spark, d)
+    out = nat.read_samples(nat.read_rows(lines, files), channels, clocks=nat.clocks_of(marks, files))
     return out.select("log_id", "channel_id", "seq", "t_ms", "raw", F.round("v", 6).alias("v"))
 
 
@@ -111,7 +112,7 @@ def native_samples(spark, d):
   UNION ALL SELECT '/logs/' || log_id || '.csv', NULL, NULL, 6, count(*) - 2 FROM b GROUP BY log_id HAVING count(*) > 2""",
 )
 def native_malformed_rows(spark, d):
-    lines, files, _, _ = _header(spark, d)
+    lines, files, _, _, _ = _header(spark, d)
     return nat.malformed_rows(nat.read_rows(lines, files), 2)
 
 
@@ -121,11 +122,30 @@ def native_malformed_rows(spark, d):
   SELECT '/logs/' || log_id || '.csv' AS file, 'reliable' AS reliability, t0 AS t0_ms FROM f""",
 )
 def native_clocks(spark, d):
-    lines, files, _, metadata = _header(spark, d)
-    out = clock.reconcile(nat.log_clocks(metadata, nat.read_rows(lines, files)))
+    _, files, _, metadata, marks = _header(spark, d)
+    out = clock.reconcile(nat.log_clocks(metadata, nat.clocks_of(marks, files)))
     return out.select("file", "reliability", F.unix_millis("t0").alias("t0_ms"))
 
 
+@query(
+    "path_notices",
+    """WITH q AS (SELECT o_orderkey AS k, '/logs/' || o_orderkey AS path FROM orders)
+  SELECT path, CASE WHEN k % 7 = 1 THEN 'missing' WHEN k % 7 = 2 THEN 'empty' ELSE 'unreadable' END AS notice
+  FROM q WHERE k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <> 1) AND k % 7 <> 0
+    OR k % 7 IN (1, 2)""",
+)
+def path_notices(spark, d):
+    """Some requested paths are not listed, some are empty, some give no line."""
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("/logs/"), "o_orderkey").alias("path"))
+    k = F.col("o_orderkey") % 7
+    listing = o.filter(k != 1).select("path", F.when(k == 2, 0).otherwise(F.lit(10)).alias("size"))
+    li = table(spark, d, "lineitem")
+    some = li.filter((F.col("l_linenumber") != 1) & ~(F.col("l_orderkey") % 7).isin(1, 2)).select("l_orderkey")
+    whole = o.filter(k == 0).select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = some.unionByName(whole).select(F.concat(F.lit("/logs/"), "l_orderkey").alias("file"))
+    return nat.path_notices(o, listing, lines)
+
+
 @query("format_detection", "SELECT '/logs/' || user_id || '.csv' AS file, 'nsp' AS format FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT '/doc/' || doc_id, 'generic' FROM documents")
 def format_detection(spark, d):
     docs = table(spark, d, "documents").select(

@@ -14,10 +14,12 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Large files are split as usual. Rows are numbered inside each split (bounded by
     ``spark.sql.files.maxPartitionBytes``) and shifted by the rows of the file's
     earlier splits, so no file passes through one task. Hidden paths are skipped, a
-    byte-order mark is dropped and any line ending is accepted by the reader.
+    byte-order mark is dropped and any line ending is accepted by the reader. A file that
+    is broken or goes meanwhile gives no lines instead of failing the others.
     """
     raw = (
         spark.read.option("recursiveFileLookup", "true")
+        .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),

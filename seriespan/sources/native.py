@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..catalog.units import INT32_SENTINELS
 from ..functions.clock import row_clock_seconds
-from ..operators.ordered import SPLIT, TARGET_ROWS, Axis
-from ..operators.quality import unwrap_midnight
 from ..session import settle
 from .lines import field_count, split_fields
 
@@ -56,7 +54,8 @@ TYPES: list[tuple[str, str, float, str]] = [
     ("PercentPerLambda", "pct_per_lambda", 1.0, "unknown"),
 ]
 
-DETAILED_ROWS = 20
+#: Rows of a slice of the clock; a row looks through its slice's midnights.
+SLICE_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -105,20 +104,50 @@ def triage_paths(listing: DataFrame, formats: DataFrame, own: str | None = None)
     ).select("path", "size", kind.alias("kind"))
 
 
-def _first_rows(lines: DataFrame, fmt: NativeFormat) -> DataFrame:
-    return lines.groupBy("file").agg(
-        F.min(F.when(F.col("text").rlike(fmt.row_pattern), F.col("line"))).alias("first_row"),
-        F.max(F.when(F.col("line") == 0, F.col("text").startswith(fmt.signature))).alias("signed"),
+def scan_marks(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> DataFrame:
+    """Everything but the cells, in one pass over the text: ``(file, line, clock_s, is_row, head, signed)``.
+
+    Rows keep their clock only, other lines that can be header pairs their text; the rest
+    is dropped. The result is settled: a few bytes a row, whatever the rows' length.
+    """
+    is_row = F.col("text").rlike(fmt.row_pattern)
+    signed = (F.col("line") == 0) & F.col("text").startswith(fmt.signature)
+    pair = ~is_row & F.col("text").contains(fmt.separator)
+    marks = lines.select(
+        "file", "line", F.when(is_row, row_clock_seconds(F.substring_index("text", fmt.delimiter, 1))).alias("clock_s"),
+        is_row.alias("is_row"), F.when(pair, F.col("text")).alias("head"), signed.alias("signed"),
+    )
+    return settle(marks.filter((F.col("line") == 0) | F.col("is_row") | F.col("head").isNotNull()))
+
+
+def path_notices(requested: DataFrame, listing: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(path, notice)`` of requested paths that give nothing: missing, empty or unreadable.
+
+    ``listing`` has size 0 for an empty file where its source lists it.
+    """
+    asked = requested.select("path").distinct()
+    found = asked.join(listing.groupBy("path").agg(F.max("size").alias("_size")), "path", "left")
+    found = found.join(lines.select(F.col("file").alias("path"), F.lit(True).alias("_read")).distinct(), "path", "left")
+    notice = (
+        F.when(F.col("_read"), None).when(F.col("_size").isNull(), "missing").when(F.col("_size") == 0, "empty").otherwise("unreadable")
+    )
+    return found.withColumn("notice", notice).filter("notice IS NOT NULL").select("path", "notice")
+
+
+def _starts(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("file").agg(
+        F.min(F.when(F.col("is_row"), F.col("line"))).alias("first_row"), F.max("signed").alias("signed")
     )
 
 
-def _header(lines: DataFrame, starts: DataFrame, fmt: NativeFormat) -> DataFrame:
-    """Header pairs with the channel block each belongs to (0 = metadata)."""
-    key = F.trim(F.substring_index("text", fmt.separator, 1))
-    value = F.trim(F.expr(f"substring(text, instr(text, '{fmt.separator}') + 1)"))
+def _header(marks: DataFrame, starts: DataFrame, fmt: NativeFormat) -> DataFrame:
+    """Header pairs of signed files with the channel block each belongs to (0 = metadata)."""
+    key = F.trim(F.substring_index("head", fmt.separator, 1))
+    value = F.trim(F.expr(f"substring(head, instr(head, '{fmt.separator}') + 1)"))
     head = (
-        lines.join(starts, "file")
-        .filter((F.col("first_row").isNull() | (F.col("line") < F.col("first_row"))) & F.col("text").contains(fmt.separator))
+        marks.filter(F.col("head").isNotNull()).select("file", "line", "head")
+        .join(starts.filter("signed").select("file", "first_row"), "file")
+        .filter(F.col("first_row").isNull() | (F.col("line") < F.col("first_row")))
         .select("file", "line", key.alias("key"), value.alias("value"))
     )
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -129,16 +158,20 @@ def _header(lines: DataFrame, starts: DataFrame, fmt: NativeFormat) -> DataFrame
     return head.withColumn("block", F.when(F.coalesce(is_open, F.lit(False)), number).otherwise(0))
 
 
-def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_header(
+    lines: DataFrame, fmt: NativeFormat = NativeFormat(), marks: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(files, channels, metadata)`` of native files.
 
     ``files(file, status, first_row, version)``: status is ok or the first error.
     ``channels(file, pos, name, native_id, type, disp_min, disp_max, dim, factor,
     confidence)``. ``metadata(file, key, value)``, last value of each key. Headers
-    are a few thousand lines per file; rows are never part of these windows.
+    are a few thousand lines per file; rows are never part of these windows, nor are
+    files without the signature.
     """
-    starts = settle(_first_rows(lines, fmt))
-    head = settle(_header(lines, starts, fmt))
+    marks = scan_marks(lines, fmt) if marks is None else marks
+    starts = _starts(marks)
+    head = settle(_header(marks, starts, fmt))
     part = lambda k: F.max_by("value", F.when(F.col("key") == k, F.col("line")))
     blocks = (
         head.filter("block > 0")
@@ -165,7 +198,6 @@ def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[D
         (F.col("_id").isNull() | F.col("type").isNull()).alias("incomplete"),
         (F.col("_id").isNotNull() & F.col("_id").try_cast("int").isNull()).alias("bad_id"),
     )
-    channels = settle(channels)
     metadata = head.filter("block = 0").groupBy("file", "key").agg(F.max_by("value", "line").alias("value"))
     version = metadata.filter(F.col("key") == fmt.version_key).select("file", F.col("value").alias("version"))
     per_file = channels.groupBy("file").agg(
@@ -183,7 +215,7 @@ def read_header(lines: DataFrame, fmt: NativeFormat = NativeFormat()) -> tuple[D
         .otherwise("ok")
     )
     files = files.select("file", status.alias("status"), "first_row", "version", F.coalesce("channels", F.lit(0)).alias("channels"))
-    return settle(files), channels, metadata
+    return settle(files), settle(channels), metadata
 
 
 def header_notices(channels: DataFrame) -> DataFrame:
@@ -228,9 +260,18 @@ def read_rows(lines: DataFrame, files: DataFrame, fmt: NativeFormat = NativeForm
     )
 
 
-def malformed_rows(rows: DataFrame, detailed: int = DETAILED_ROWS) -> DataFrame:
-    """Rows with a wrong field count: the first ones in detail, the rest as a total."""
+def clocks_of(marks: DataFrame, files: DataFrame) -> DataFrame:
+    """``(file, seq, clock_s)`` of the rows of readable files, without reading the text again."""
+    good = files.filter("status = 'ok'").select("file", "first_row")
+    rows = marks.filter(F.col("is_row")).select("file", "line", "clock_s").join(good, "file")
+    return rows.select("file", (F.col("line") - F.col("first_row")).alias("seq"), "clock_s")
+
+
+def malformed_rows(rows: DataFrame, detailed: int | None = None) -> DataFrame:
+    """Rows with a wrong field count; with ``detailed``, the first ones and a total of the rest."""
     bad = rows.filter(F.col("fields") != F.col("expected"))
+    if detailed is None:
+        return bad.select("file", F.col("seq").alias("row"), "fields", "expected", F.lit(1).cast("bigint").alias("rows"))
     w = Window.partitionBy("file").orderBy("seq")
     detail = (
         bad.withColumn("_k", F.row_number().over(w))
@@ -246,12 +287,38 @@ def malformed_rows(rows: DataFrame, detailed: int = DETAILED_ROWS) -> DataFrame:
     return detail.unionByName(rest)
 
 
+def timeline(clocks: DataFrame, rows_per_slice: int = SLICE_ROWS) -> DataFrame:
+    """``(file, slice, t0_s, days, wraps)``: how to turn a row's clock into its log time.
+
+    A file is cut into slices of equal row counts, so none passes through one task. ``days``
+    midnights lie before the slice and one at each row of ``wraps`` in it; ``t0_s`` is the
+    log's first clock. A drop of more than twelve hours is a midnight.
+    """
+    cut = clocks.withColumn("slice", F.floor(F.col("seq") / rows_per_slice))
+    inside = Window.partitionBy("file", "slice").orderBy("seq")
+    wrapped = lambda step: F.coalesce(step < -43200, F.lit(False))
+    cut = cut.withColumn("_wrap", wrapped(F.col("clock_s") - F.lag("clock_s").over(inside)))
+    edge = F.struct(F.col("clock_s").alias("x"))
+    slices = cut.groupBy("file", "slice").agg(
+        F.min_by(edge, "seq").alias("_a"), F.max_by(edge, "seq").alias("_z"),
+        F.sort_array(F.collect_list(F.when(F.col("_wrap"), F.col("seq")))).alias("wraps"),
+    )
+    order = Window.partitionBy("file").orderBy("slice")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_edge = wrapped(F.col("_a.x") - F.lag("_z").over(order)["x"]).cast("bigint")
+    slices = slices.withColumn("_edge", at_edge)
+    before = F.coalesce(F.sum(F.size("wraps")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return slices.select(
+        "file", "slice", F.first("_a").over(upto)["x"].alias("t0_s"), (before + F.sum("_edge").over(upto)).alias("days"), "wraps"
+    )
+
+
 def read_samples(
     rows: DataFrame,
     channels: DataFrame,
     *,
-    big_bytes: int | None = None,
-    rows_per_slice: int = TARGET_ROWS,
+    clocks: DataFrame | None = None,
+    rows_per_slice: int = SLICE_ROWS,
     keep_sentinels: bool = False,
     delimiter: str = ",",
 ) -> DataFrame:
@@ -259,28 +326,22 @@ def read_samples(
 
     The row clock is unwrapped over midnight in file order and rebased to the log's
     first row; empty cells are not samples and the overflow codes become NULL. Only the
-    clocks go through the ordered scan; the cells meet their time by (file, seq), which
-    spreads a single long log over all tasks. Files above ``big_bytes`` are scanned in slices of ``rows_per_slice`` rows (their row
-    number is dense, so equal slices need no statistics); ``None`` means the caller
-    saw in the listing that no file is that large.
+    ``clocks`` (see ``clocks_of``) are ordered; a row gets its slice's line of the settled
+    ``timeline`` and is read in place, in one pass over the text.
     """
-    axis = Axis(("file",), "seq")
-    timed = rows.select("file", "bytes", "seq", "clock_s")
-    if big_bytes is not None:
-        slices = F.struct(F.lit(0.0).alias("lo"), F.lit(float(rows_per_slice)).alias("width"))
-        timed = timed.withColumn(SPLIT, F.when(F.col("bytes") > big_bytes, slices))
-    timed = unwrap_midnight(timed, "clock_s", axis)
-    first = rows.groupBy("file").agg(F.min_by("clock_s", "seq").alias("_t0"))
-    t_ms = F.floor(F.round((F.col("t_abs_s") - F.col("_t0")) * 1000, 3)).cast("bigint")
-    timed = timed.join(first, "file").select("file", "seq", t_ms.alias("t_ms"))
-    per_file = channels.groupBy("file").agg(
+    clocks = rows.select("file", "seq", "clock_s") if clocks is None else clocks
+    times = settle(timeline(clocks, rows_per_slice))
+    per_file = settle(channels.groupBy("file").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.col("native_id").cast("string").alias("id"), "factor"))).alias("info")
-    )
+    ))
+    days = F.col("days") + F.size(F.filter("wraps", lambda w: w <= F.col("seq")))
+    t_ms = F.floor(F.round((F.col("clock_s") + days * 86400 - F.col("t0_s")) * 1000, 3)).cast("bigint")
     cells = (
-        rows.select("file", "seq", "text")
-        .join(timed, ["file", "seq"])
+        rows.select("file", "seq", "clock_s", "text")
+        .withColumn("slice", F.floor(F.col("seq") / rows_per_slice))
+        .join(times, ["file", "slice"])
         .join(per_file, "file")
-        .select("file", "seq", "t_ms", "info", F.posexplode(split_fields(F.col("text"), F.lit(delimiter))).alias("_at", "cell"))
+        .select("file", "seq", t_ms.alias("t_ms"), "info", F.posexplode(split_fields(F.col("text"), F.lit(delimiter))).alias("_at", "cell"))
         .withColumn("pos", F.col("_at") - 1)
         .filter(F.col("pos").between(0, F.size("info") - 1) & (F.trim("cell") != ""))
         .withColumn("raw", F.trim("cell").try_cast("int"))  # a failing cast is dear: empty cells are gone
@@ -298,11 +359,11 @@ def drop_sentinels(raw):
     return F.when(~raw.isin(INT32_SENTINELS), raw)
 
 
-def log_clocks(metadata: DataFrame, rows: DataFrame, fmt: NativeFormat = NativeFormat()) -> DataFrame:
+def log_clocks(metadata: DataFrame, clocks: DataFrame, fmt: NativeFormat = NativeFormat()) -> DataFrame:
     """The header stamps and first clock per file, ready for ``clock.reconcile``."""
     pick = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
     stamps = metadata.groupBy("file").agg(
         pick(fmt.started_key).alias("started"), pick(fmt.downloaded_key).alias("downloaded"), pick(fmt.number_key).alias("log_number")
     )
-    first = rows.groupBy("file").agg(F.min_by("clock_s", "seq").alias("first_row_s"))
+    first = clocks.groupBy("file").agg(F.min_by("clock_s", "seq").alias("first_row_s"))
     return first.join(stamps, "file", "left")

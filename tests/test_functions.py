@@ -91,7 +91,9 @@ def test_presentation_names(spark):
 
 def test_enum_codes_and_limits(spark):
     rows = [("a", x) for x in ("Idle", "Run", "idle", "#N/A", "Run")] + [("b", x) for x in ("Off", "ON")] + [("c", f"v{i}") for i in range(600)]
-    d = cells.enum_dictionary(spark.createDataFrame(rows, "col string, cell string"), ["col"])
+    frame = spark.createDataFrame(rows, "col string, cell string")
+    assert cells.enum_dictionary(frame, ["col"]).filter("col = 'c'").count() == 600
+    d = cells.enum_dictionary(frame, ["col"], limit=512)
     got = {(r.col, r.label): r.code for r in d.collect()}
     assert got == {("a", "Idle"): 0, ("a", "Run"): 1, ("a", "idle"): 2, ("b", "Off"): 0, ("b", "ON"): 1}
 

@@ -84,8 +84,8 @@ def test_native_rows_and_samples(spark, native_dir):
     bad = nat.malformed_rows(rows).filter(F.col("file").endswith("/good.csv")).orderBy("row").collect()
     assert [(r.row, r.fields, r.expected) for r in bad] == [(3, 2, 4), (4, 6, 4)]
     rows, channels = rows.cache(), channels.cache()
-    for big in (None, 1):
-        s = nat.read_samples(rows, channels, big_bytes=big, rows_per_slice=2).filter(F.col("log_id").endswith("/good.csv"))
+    for size in (8192, 2, 1):
+        s = nat.read_samples(rows, channels, rows_per_slice=size).filter(F.col("log_id").endswith("/good.csv"))
         rpm = s.filter("channel_id = '384'").orderBy("seq").collect()
         assert [(r.t_ms, r.raw) for r in rpm] == [(0, 1000), (50, 1100), (100, None), (150, 1300), (200, 1400), (190, 1500)]
         clt = s.filter("channel_id = '229'").orderBy("seq").collect()
