@@ -212,23 +212,41 @@ def _named(spark, d):
   e(key, role) AS (VALUES ('redring', 'colour_ring'), ('bluering', 'colour_ring'), ('greenring', 'colour_ring'), ('smallwidget', 'widget'),
     ('largewidget', 'widget'), ('redbolt', 'bolt'), ('steelgear', 'gearish'), ('bluebolt', 'bolt_b'))
   SELECT p_partkey, name, coalesce(e.role, CASE WHEN regexp_matches(key, '^widget\\d+$') THEN 'widget' WHEN regexp_matches(key, '^bolt\\d+size$') THEN 'bolt' END) AS role,
-    CASE WHEN e.role IS NOT NULL THEN 'exact' ELSE 'indexed' END AS confidence,
-    CASE WHEN e.role IS NULL THEN CAST(regexp_extract(key, '(\\d+)', 1) AS INT) END AS idx
-  FROM k LEFT JOIN e USING (key) WHERE e.role IS NOT NULL OR regexp_matches(key, '^widget\\d+$') OR regexp_matches(key, '^bolt\\d+size$')""",
+    CASE WHEN e.role IS NOT NULL THEN 'exact' WHEN regexp_matches(key, '^(widget|bolt)\\d+') THEN 'indexed' END AS confidence,
+    CASE WHEN e.role IS NULL THEN TRY_CAST(regexp_extract(key, '(\\d+)', 1) AS INT) END AS idx
+  FROM k LEFT JOIN e USING (key)""",
 )
 def role_exact_indexed(spark, d):
     named = _named(spark, d)
     roles = spark.createDataFrame(ROLE_SYNONYMS, "ord int, role string, synonyms array<string>")
-    found = names.assign_roles(named, roles).filter(F.col("confidence") != "fuzzy")
-    return named.join(found, "name").select("p_partkey", "name", "role", "confidence", F.col("index").alias("idx"))
+    found = names.assign_roles(named, roles, cutoff=1.0)  # nothing short of equal
+    return named.join(found, "name", "left").select("p_partkey", "name", "role", "confidence", F.col("index").alias("idx"))
 
 
-@query("role_assignment")
+# Closeness of the names that no synonym or pattern has: matched characters of both lengths, found by hand.
+CLOSE = """('redwidget', 'widget', 8, 20)"""
+
+
+@query(
+    "role_assignment",
+    f"""WITH n AS (SELECT p_partkey, p_size, CASE p_partkey % 9 WHEN 0 THEN 'Widget_' || p_size WHEN 1 THEN 'BOLT ' || p_size || ' size' ELSE p_name END AS name FROM part),
+  k AS (SELECT *, replace(replace(lower(name), ' ', ''), '_', '') AS key FROM n),
+  e(key, role) AS (VALUES ('redring', 'colour_ring'), ('bluering', 'colour_ring'), ('greenring', 'colour_ring'), ('smallwidget', 'widget'),
+    ('largewidget', 'widget'), ('redbolt', 'bolt'), ('steelgear', 'gearish'), ('bluebolt', 'bolt_b')),
+  c(key, role, m, t) AS (VALUES {CLOSE})
+  SELECT p_partkey, name, CASE p_partkey % 9 WHEN 0 THEN 'widget' WHEN 1 THEN 'bolt' ELSE coalesce(e.role, c.role) END AS role,
+    CASE WHEN p_partkey % 9 < 2 THEN 'indexed' WHEN e.role IS NOT NULL THEN 'exact' WHEN c.role IS NOT NULL THEN 'fuzzy' END AS confidence,
+    CASE WHEN p_partkey % 9 < 2 THEN p_size END AS idx,
+    CASE WHEN p_partkey % 9 < 2 OR e.role IS NOT NULL THEN 1.0 ELSE round(2.0 * c.m / c.t, 9) END::DOUBLE AS ratio
+  FROM k LEFT JOIN e USING (key) LEFT JOIN c USING (key)""",
+)
 def role_assignment(spark, d):
     named = _named(spark, d)
     roles = spark.createDataFrame(ROLE_SYNONYMS, "ord int, role string, synonyms array<string>")
     found = names.assign_roles(named, roles, cutoff=0.8)
-    return named.join(found, "name", "left").select("p_partkey", "name", "role", "confidence", F.col("index").alias("idx"), "ratio")
+    return named.join(found, "name", "left").select(
+        "p_partkey", "name", "role", "confidence", F.col("index").alias("idx"), F.round("ratio", 9).alias("ratio")
+    )
 
 
 DECL = """, de AS (SELECT lower(p_name) AS role, p_partkey AS log_id, CASE p_size % 17 WHEN 0 THEN NULL WHEN 1 THEN 'nonsense' ELSE

@@ -184,10 +184,11 @@ def unit_in_name(spark, d):
 
 @query(
     "name_normalise",
-    r"""SELECT p_partkey, lower(regexp_replace(p_name || ' - ' || p_brand || '_' || p_type, '[\s_\-./()\[\]{}:,;+]+', '', 'g')) AS key FROM part""",
+    r"""SELECT p_partkey, strip_accents(lower(regexp_replace(translate(p_name, 'eoi', CASE WHEN p_partkey % 2 = 0 THEN 'éÖî' ELSE 'eoi' END) || ' - ' || p_brand || '_' || p_type, '[\s_\-./()\[\]{}:,;+]+', '', 'g'))) AS key FROM part""",
 )
 def name_normalise(spark, d):
-    full = F.concat("p_name", F.lit(" - "), "p_brand", F.lit("_"), "p_type")
+    name = F.when(F.col("p_partkey") % 2 == 0, F.translate("p_name", "eoi", "éÖî")).otherwise(F.col("p_name"))
+    full = F.concat(name, F.lit(" - "), "p_brand", F.lit("_"), "p_type")
     rows = table(spark, d, "part").select("p_partkey", full.alias("full"))
     return names.with_normalised(rows, "full", "key").select("p_partkey", "key")
 
