@@ -21,7 +21,8 @@ HEADLINE = [
     "hysteresis_runs", "band_runs", "hold_asof", "role_grid", "derivative", "window_extreme", "local_peak",
     "sampling_gaps", "channel_stats", "mesh_2d", "rollup_continuous", "rollup_enum", "unit_convert", "exclusion_filter",
     "phase_segments", "gear_detection", "step_response", "plausibility", "identity_layers", "concatenated_timeline",
-    "index_plan", "type_inference", "detector_lean_under_load", "triage_table", "native_samples",
+    "index_plan", "type_inference", "detector_lean_under_load", "triage_table", "native_samples", "csv_dialect", "csv_series",
+    "enum_encode_decode",
 ]
 
 

@@ -161,11 +161,11 @@ def effective_unit(
 
     out = (
         channels.join(layer(overrides, "channel_id", "override"), F.col("channel_id") == F.col("_override_key"), "left")
-        .join(F.broadcast(layer(profile, "dim", "profile")), F.col("dim") == F.col("_profile_key"), "left")
-        .join(F.broadcast(layer(preset, "dim", "preset")), F.col("dim") == F.col("_preset_key"), "left")
+        .join(layer(profile, "dim", "profile"), F.col("dim") == F.col("_profile_key"), "left")
+        .join(layer(preset, "dim", "preset"), F.col("dim") == F.col("_preset_key"), "left")
     )
     known = valid.groupBy("_d").agg(F.collect_set("_u").alias("_units"))
-    out = out.join(F.broadcast(known), F.col("dim") == F.col("_d"), "left")
+    out = out.join(known, F.col("dim") == F.col("_d"), "left")
     first = {d: canonical_unit(d) for d in dict.fromkeys(r[0] for r in UNITS)}
     canon = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[F.col("dim")]
 
@@ -221,7 +221,7 @@ def pressure_reference(
 def scale_raw(channels: DataFrame, types: DataFrame) -> DataFrame:
     """Add ``dim, factor, confidence`` of each channel's declared type."""
     t = types.select("type", F.col("dim").alias("_dim"), F.col("factor").alias("_f"), F.col("confidence").alias("_c"))
-    return channels.join(F.broadcast(t), "type", "left").select(
+    return channels.join(t, "type", "left").select(
         *channels.columns,
         F.coalesce("_dim", F.lit("unknown")).alias("dim"),
         F.when(F.col("_c").isin("confirmed", "inferred"), F.col("_f")).otherwise(F.lit(1.0)).alias("factor"),

@@ -16,7 +16,7 @@ def exclusion_reasons(declared: DataFrame, units: DataFrame) -> DataFrame:
     is absolute, gauge or NULL.
     """
     known = units.groupBy(F.col("dim").alias("_d")).agg(F.collect_set("unit").alias("_units"))
-    out = declared.join(F.broadcast(known), declared["dim"] == known["_d"], "left")
+    out = declared.join(known, declared["dim"] == known["_d"], "left")
     foreign = F.col("source_unit").isNotNull() & ~F.array_contains("_units", F.col("source_unit"))
     gauge = (F.col("dim") == "pressure") & (F.col("pressure") == "gauge") & F.col("reference_kpa").isNull()
     reason = (

@@ -105,7 +105,7 @@ def detector_states(
         F.sort_array(F.collect_list(F.when(~F.col("_c"), F.col("role")))).alias("unconfirmed"),
     )
     sensitive = F.arrays_overlap("severities", F.array(*[F.lit(a) for a in affected]))
-    out = lists.join(F.broadcast(detectors.select("detector", "severities")), "detector")
+    out = lists.join(detectors.select("detector", "severities"), "detector")
     reason = F.when(F.size("missing") > 0, "role_missing").when(
         sensitive & (F.size("unconfirmed") > 0), "role_unconfirmed"
     )

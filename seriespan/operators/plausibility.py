@@ -98,7 +98,7 @@ def evaluate(
     """
     keys = ["log_id", "channel_id"]
     config, slots = _with_tries(roles, lim)
-    info = channels.join(F.broadcast(config), "role", "left")
+    info = channels.join(config, "role", "left")
     rows = samples.select(*keys, "v").join(info, keys)
     v = F.col("v")
     marked = F.coalesce(v.isin([float(s) for s in sentinels]), F.lit(False)) if sentinels else F.lit(False)

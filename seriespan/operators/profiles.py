@@ -81,7 +81,7 @@ def suggest(
     if limit_roles is not None:
         only_limits = limit_roles.select("profile", "role").distinct().join(referenced, ["profile", "role"], "left_anti")
         here = useful.filter(F.col("role").isNotNull()).select("log_id", "role").distinct()
-        from_panels = from_panels.unionByName(here.join(F.broadcast(only_limits), "role").select("log_id", "profile", "role"))
+        from_panels = from_panels.unionByName(here.join(only_limits, "role").select("log_id", "profile", "role"))
         all_roles = referenced.unionByName(only_limits)
     have = from_panels.distinct().groupBy("log_id", "profile").agg(F.count(F.lit(1)).alias("available"))
     totals = all_roles.groupBy("profile").agg(F.count(F.lit(1)).alias("roles"))
@@ -111,7 +111,7 @@ def reapply_import(saved: DataFrame, current: DataFrame, files: DataFrame, profi
     pairs = with_each(files, p)
     cur = pairs.join(current, "file").select("file", "profile", "key", F.col("name").alias("_cn"), F.col("decision").alias("_cd"))
     old = pairs.select("file", "profile").join(
-        F.broadcast(saved.select("profile", "key", F.col("name").alias("_sn"), F.col("decision").alias("_sd"), "origin")), "profile"
+        saved.select("profile", "key", F.col("name").alias("_sn"), F.col("decision").alias("_sd"), "origin"), "profile"
     )
     full = cur.join(old, ["file", "profile", "key"], "full_outer")
     state = F.when(F.col("_sn").isNull(), "new").when(F.col("_cn").isNull(), "lost").otherwise("matched")

@@ -151,7 +151,8 @@ def sensor_health(spark, d):
     min(v) FILTER (channel_id = 'error' AND v > 150) AS lambda_min, count(v) FILTER (channel_id = 'click') AS samples FROM s GROUP BY log_id""",
 )
 def triage_table(spark, d):
-    s = samples(spark, d).filter(~((F.col("channel_id") == "error") & (F.col("v") <= 150)))
+    low = (F.col("channel_id") == "error") & (F.col("v") <= 150)
+    s = samples(spark, d).withColumn("v", F.when(~low, F.col("v")))
     out = an.triage_table(
         s,
         {"rpm_max": ("click", "max"), "boost_avg": ("view", "avg"), "lambda_min": ("error", "min"), "samples": ("click", "count")},

@@ -12,13 +12,9 @@ from seriespan import registry
 registry.load()
 FOLDER = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
-# A spread over the modules; `python tests/oracle.py` runs them all.
-SAMPLE = [
-    "hysteresis_runs", "hold_asof", "precedence", "local_peak", "mesh_compare", "rollup_enum", "rollup_slice",
-    "channel_stats", "unit_convert", "phase_coverage", "exclusion_filter", "step_response", "plausibility",
-    "identity_layers", "profile_suggestions", "concatenated_timeline", "index_plan", "type_inference",
-    "detector_tip_in", "run_summary", "native_samples", "csv_dialect",
-]
+# Queries that rightly find nothing in the smallest tables.
+NONE_HERE: set[str] = set()
+NAMES = sorted(n for n in registry.ORACLES if not n.startswith("op") and n != "pipeline")
 
 
 @pytest.fixture(scope="module")
@@ -28,11 +24,11 @@ def con():
     return oracle.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     problems, rows, _ = oracle.compare(spark, con, name, registry.QUERIES[name], registry.ORACLES[name], FOLDER)
     assert not problems
-    assert rows > 0
+    assert rows > 0 or name in NONE_HERE
 
 
 def test_every_oracle_has_a_query():
