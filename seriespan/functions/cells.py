@@ -335,13 +335,18 @@ def name_and_unit(name: Column) -> tuple[Column, Column, Column]:
 def presentation_names(headers: DataFrame, keys: Sequence[str], position: str = "pos", name: str = "name") -> DataFrame:
     """Unique display names: blanks become ``col_N``, repeats get ``_2``, ``_3``...
 
-    A suffixed name that already exists as another column's name moves to the next
-    free suffix; headers are a few hundred names per file, so this is one small
-    array fold per file.
+    A repeat's number is its place among equal names. Only in files where a suffixed name
+    is also another column's are the names placed one after the other, each at the next
+    free suffix.
     """
     base = F.when(F.trim(F.coalesce(F.col(name), F.lit(""))) == "", F.concat(F.lit("col_"), F.col(position) + 1)).otherwise(F.col(name))
-    packed = headers.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), base.alias("n")))).alias("h")
+    number = F.row_number().over(Window.partitionBy(*keys, "base").orderBy(position))
+    shown = F.when(number > 1, F.concat("base", F.lit("_"), number)).otherwise(F.col("base"))
+    named = headers.select(*keys, F.col(position), base.alias("base")).withColumn("display", shown)
+    clash = named.groupBy(*keys).agg((F.count(F.lit(1)) > F.count_distinct("display")).alias("_clash"))
+    plain = named.join(clash.filter("NOT _clash"), list(keys)).select(*keys, position, "base", "display")
+    packed = named.join(clash.filter("_clash"), list(keys)).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("base").alias("n")))).alias("h")
     )
 
     def place(used: Column, item: Column) -> Column:
@@ -353,9 +358,10 @@ def presentation_names(headers: DataFrame, keys: Sequence[str], position: str =
         return F.concat(used, F.array(free[0]))
 
     names = F.aggregate("h", F.array().cast("array<string>"), place)
-    return packed.select(*keys, F.posexplode(names).alias("_i", "display"), F.col("h").alias("_h")).select(
+    placed = packed.select(*keys, F.posexplode(names).alias("_i", "display"), F.col("h").alias("_h")).select(
         *keys, F.col("_h")[F.col("_i")]["p"].alias(position), F.col("_h")[F.col("_i")]["n"].alias("base"), "display"
     )
+    return plain.unionByName(placed)
 
 
 def header_fingerprint(headers: DataFrame, keys: Sequence[str], delimiter: Column, encoding: Column) -> DataFrame:
