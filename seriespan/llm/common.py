@@ -1,62 +1,28 @@
-"""Helpers shared by the operators: key lookups that survive hot keys, and components."""
+"""Helpers shared by the operators: reading tables, and connected components."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 
-#: A key counts as hot above this share of all rows, so there are at most ``1 / HOT_SHARE`` of them.
-HOT_SHARE = 1e-4
-#: Below so many rows a key is never hot: one task takes them easily.
-HOT_ROWS = 20_000
-
 
 def read(spark, folder: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{table}.parquet")
     return df.select(*columns) if columns else df
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, *, count: str, total: int, spread: Column) -> DataFrame:
-    """Left-join one row per key onto rows of which one key may hold any share.
-
-    ``groups`` has ``key``, the key's row ``count`` and the values to attach. Keys above
-    ``HOT_SHARE`` of ``total`` (at most ``1 / HOT_SHARE`` keys, so the broadcast is bounded) are
-    looked up by broadcast. The others meet in a shuffled join, in which the rows already served
-    and those without a key carry one of their own made from ``spread`` (not null) and so are dealt
-    evenly.
-    """
-    values = [c for c in groups.columns if c not in (key, count)]
-    limit = max(total * HOT_SHARE, HOT_ROWS)
-    hot = groups.where(F.col(count) > limit).select(
-        F.col(key).alias("_hk"), F.struct(*values).alias("_hot")
-    )
-    cold = groups.where(F.col(count) <= limit).select(
-        F.concat(F.lit("k"), F.col(key).cast("string")).alias("_ck"), F.struct(*values).alias("_cold")
-    )
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
-    out = out.withColumn(
-        "_ck",
-        F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(
-            F.concat(F.lit("s"), spread.cast("string"))
-        ),
-    )
-    out = out.join(cold, "_ck", "left").drop("_ck")
-    found = F.coalesce("_hot", "_cold")
-    return out.select(*rows.columns, *(found[v].alias(v) for v in values))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)``, the smallest node reachable.
 
     Alternates the large-star and small-star steps (every node hands the smallest node it knows to
     its neighbours), which converge in a few rounds, in proportion to the logarithm of the size. A
     round is written to the shared folder, so lineage stays short and lost executors cost one round.
-    Per round a node's edges are combined map-side; no component is gathered anywhere. Null ends and
-    loops are ignored; an empty input gives no rows.
+    Per round a node's edges are combined map-side; no component is gathered anywhere. Nodes' minima
+    are written before they are joined back, so that both sides of the join are plain exchanges and
+    adaptive execution can split a node that holds a large share of all edges. Null ends and loops are
+    ignored; an empty input gives no rows.
     """
     now = settle(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -65,12 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = (
             both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         ).distinct()
         large = settle(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         small = settle(
             large.join(low, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
@@ -92,6 +58,3 @@ def _same(left: DataFrame, right: DataFrame) -> bool:
     ]
     return seen[0] == seen[1]
 
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

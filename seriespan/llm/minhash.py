@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookup import attach
 from ..session import settle
-from .common import attach, components
+from .common import components
 from .text import Block, blocks, mix, text_shingles
 
 SHINGLE = 5

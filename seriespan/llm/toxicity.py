@@ -36,6 +36,7 @@ FEATURES = 768
 SMOOTHING = 1.0
 PENALTY = 1.0
 THRESHOLD = 0.5
+COUNT_BLOCK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,7 @@ def class_counts(sample: DataFrame) -> DataFrame:
         totals = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             labels, at = batch.column("label").to_numpy(), 0
-            for texts in text_blocks(batch.column("text")):
+            for texts in text_blocks(batch.column("text"), COUNT_BLOCK):
                 text, code = features(texts)
                 mine = labels[at : at + len(texts)][text]
                 at += len(texts)

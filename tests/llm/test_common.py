@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 from seriespan.llm import common
+from seriespan.operators import lookup
 
 
 def test_components_of_chains_stars_and_loops(spark):
@@ -10,10 +11,10 @@ def test_components_of_chains_stars_and_loops(spark):
 
 
 def test_attach_with_hot_and_null_keys(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(lookup, "HOT_ROWS", 50)
     rows = spark.range(500).selectExpr("id", "CASE WHEN id < 300 THEN 'hot' WHEN id < 320 THEN NULL ELSE cast(id % 40 AS string) END AS k")
     groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    got = common.attach(rows, groups, "k", count="n", total=500, spread=F.col("id")).collect()
+    got = lookup.attach(rows, groups, "k", count="n", total=500, spread=F.col("id")).collect()
     want = {}
     for r in rows.collect():
         want.setdefault(r["k"], r["id"])
