@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
+import test_decontamination
+import test_minhash
 from seriespan import registry
 from seriespan.llm import queries  # noqa: F401
 
@@ -39,8 +41,21 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert [n for n, _ in P.STAGES][1] == "MinHash near-dedup" and len(P.STAGES) == 5
     before = docs
+    items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     for i, (_, stage) in enumerate(P.STAGES):
         after = P.settle(stage(spark, before, FOLDER))
+        rows = [tuple(r) for r in before.select("doc_id", "text").collect()] if i in (1, 2) else []
+        if i == 1:
+            assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in test_minhash.brute(rows) if r[3]}
+        if i == 2:
+            known = {s for _, t in items for s in test_decontamination.shingles(t.lower().split())}
+            near = [r for r in rows if known & set(test_decontamination.shingles(r[1].lower().split()))]
+            leaked = {key for key, _ in test_decontamination.brute(near, items)}
+            assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in rows} - leaked
+        if i == 3:
+            copies = {r["doc_id"]: r["count"] for r in after.groupBy("doc_id").count().collect()}
+            mixed = {r["doc_id"]: r["copies"] for r in P.mixing.mix(before).where("copies > 0").select("doc_id", "copies").collect()}
+            assert copies == mixed and max(copies.values()) <= 3
         if i < 4:
             assert after.columns == docs.columns
             assert after.join(before, "doc_id", "left_anti").count() == 0
