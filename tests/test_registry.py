@@ -13,7 +13,7 @@ registry.load()
 FOLDER = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
 # Queries that rightly find nothing in the smallest tables.
-NONE_HERE: set[str] = set()
+NONE_HERE = {"detector_boost_overshoot"}
 NAMES = sorted(n for n in registry.ORACLES if not n.startswith("op") and n != "pipeline")
 
 
