@@ -81,8 +81,25 @@ def dense(cells: DataFrame, keys: list[str], nx: int, ny: int) -> DataFrame:
     return full.join(cells, [*keys, "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def compare(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Cell by cell ``before - after``; the count is the smaller of the two."""
+def comparable_edges(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, comparable, reason)``: meshes whose edges differ must not be compared cell by cell.
+
+    Both sides are ``edge_table`` rows ``(keys, edges)``; a mesh that only one side has is
+    not comparable either.
+    """
+    b = before.select(*keys, F.col("edges").alias("_b"))
+    both = b.join(after.select(*keys, F.col("edges").alias("_a")), keys, "full_outer")
+    reason = F.when(F.col("_a").isNull() | F.col("_b").isNull(), "missing").when(F.col("_a") != F.col("_b"), "different_edges")
+    return both.select(*keys, reason.isNull().alias("comparable"), reason.alias("reason"))
+
+
+def compare(before: DataFrame, after: DataFrame, keys: list[str], edges: DataFrame | None = None) -> DataFrame:
+    """Cell by cell ``before - after``; the count is the smaller of the two.
+
+    With ``edges`` (see ``comparable_edges``), only meshes of equal edges are compared.
+    """
+    if edges is not None:
+        before = before.join(edges.filter("comparable").select(*keys), keys, "left_semi")
     stats = ["mean", "sd", "lo", "hi"]
     b = before.select(*keys, "i", "j", F.col("n").alias("_nb"), *[F.col(s).alias(f"_b_{s}") for s in stats])
     return b.join(after, [*keys, "i", "j"]).select(

@@ -189,6 +189,7 @@ def precedence(spark, d):
     "derived_channels",
     GRID + """SELECT log_id, seq, round(v / nullif(view, 0) - 1, 6) AS lambda_error, round(v * view, 6) AS afr,
     round(v - error, 6) AS relative_boost, round(v / nullif(error, 0), 6) AS pressure_ratio,
+    round(view - error, 6) AS boost_error, round(error - v, 6) AS wheel_slip,
     CASE WHEN view IS NULL OR error IS NULL THEN NULL ELSE least(v, view, error) END AS smallest,
     CASE WHEN view IS NULL OR error IS NULL THEN NULL ELSE greatest(v, view, error) END AS largest FROM g2""",
 )
@@ -200,6 +201,8 @@ def derived_channels(spark, d):
         F.round(formulas.air_fuel_ratio(c, v), 6).alias("afr"),
         F.round(formulas.gauge_boost(c, e), 6).alias("relative_boost"),
         F.round(formulas.pressure_ratio(c, e), 6).alias("pressure_ratio"),
+        F.round(formulas.boost_error(v, e), 6).alias("boost_error"),
+        F.round(formulas.wheel_slip(e, c), 6).alias("wheel_slip"),
         formulas.smallest(c, v, e).alias("smallest"),
         formulas.largest(c, v, e).alias("largest"),
     )

@@ -246,6 +246,40 @@ def csv_time_axis(spark, d):
     return out.select("file", "class", "col", "factor", F.round("hz", 3).alias("hz"), "reliability")
 
 
+TIMES = """WITH r AS (SELECT l_suppkey % 7 AS m, '/times/' || l_suppkey AS file, count(*) AS n FROM lineitem GROUP BY l_suppkey)
+"""
+
+
+@query(
+    "csv_time_classes",
+    TIMES + """SELECT file, CASE WHEN m = 5 AND n < 3 THEN 'relative' ELSE list_extract(['iso8601', 'clock', 'date_and_clock', 'epoch_s', 'epoch_ms', 'counter', 'absent'], CAST(m + 1 AS INT)) END AS class,
+    CASE WHEN m = 4 THEN 0.001 ELSE 1.0 END::DOUBLE AS factor,
+    CASE m WHEN 0 THEN 1700000001 WHEN 2 THEN 1785283201 WHEN 3 THEN 1700000001 WHEN 4 THEN 1700000000.05 END::DOUBLE AS t0_s,
+    CASE WHEN m IN (0, 2, 3, 4) THEN 'reliable' ELSE 'unknown' END AS reliability,
+    CASE WHEN n > 1 AND m < 5 THEN CASE WHEN m = 4 THEN 20 ELSE 1 END END::DOUBLE AS hz,
+    CASE m WHEN 1 THEN 'clock_without_date' WHEN 5 THEN 'counter_without_frequency' WHEN 6 THEN 'no_time_column' END AS notice FROM r""",
+)
+def csv_time_classes(spark, d):
+    """One kind of time column per file: instants, clocks with and without a date, epochs, a counter, none."""
+    axis = Axis(("l_suppkey",), "l_orderkey", ("l_linenumber", "l_partkey", "l_extendedprice"))
+    li = scan(attach_splits(table(spark, d, "lineitem"), axis), axis, total={"n": F.lit(1).cast("bigint")})
+    k, n = F.col("l_suppkey") % 7, F.col("n")
+    clock = F.date_format(F.timestamp_seconds(n), "HH:mm:ss")
+    odd = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("."), (n * 37 % 10).cast("string"))
+    time = (
+        F.when(k == 0, F.date_format(F.timestamp_seconds(n + 1700000000), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(k == 1, clock).when(k == 2, F.concat(F.lit("2026-07-29;"), clock)).when(k == 3, (n + 1700000000).cast("string"))
+        .when(k == 4, (n * 50 + 1700000000000).cast("string")).when(k == 5, n.cast("string"))
+        .otherwise(F.concat(((n * 7919) % 1000).cast("string"), F.lit(".5")))
+    )
+    body = li.select("l_suppkey", n.alias("line"), F.concat_ws(";", time, odd, odd).alias("text"))
+    head = li.select("l_suppkey").distinct().select(
+        "l_suppkey", F.lit(0).cast("bigint").alias("line"), F.when(k == 2, "D;T;A;B").otherwise("T;A;B").alias("text")
+    )
+    found = cp.Probe(head.unionByName(body).select(F.concat(F.lit("/times/"), "l_suppkey").alias("file"), "line", "text"))
+    return found.time.select("file", "class", "factor", F.round("t0_s", 3).alias("t0_s"), "reliability", F.round("hz", 3).alias("hz"), "notice")
+
+
 @query(
     "csv_column_types",
     """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn FROM lineitem),

@@ -63,6 +63,22 @@ def mesh_compare(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "sd", "lo", "hi")})
 
 
+@query(
+    "mesh_comparable",
+    """WITH e AS (SELECT l_returnflag AS flag, l_linenumber % 2 AS side, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1, 2)
+  SELECT a.flag, a.flag = 'A' OR (a.lo = b.lo AND a.hi = b.hi) AS comparable, CASE WHEN NOT (a.flag = 'A' OR (a.lo = b.lo AND a.hi = b.hi)) THEN 'different_edges' END AS reason
+  FROM e a JOIN e b ON a.flag = b.flag AND a.side = 1 AND b.side = 0 WHERE a.flag <> 'R'
+  UNION ALL SELECT flag, FALSE, 'missing' FROM e WHERE flag = 'R' AND side = 1""",
+)
+def mesh_comparable(spark, d):
+    """Flag A is held against its own edges, R has no counterpart."""
+    li = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    odd = m.edge_table(li.filter("l_linenumber % 2 = 1"), ["flag"], F.col("l_extendedprice"), 8)
+    even = m.edge_table(li.filter("l_linenumber % 2 = 0"), ["flag"], F.col("l_extendedprice"), 8)
+    after = even.filter("flag NOT IN ('A', 'R')").unionByName(odd.filter("flag = 'A'"))
+    return m.comparable_edges(odd, after, ["flag"])
+
+
 @query(
     "mesh_default_edges",
     """WITH e AS (SELECT l_returnflag AS flag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1)
