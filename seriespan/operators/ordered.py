@@ -2,13 +2,10 @@
 
 A window partitioned by log alone puts a whole log into one task. The operators
 here partition by ``(log, chunk)`` instead, where ``chunk`` is NULL for every log
-small enough for one task and a slice of the order axis for the others. What a
-slice needs from its neighbours travels in one of two ways:
-
-* ``scan``   - state that only depends on earlier rows (held value, previous row,
-  running total) is aggregated per slice, rolled forward over the few slice rows
-  and unioned back as one seed row in front of each slice;
-* ``framed`` - range frames get the neighbouring rows copied into the slice.
+small enough for one task and a slice of the order axis for the others. State that only
+depends on earlier rows (held value, previous row, running total) is aggregated per slice,
+rolled forward over the few slice rows and unioned back as one seed row in front of each
+slice. Range frames are cut by time instead (``windows.sliding``).
 
 Only keys above the threshold take those extra passes. With none, the plan is one
 exchange and one sort shared by all windows over the same axis.
@@ -19,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLIT = "split"
@@ -183,48 +180,6 @@ def scan(
     )
 
 
-@dataclass(frozen=True)
-class Framed:
-    """Rows prepared for range frames; ``done`` drops the copied neighbours."""
-
-    df: DataFrame
-    axis: Axis
-    lo: int
-    hi: int
-
-    @property
-    def window(self) -> WindowSpec:
-        keys = [*self.axis.keys, *([_CHUNK] if _CHUNK in self.df.columns else [])]
-        return Window.partitionBy(*keys).orderBy(self.axis.order).rangeBetween(self.lo, self.hi)
-
-    def done(self, df: DataFrame) -> DataFrame:
-        if _CHUNK not in df.columns:
-            return df
-        return df.filter("_own").drop("_own", _CHUNK)
-
-
-def framed(df: DataFrame, axis: Axis, lo: int, hi: int) -> Framed:
-    """Prepare ``df`` for frames ``[t + lo, t + hi]`` on the order column.
-
-    Slices are at least as wide as the frame, so a row is copied into its own
-    slice and at most the neighbours the frame can reach from.
-    """
-    if not has_splits(df):
-        return Framed(df, axis, lo, hi)
-    reach = float(max(hi, 0) - min(lo, 0))
-    t = F.col(axis.order)
-    own = _chunk_at(t, reach)
-    first = F.least(own, _chunk_at(t - F.lit(hi), reach))
-    last = F.greatest(own, _chunk_at(t - F.lit(lo), reach))
-    copies = F.when(
-        F.col(SPLIT).isNotNull(), F.sequence(first, last)
-    ).otherwise(F.array(F.lit(None).cast("bigint")))
-    spread = df.select("*", own.alias("_home"), F.explode(copies).alias(_CHUNK))
-    return Framed(
-        spread.withColumn("_own", F.col("_home").eqNullSafe(F.col(_CHUNK))).drop("_home"), axis, lo, hi
-    )
-
-
 def span_of_key(df: DataFrame, axis: Axis, first: str = "_t_first", last: str = "_t_last") -> DataFrame:
     """Append the first and last order value of each key.
 

@@ -2,10 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Axis, framed, scan, span_of_key
+from .ordered import Axis, scan, span_of_key
+
+
+AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+
+
+def sliding(df: DataFrame, axis: Axis, lo: int, hi: int, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Append aggregates over ``[t + lo, t + hi]`` in time linear in the rows, however long the frame.
+
+    The order axis is cut into blocks as long as the frame, so a frame ends in the block after
+    the one it begins in: its aggregate is that of the first block from the frame's start and of
+    the second block up to its end. Both are running aggregates inside one block, one in each
+    direction, read off where the row stands as a probe at its frame's end and start. Work is
+    dealt by key and block, so no key and no frame has to pass through one task.
+    """
+    if hi < lo:
+        raise ValueError("the window ends before it starts")
+    width = max(hi - lo, 1)
+    names = list(df.columns)
+    inputs = {f"_i_{n}": c for n, (_, c) in wanted.items()}
+    base = df.withColumns(inputs)
+    t = F.col(axis.order)
+
+    def running(rows: DataFrame, at: Column, up: bool, out: str) -> DataFrame:
+        """Aggregate of the samples from the block's edge to each probe, the probe's place included."""
+        samples = base.select(*axis.keys, t.alias("_at"), *inputs, F.lit(0).alias("_probe"))
+        probes = rows.drop(*inputs).withColumns({"_at": at, "_probe": F.lit(1)})
+        both = probes.unionByName(samples, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_at") / width))
+        place = F.col("_at") if up else F.col("_at").desc()
+        w = Window.partitionBy(*axis.keys, "_block").orderBy(place, "_probe").rowsBetween(Window.unboundedPreceding, 0)
+        found = {f"{out}{n}": AGGREGATES[how](F.col(f"_i_{n}")).over(w) for n, (how, _) in wanted.items()}
+        return both.withColumns(found).filter("_probe = 1").drop("_at", "_probe", "_block", *inputs)
+
+    work = running(base, t + F.lit(hi), True, "_a_")
+    work = running(work, t + F.lit(lo), False, "_b_")
+    joined = {}
+    for n, (how, _) in wanted.items():
+        x, y = F.col(f"_a_{n}"), F.col(f"_b_{n}")
+        if hi == lo:  # one instant: one block, and both directions see all of it
+            joined[n] = x
+        elif how in ("min", "max"):
+            first = x < y if how == "min" else x > y
+            joined[n] = F.when(y.isNull() | first, x).otherwise(y)
+        elif how == "count":
+            joined[n] = x + y
+        else:
+            joined[n] = F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y)
+    return work.withColumns(joined).select(*[c for c in names if c not in wanted], *wanted)
 
 
 def derivative(df: DataFrame, axis: Axis, value: Column, window_ms: int, out: str) -> DataFrame:
@@ -15,15 +62,11 @@ def derivative(df: DataFrame, axis: Axis, value: Column, window_ms: int, out: st
     """
     if window_ms <= 0:
         raise ValueError("the derivative window must be positive")
-    f = framed(df.withColumn("_x", value), axis, -window_ms, 0)
     tie = F.col(axis.ties[-1] if axis.ties else axis.order)
-    pos = F.struct(F.col(axis.order), tie)
-    back = F.min(F.struct(pos.alias("p"), F.col("_x").alias("x"))).over(f.window)
-    work = f.done(f.df.withColumn("_b", back))
-    dt = (F.col(axis.order) - F.col("_b")["p"][axis.order]) / 1000.0
-    return work.withColumn(
-        out, F.when(dt > 0, F.try_divide(F.col("_x") - F.col("_b")["x"], dt))
-    ).drop("_x", "_b")
+    first = F.struct(F.col(axis.order).alias("t"), tie.alias("tie"), value.alias("x"))
+    work = sliding(df.withColumn("_x", value), axis, -window_ms, 0, {"_b": ("min", first)})
+    dt = (F.col(axis.order) - F.col("_b.t")) / 1000.0
+    return work.withColumn(out, F.when(dt > 0, F.try_divide(F.col("_x") - F.col("_b.x"), dt))).drop("_x", "_b")
 
 
 def counter_delta(df: DataFrame, axis: Axis, value: Column, out: str) -> DataFrame:
@@ -55,14 +98,9 @@ def window_extremes(
     need_current: bool = True,
 ) -> DataFrame:
     """Several extremes over one frame. ``how`` is ``min`` or ``max``."""
-    if hi_ms < lo_ms:
-        raise ValueError("the window ends before it starts")
     inputs = {f"_x_{n}": c for n, (_, c) in wanted.items()}
-    f = framed(span_of_key(df.withColumns(inputs), axis), axis, lo_ms, hi_ms)
-    fn = {"min": F.min, "max": F.max}
-    work = f.done(
-        f.df.withColumns({f"_y_{n}": fn[how](f"_x_{n}").over(f.window) for n, (how, _) in wanted.items()})
-    )
+    work = span_of_key(df.withColumns(inputs), axis)
+    work = sliding(work, axis, lo_ms, hi_ms, {f"_y_{n}": (how, F.col(f"_x_{n}")) for n, (how, _) in wanted.items()})
     t = F.col(axis.order)
     inside = (t + F.lit(lo_ms) >= F.col("_t_first")) & (t + F.lit(hi_ms) <= F.col("_t_last"))
     return work.withColumns(
@@ -80,14 +118,13 @@ def local_peak(
     if window_ms <= 0 or prominence < 0:
         raise ValueError("the peak window must be positive and the prominence not negative")
     half = window_ms // 2
-    f = framed(span_of_key(df.withColumn("_v", value), axis), axis, -half, half)
-    work = f.done(f.df.withColumns({"_max": F.max("_v").over(f.window), "_min": F.min("_v").over(f.window)}))
+    work = span_of_key(df.withColumn("_v", value), axis)
+    work = sliding(work, axis, -half, half, {"_max": ("max", F.col("_v")), "_min": ("min", F.col("_v"))})
     t = F.col(axis.order)
     judged = (t - half >= F.col("_t_first")) & (t + half <= F.col("_t_last")) & F.col("_v").isNotNull()
     top = F.col("_v") >= F.col("_max")
     core = F.coalesce(top & (F.col("_v") - F.col("_min") >= prominence), F.lit(False)).cast("int")
-    f = framed(work.withColumn("_core", core), axis, -half, half)
-    near = f.done(f.df.withColumn("_near", F.max("_core").over(f.window)))
+    near = sliding(work.withColumn("_core", core), axis, -half, half, {"_near": ("max", F.col("_core"))})
     return near.withColumn(out, F.when(judged, top & (F.col("_near") > 0))).drop(
         "_v", "_max", "_min", "_core", "_near", "_t_first", "_t_last"
     )
@@ -101,5 +138,5 @@ def hold_after(df: DataFrame, axis: Axis, trigger: Column, window_ms: int, out:
 
 def moving_average(df: DataFrame, axis: Axis, value: Column, window_ms: int, out: str) -> DataFrame:
     """Mean over ``[t - window, t]``."""
-    f = framed(df.withColumn("_x", value), axis, -window_ms, 0)
-    return f.done(f.df.withColumn(out, F.avg("_x").over(f.window))).drop("_x")
+    work = sliding(df, axis, -window_ms, 0, {"_sum": ("sum", value), "_n": ("count", value)})
+    return work.withColumn(out, F.try_divide(F.col("_sum"), F.col("_n"))).drop("_sum", "_n")
