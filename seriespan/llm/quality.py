@@ -5,7 +5,7 @@ the one before it, hashed to ``TERMS`` dimensions. Root frequencies times invers
 frequencies, less the sample's mean, are projected on the ``LATENT`` leading singular directions and
 normalised.
 
-``fit`` takes the directions from at most ``BASIS_ROWS`` labelled texts and keeps the vectors of at
+``fit`` takes the directions from at most ``BASIS_ROWS`` labelled texts, in one task, and keeps the vectors of at
 most ``FIT_ROWS`` of them: FIT_ROWS x LATENT numbers, the proven bound of what is broadcast. ``score``
 multiplies each block of texts with all of these vectors at once (exact cosines, no index), takes the
 ``NEIGHBOURS`` most similar and weighs their labels by similarity. It reads every whole text once and
@@ -85,32 +85,38 @@ def leading_directions(x: np.ndarray, k: int) -> np.ndarray:
     return (start @ right.T)[:, :k].astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, basis_rows: int = BASIS_ROWS) -> Model:
-    sample = settle(training_texts(docs, labels, label, rows).where("label IN (0, 1)"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [c.tobytes() for texts in text_blocks(batch.column("text"), BLOCK) for c in term_counts(texts).astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["terms"])
-
-    some = sample.orderBy(F.xxhash64("text"), "label").limit(basis_rows)
-    got = [np.frombuffer(r[0], np.float32) for r in some.mapInArrow(count, "terms binary").toLocalIterator()]
-    if not got:
-        empty = np.zeros((0, LATENT), np.float32)
-        return Model(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, LATENT), np.float32), empty, np.empty(0))
-    counts = np.stack(got)
+def learn_space(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverse document frequencies, mean and directions of a bounded sample of texts, in one task."""
+    parts = [term_counts(texts) for batch in batches for texts in text_blocks(batch.column("text"), BLOCK)]
+    if not parts:
+        return
+    counts = np.concatenate(parts)
+    parts.clear()
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = weighted(counts, idf)
     mean = x.mean(axis=0)
     x -= mean
-    space = Model(idf, mean, leading_directions(x, LATENT), np.empty(0), np.empty(0))
+    basis = leading_directions(x, LATENT)
+    blobs = [pa.array([np.ascontiguousarray(v, np.float32).tobytes()], pa.binary()) for v in (idf, mean, basis)]
+    yield pa.RecordBatch.from_arrays(blobs, ["idf", "mean", "basis"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, basis_rows: int = BASIS_ROWS) -> Model:
+    sample = settle(training_texts(docs, labels, label, rows).where("label IN (0, 1)"))
+    some = sample.orderBy(F.xxhash64("text"), "label").limit(basis_rows).repartition(1)
+    got = some.mapInArrow(learn_space, "idf binary, mean binary, basis binary").first()
+    if got is None:
+        empty = np.zeros((0, LATENT), np.float32)
+        return Model(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, LATENT), np.float32), empty, np.empty(0))
+    idf, mean = (np.frombuffer(got[c], np.float32) for c in ("idf", "mean"))
+    space = Model(idf, mean, np.frombuffer(got["basis"], np.float32).reshape(TERMS, -1), np.empty(0), np.empty(0))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [v.tobytes() for texts in text_blocks(batch.column("text"), BLOCK) for v in space.vectors_of(term_counts(texts)).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], ["label", "vector"])
 
-    known = sorted((r["vector"], r["label"]) for r in map(lambda r: {"vector": bytes(r[1]), "label": r[0]}, sample.mapInArrow(project, "label int, vector binary").collect()))
+    known = sorted((bytes(r["vector"]), r["label"]) for r in sample.mapInArrow(project, "label int, vector binary").collect())
     vectors = np.stack([np.frombuffer(v, np.float32) for v, _ in known])
     return Model(idf, mean, space.basis, vectors, np.array([y for _, y in known], np.float32))
 
