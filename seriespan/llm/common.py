@@ -19,10 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps (every node hands the smallest node it knows to
     its neighbours), which converge in a few rounds, in proportion to the logarithm of the size. A
     round is written to the shared folder, so lineage stays short and lost executors cost one round.
-    Per round a node's edges are combined map-side; no component is gathered anywhere. Nodes' minima
-    are written before they are joined back, so that both sides of the join are plain exchanges and
-    adaptive execution can split a node that holds a large share of all edges. Null ends and loops are
-    ignored; an empty input gives no rows.
+    Per round a node's edges are combined map-side; no component is gathered anywhere. The nodes'
+    minima are written before they are joined back, so that both sides of the join are plain exchanges
+    and adaptive execution can split a node that holds a large share of all edges. Null ends and loops
+    are ignored; an empty input gives no rows.
     """
     now = settle(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -35,26 +35,25 @@ def components(edges: DataFrame) -> DataFrame:
         large = (
             both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         ).distinct()
-        large = settle(large)
-        low = settle(large.groupBy("a").agg(F.min("b").alias("m")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = settle(
             large.join(low, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .where("a <> b")
             .distinct()
         )
-        if _same(now, small):
-            break
         now = small
+        if _stars(now):
+            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
 
 
-def _same(left: DataFrame, right: DataFrame) -> bool:
-    """Whether two edge lists hold the same rows (each without repeats)."""
-    seen = [
-        df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for df in (left, right)
-    ]
-    return seen[0] == seen[1]
-
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root on another node: the components are found."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_node.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
