@@ -2,10 +2,54 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOM = "\ufeff"
+#: Conditions that name a file as the cause; any other error is not about one file.
+UNREADABLE = ("FAILED_READ_FILE", "PATH_NOT_FOUND", "FILE_NOT_EXIST")
+
+
+def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").text(path)
+
+
+def exactly(path: str) -> str:
+    """A listed path as the reader takes it: signs of a pattern stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def readable(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """The listed paths that can be read to their end, as ``read_lines`` takes them, and the others as listed.
+
+    The reader itself reads every line once. Where that fails, the paths are halved until the files
+    that fail alone are found, so sound folders cost one pass and a broken file a pass over its halves.
+    """
+    good, broken, groups = [], [], [paths] if paths else []
+    while groups:
+        group = groups.pop()
+        named = [exactly(p) for p in group]
+        try:
+            _text(spark, named).count()
+            good += named
+        except (PySparkException, Py4JJavaError) as error:
+            if not any(condition in str(error) for condition in UNREADABLE):
+                raise
+            if len(group) == 1:
+                broken += group
+            else:
+                groups += [group[len(group) // 2 :], group[: len(group) // 2]]
+    return good, broken
+
+
+def file_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file_names(path, file)``: a file's path in a listing and the name that its lines carry."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("_metadata.file_path").alias("file")).distinct()
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -15,12 +59,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ``spark.sql.files.maxPartitionBytes``) and shifted by the rows of the file's
     earlier splits, so no file passes through one task. Hidden paths are skipped, a
     byte-order mark is dropped and any line ending is accepted by the reader. A file that
-    is broken or goes meanwhile gives no lines instead of failing the others.
+    cannot be read to its end fails the job: lines are never left out silently. ``readable``
+    tells such files from the others beforehand.
     """
     raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        .text(path)
+        _text(spark, path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_block"),

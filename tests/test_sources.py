@@ -260,3 +260,53 @@ def test_rescan_reuses_and_recomputes(spark, native_dir):
     )
     again = {r.path.rsplit("/", 1)[1]: r for r in scan_folder(spark, native_dir, stored, summary, parser_version="1", format_version="1").collect()}
     assert again["good.csv"].v_max == -1.0 and again["bom.csv"].v_max == 1500.0
+
+
+@pytest.fixture(scope="module")
+def broken_dir(tmp_path_factory):
+    import gzip
+    import random
+
+    d = tmp_path_factory.mktemp("broken")
+    r = random.Random(1)
+    rows = "Time,RPM\n" + "".join(f"{i * 0.05:.2f},{r.randint(0, 9999)}\n" for i in range(4_000))
+    head = HEAD.format(version="1.1", stamp="11:59:58")
+    native = head + "".join(f"{i // 3600 % 24:02d}:{i // 60 % 60:02d}:{i % 60:02d}.000,{r.randint(0, 9999)},3600,1\n" for i in range(4_000))
+    for name, text in (("rows", rows), ("native", native)):
+        packed = gzip.compress(text.encode())
+        (d / name).mkdir()
+        (d / name / "whole [1].csv.gz").write_bytes(packed)
+        (d / name / "cut{2}.csv.gz").write_bytes(packed[: len(packed) // 2])
+        (d / name / "none.csv.gz").write_bytes(b"no archive")
+    return str(d)
+
+
+def test_lines_are_never_left_out_silently(spark, broken_dir):
+    from seriespan.sources.lines import file_names, readable
+
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        read_lines(spark, broken_dir + "/rows").count()
+    names = file_names(spark, broken_dir + "/rows").collect()
+    good, broken = readable(spark, [r.path for r in names] + ["file:" + broken_dir + "/gone.csv"])
+    assert sorted(b.rsplit("/", 1)[1] for b in broken) == ["cut{2}.csv.gz", "gone.csv", "none.csv.gz"]
+    assert read_lines(spark, good).count() == 4_001
+
+
+def test_broken_files_have_a_status_in_every_plan(spark, broken_dir, tmp_path):
+    from seriespan.plans.ingest import import_csv, ingest_native, scan_folder
+
+    expected = {"whole%20%5B1%5D.csv.gz": "ok", "cut%7B2%7D.csv.gz": "unreadable", "none.csv.gz": "unreadable"}
+    t = ingest_native(spark, broken_dir + "/native", str(tmp_path / "native"))
+    assert {k: r.status for k, r in by_name(t["files"].collect()).items()} == expected
+    assert t["samples"].select("log_id").distinct().count() == 1
+    t = import_csv(spark, broken_dir + "/rows", str(tmp_path / "rows"))
+    assert {k: r.reason or r.status for k, r in by_name(t["files"].collect()).items()} == expected
+    assert t["samples"].count() == 4_000
+
+    def summary(samples, files):
+        return samples.groupBy(F.col("log_id").alias("path")).agg(F.count("v").alias("n"))
+
+    schema = "path string, size bigint, mtime bigint, parser_version string, format_version string, status string, n bigint"
+    rows = scan_folder(spark, broken_dir + "/native", spark.createDataFrame([], schema), summary, parser_version="1", format_version="1").collect()
+    got = {r.path.rsplit("/", 1)[1]: (r.status, r.n is not None) for r in rows}
+    assert got == {"whole [1].csv.gz": ("ok", True), "cut{2}.csv.gz": ("unreadable", False), "none.csv.gz": ("unreadable", False)}
