@@ -10,7 +10,7 @@ Of records with equal payloads of at least ``min_payload`` bytes, the one with t
 is the response and the others are revisits that refer to it and carry no payload.
 
 Defined results: a null html is an empty payload; a null url gets the key ``""`` and the target
-``about:blank``; blanks, controls and other characters outside ASCII are percent-encoded in a url;
+``about:blank``; a url that cannot be split is its own key; blanks, controls and other characters outside ASCII are percent-encoded in a url;
 each repeated row is a record, and those of the smallest page id are all responses; a record without
 page id is a revisit if a numbered page has its payload, else a response; an empty table writes no
 file and gives no rows; columns other than page_id, url and html are not read.
@@ -60,8 +60,11 @@ def payload_digest(payload: bytes) -> str:
 
 
 def url_key(url: str) -> str:
-    """Reversed host, then path and query: ``com,example,www)/a?b``."""
-    parts = urlsplit(url if "://" in url else "//" + url)
+    """Reversed host, then path and query: ``com,example,www)/a?b``; the url itself where it has no valid form."""
+    try:
+        parts = urlsplit(url if "://" in url else "//" + url)
+    except ValueError:  # brackets that hold no address
+        return url
     try:
         host, port = (parts.hostname or ""), parts.port
     except ValueError:

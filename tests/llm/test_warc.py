@@ -76,3 +76,13 @@ def test_url_keys():
     assert warc.url_key("http://www.A.com:80/b?c=d") == "com,a,www)/b?c=d"
     assert warc.url_key("https://x.org:8443") == "org,x:8443)/"
     assert warc.url_key("") == ""
+
+
+def test_malformed_urls_are_their_own_keys(spark, tmp_path):
+    urls = ["http://[abc/x", "http://a]b/", "http://[1.2.3]/p", "http://ok.org/"]
+    df = spark.createDataFrame([(i, u, f"t{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    place = str(tmp_path)
+    files = warc.write_index(warc.write_archives(df, place), place)
+    got = warc.read_records(warc.lookup(warc.keys_of(df), files, place), place).collect()
+    assert {r["page_id"]: (r["target"], r["payload"]) for r in got} == {i: (u, f"t{i}") for i, u in enumerate(urls)}
+    assert [warc.url_key(u) for u in urls[:3]] == urls[:3]
