@@ -4,10 +4,11 @@ Features are the character n-grams (code points, lower case) of 3 to 5 character
 hashed to ``BITS`` bits. Each is scaled by its naive Bayes log-count ratio, and a logistic
 regression is fitted on the scaled features.
 
-``fit`` learns from at most ``FIT_ROWS`` labelled rows. A first job counts, per class, the texts that
-have a feature, combined per task and then by feature; the ``FEATURES`` features whose ratio is
-furthest from 0 in standard errors are kept. A second job returns which of them each sample text has,
-and the regression (Newton steps on at most FIT_ROWS x FEATURES values) is solved from these.
+``fit`` learns from at most ``FIT_ROWS`` labelled rows, and every n-gram seen in them gets a weight.
+A first job counts, per class, the texts that have a feature, combined per task and then by feature;
+a second one makes each sample text's features a sparse vector. The regression is Spark's own
+(L-BFGS; vectors that do not fit in memory wait on disk), on the sample in a settled order in one
+task, so that the model is the same in every run. The driver holds some arrays of 2**BITS values.
 ``score`` reads every whole text once and moves no row.
 
 Defined results: null and empty texts get the score of a text without features; without labelled rows
@@ -22,8 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import settle
 from .labelled import held_out, training_texts
@@ -32,44 +36,40 @@ from .text import code_points, gram_codes, text_blocks
 BITS = 20
 GRAMS = (3, 4, 5)
 FIT_ROWS = 16_000
-FEATURES = 768
 SMOOTHING = 1.0
 PENALTY = 1.0
+STEPS = 100
 THRESHOLD = 0.5
 COUNT_BLOCK = 1 << 19
 
 
 @dataclass(frozen=True)
 class Model:
-    """Kept feature codes, their weights (ratio times coefficient) and the intercept."""
+    """The weight (ratio times coefficient) of every feature code, 0 where none was seen, and the intercept."""
 
-    codes: np.ndarray
     weights: np.ndarray
     intercept: float
 
-    def table(self) -> np.ndarray:
-        """The kept feature's number plus one for each code, 0 for the others."""
-        out = np.zeros(1 << BITS, np.int16)
-        out[self.codes] = np.arange(1, len(self.codes) + 1)
-        return out
-
-
-def features(texts: list[str | None], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (text, feature) pairs; with a ``table``, only of the features it numbers."""
-    flat, begins = code_points(texts, max(GRAMS) - 1, lower=True)
-    width = 1 << BITS if table is None else int(table.max()) + 1
-    found = []
-    for _, codes in gram_codes(flat, GRAMS, BITS):
-        if table is None:
-            at = np.arange(len(codes))
-        else:
-            codes = table[codes]
-            at = np.flatnonzero(codes)
-            codes = codes[at]
-        text = np.searchsorted(begins, at, "right") - 1
-        found.append(text * width + codes)
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return pairs // width, pairs % width - (table is not None)
+
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (text, feature) pairs, of the n-grams that begin inside the text itself."""
+    pad = max(GRAMS) - 1
+    flat, begins = code_points(texts, pad, lower=True)
+    if len(texts) == 1:  # however long, a text marks its features
+        has = np.zeros(1 << BITS, bool)
+        for _, codes in gram_codes(flat, GRAMS, BITS):
+            has[codes[: len(flat) - pad]] = True
+        code = np.flatnonzero(has)
+        return np.zeros(len(code), np.int64), code
+    kind = np.uint32 if len(texts) <= 1 << (32 - BITS) else np.uint64
+    owner = np.repeat(np.arange(len(texts), dtype=kind), np.diff(begins) - pad)
+    at = np.arange(len(owner)) + pad * owner.astype(np.int64)
+    owner <<= kind(BITS)
+    found = [owner | codes[at] for _, codes in gram_codes(flat, GRAMS, BITS)]
+    pairs = np.concatenate(found) if found else np.empty(0, kind)
+    pairs.sort()
+    pairs = pairs[np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)])]
+    return (pairs >> kind(BITS)).astype(np.int64), (pairs & kind((1 << BITS) - 1)).astype(np.int64)
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
@@ -95,75 +95,62 @@ def class_counts(sample: DataFrame) -> DataFrame:
     return counts.groupBy("code").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, keep: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Model:
     sample = settle(training_texts(docs, labels, label, rows).where("label IN (0, 1)"))
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    none = Model(np.empty(0, np.int64), np.empty(0), 0.0)
+    weights = np.zeros(1 << BITS)
     if len(sizes) < 2:
-        return Model(none.codes, none.weights, np.inf if sizes.get(1) else -np.inf)
-    counts = settle(class_counts(sample))
-    p, q = F.col("ones") + SMOOTHING, F.col("zeros") + SMOOTHING
-    ones, zeros = (r + SMOOTHING * (1 << BITS) for r in counts.agg(F.sum("ones"), F.sum("zeros")).first())
-    ratio = F.log(p / ones) - F.log(q / zeros)
-    # against the classes' sizes, so that the standard error is that of a difference of shares
-    gap = F.log(p / sizes[1]) - F.log(q / sizes[0])
-    best = (
-        counts.select("code", ratio.alias("ratio"), F.abs(gap / F.sqrt(1 / p + 1 / q)).alias("z"))
-        .orderBy(F.desc("z"), "code").limit(keep).collect()
-    )
-    codes = np.array([r["code"] for r in best], np.int64)
-    ratios = np.array([r["ratio"] for r in best])
-    table = Model(codes, ratios, 0.0).table()
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return Model(weights, np.inf if sizes.get(1) else -np.inf)
+    counts = class_counts(sample).toArrow()  # at most 2**BITS rows
+    p, q = (counts.column(c).to_numpy() + SMOOTHING for c in ("ones", "zeros"))
+    ones, zeros = (x.sum() + SMOOTHING * ((1 << BITS) - len(x)) for x in (p, q))
+    ratios = np.zeros(1 << BITS)
+    ratios[counts.column("code").to_numpy()] = np.log(p / ones) - np.log(q / zeros)
+    seen = np.sort(counts.column("code").to_numpy())
+    if not len(seen):
+        return Model(weights, float(np.log(sizes[1] / sizes[0])))
+    number = np.full(1 << BITS, -1, np.int32)
+    number[seen] = np.arange(len(seen))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for texts in text_blocks(batch.column("text")):
-                text, feature = features(texts, table)
-                cut = np.searchsorted(text, np.arange(len(texts) + 1))
-                out += [feature[cut[i] : cut[i + 1]].astype(np.int16).tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], ["label", "has"])
-
-    got = sample.mapInArrow(rows_of, "label int, has binary").collect()
-    x = np.zeros((len(got), len(codes) + 1), np.float32)
-    x[:, -1] = 1
-    for i, r in enumerate(got):
-        has = np.frombuffer(r["has"], np.int16)
-        x[i, has] = ratios[has]
-    weights = logistic(x, np.array([r["label"] for r in got], np.float32))
-    return Model(codes, weights[:-1] * ratios, float(weights[-1]))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 12) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton's method; the last column is the intercept."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-6
-    loss = lambda v: float(np.logaddexp(0, -(2 * y - 1) * (x @ v)).sum() + 0.5 * (ridge * v * v).sum())
-    now = loss(w)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
-        hessian = (x.T * (p * (1 - p)).astype(np.float32)) @ x + np.diag(ridge + 1e-9)
-        step, size = np.linalg.solve(hessian.astype(np.float64), gradient), 1.0
-        while size > 1e-3 and loss(w - size * step) > now:
-            size /= 2
-        after = loss(w - size * step)
-        if now - after < 1e-6 * abs(now):
-            break
-        w, now = w - size * step, after
-    return w
+            at = 0
+            for texts in text_blocks(batch.column("text"), COUNT_BLOCK):
+                text, code = features(texts)
+                cut = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+                n = len(texts)
+                vector = pa.StructArray.from_arrays(
+                    [
+                        pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(seen), np.int32)),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(number[code])),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(ratios[code])),
+                    ],
+                    ["type", "size", "indices", "values"],
+                )
+                label_ = batch.column("label").slice(at, n).cast(pa.float64())
+                at += n
+                yield pa.RecordBatch.from_arrays([label_, vector], ["label", "vector"])
+
+    typed = StructType([StructField("label", DoubleType()), StructField("vector", VectorUDT())])
+    settled_order = sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "label")
+    known = settled_order.mapInArrow(vectors, typed)
+    found = LogisticRegression(
+        featuresCol="vector", regParam=PENALTY / sum(sizes.values()), elasticNetParam=0.0, standardization=False,
+        family="binomial", maxIter=STEPS,
+    ).fit(known)
+    weights[seen] = found.coefficients.toArray() * ratios[seen]
+    return Model(weights, float(found.intercept))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key, held_out, score, predicted`` of every row."""
-    table, weights, intercept = model.table(), model.weights, model.intercept
+    weights, intercept = model.weights, model.intercept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.empty(0)]
             for texts in text_blocks(batch.column("_t")):
-                at, feature = features(texts, table)
+                at, feature = features(texts)
                 total = np.bincount(at, weights=weights[feature], minlength=len(texts)) + intercept
                 out.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
             yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(np.concatenate(out))], ["_k", "score"])
