@@ -82,29 +82,3 @@ def test_keep_is_score(spark):
     kept = {r[0] for r in quality.keep(docs, model).select("doc_id").collect()}
     assert kept == {r[0] for r in quality.score(docs, model).where("predicted = 1").select("doc_id").collect()}
     assert quality.keep(docs, model).schema == docs.schema
-
-
-def test_every_gram_of_the_sample_has_a_weight(spark):
-    """A wide lexicon: each toxic text has one of 120 words, whose grams are far more than 768."""
-    r = random.Random(6)
-    lexicon = ["".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(120)]
-    docs, labels = [], []
-    for i in range(1600):
-        w = words(20, i).split()
-        if i % 2:
-            w.insert(r.randrange(len(w)), lexicon[i // 2 % 120])
-        docs.append((i, " ".join(w)))
-        labels.append((i, i % 2))
-    docs = spark.createDataFrame(docs, "doc_id long, text string")
-    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels)
-    seen = {c for (t,) in training_texts(docs, labels, "toxic", 1600).select("text").collect() for c in toxicity.features([t])[1].tolist()}
-    assert np.count_nonzero(model.weights) > 0.99 * len(seen)
-    assert accuracy(toxicity.score(docs, model), labels, "toxic") > 0.9
-
-
-def test_features_do_not_depend_on_the_neighbours():
-    texts = ["one text", "", None, "another", "x"]
-    text, code = toxicity.features(texts)
-    for i, t in enumerate(texts):
-        assert code[text == i].tolist() == toxicity.features([t])[1].tolist()
