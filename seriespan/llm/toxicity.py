@@ -1,14 +1,16 @@
 """Operator 1: toxicity by a character n-gram linear classifier with naive Bayes scaling.
 
 Features are the character n-grams (code points, lower case) of 3 to 5 characters that a text has,
-hashed to ``BITS`` bits. Each is scaled by its naive Bayes log-count ratio, and a logistic
-regression is fitted on the scaled features.
+hashed to ``BITS`` bits. Each is scaled by its naive Bayes log-count ratio. The ``FEATURES`` features
+whose ratio is furthest from 0 in standard errors get a coefficient of their own in a logistic
+regression; all others share one, for the sum of their ratios, each drawn towards 0 by
+``DRAWN`` of its standard errors so that chance counts for nothing. So every n-gram of the sample has
+a weight, and a score is the sum of the weights of a text's own n-grams, whatever texts lie beside it.
 
 ``fit`` learns from at most ``FIT_ROWS`` labelled rows. A first job counts, per class, the texts that
-have a feature, combined per task and then by feature; the ``FEATURES`` features whose ratio is
-furthest from 0 in standard errors are kept. A second job returns which of them each sample text has,
-and the regression (Newton steps on at most FIT_ROWS x FEATURES values) is solved from these.
-``score`` reads every whole text once and moves no row.
+have a feature, combined per task and then by feature. A second job returns what each sample text has
+of them, and the regression (Newton steps on at most FIT_ROWS x (FEATURES + 2) values) is solved from
+these. ``score`` reads every whole text once and moves no row; broadcast are ``2**BITS`` weights (4 MB).
 
 Defined results: null and empty texts get the score of a text without features; without labelled rows
 of both classes every score is the share of class 1 (0 without any labelled row); repeated rows are
@@ -36,40 +38,37 @@ FEATURES = 768
 SMOOTHING = 1.0
 PENALTY = 1.0
 THRESHOLD = 0.5
+#: Standard errors by which the ratios without an own coefficient are drawn towards 0.
+DRAWN = 3.0
+#: The drawn ratios' sum is divided by this beside the features' own ratios, so that the penalty is alike.
+REST_SCALE = 4.0
 COUNT_BLOCK = 1 << 19
 
 
 @dataclass(frozen=True)
 class Model:
-    """Kept feature codes, their weights (ratio times coefficient) and the intercept."""
+    """The weight of every feature code and the intercept."""
 
-    codes: np.ndarray
     weights: np.ndarray
     intercept: float
 
-    def table(self) -> np.ndarray:
-        """The kept feature's number plus one for each code, 0 for the others."""
-        out = np.zeros(1 << BITS, np.int16)
-        out[self.codes] = np.arange(1, len(self.codes) + 1)
-        return out
 
+def features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (text, feature) pairs; with ``wanted``, only features it marks.
 
-def features(texts: list[str | None], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (text, feature) pairs; with a ``table``, only of the features it numbers."""
+    The zeros between texts begin no n-gram, and a text's own n-grams end before the next text, so a
+    text has the same features alone and among others.
+    """
     flat, begins = code_points(texts, max(GRAMS) - 1, lower=True)
-    width = 1 << BITS if table is None else int(table.max()) + 1
+    ends = begins[1:] - (max(GRAMS) - 1)
     found = []
     for _, codes in gram_codes(flat, GRAMS, BITS):
-        if table is None:
-            at = np.arange(len(codes))
-        else:
-            codes = table[codes]
-            at = np.flatnonzero(codes)
-            codes = codes[at]
+        at = np.arange(len(codes)) if wanted is None else np.flatnonzero(wanted[codes])
         text = np.searchsorted(begins, at, "right") - 1
-        found.append(text * width + codes)
+        own = at < ends[text]
+        found.append((text[own] << BITS) + codes[at[own]])
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return pairs // width, pairs % width - (table is not None)
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
@@ -95,43 +94,60 @@ def class_counts(sample: DataFrame) -> DataFrame:
     return counts.groupBy("code").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
+def ratios_of(counts: pa.Table, ones: int, zeros: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every code's log-count ratio, its distance from 0 in standard errors, and the ratio drawn towards 0."""
+    seen = counts.column("code").to_numpy()
+    p, q = (counts.column(c).to_numpy() + SMOOTHING for c in ("ones", "zeros"))
+    ratio, z, drawn = (np.zeros(1 << BITS) for _ in range(3))
+    room = SMOOTHING * (1 << BITS)
+    ratio[seen] = np.log(p / (p.sum() - SMOOTHING * len(p) + room)) - np.log(q / (q.sum() - SMOOTHING * len(q) + room))
+    # against the classes' sizes, so that the standard error is that of a difference of shares
+    gap, error = np.log(p / ones) - np.log(q / zeros), np.sqrt(1 / p + 1 / q)
+    z[seen] = np.abs(gap) / error
+    drawn[seen] = np.sign(gap) * np.maximum(np.abs(gap) - DRAWN * error, 0)
+    return ratio, z, drawn
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, keep: int = FEATURES) -> Model:
     sample = settle(training_texts(docs, labels, label, rows).where("label IN (0, 1)"))
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    none = Model(np.empty(0, np.int64), np.empty(0), 0.0)
     if len(sizes) < 2:
-        return Model(none.codes, none.weights, np.inf if sizes.get(1) else -np.inf)
-    counts = settle(class_counts(sample))
-    p, q = F.col("ones") + SMOOTHING, F.col("zeros") + SMOOTHING
-    ones, zeros = (r + SMOOTHING * (1 << BITS) for r in counts.agg(F.sum("ones"), F.sum("zeros")).first())
-    ratio = F.log(p / ones) - F.log(q / zeros)
-    # against the classes' sizes, so that the standard error is that of a difference of shares
-    gap = F.log(p / sizes[1]) - F.log(q / sizes[0])
-    best = (
-        counts.select("code", ratio.alias("ratio"), F.abs(gap / F.sqrt(1 / p + 1 / q)).alias("z"))
-        .orderBy(F.desc("z"), "code").limit(keep).collect()
-    )
-    codes = np.array([r["code"] for r in best], np.int64)
-    ratios = np.array([r["ratio"] for r in best])
-    table = Model(codes, ratios, 0.0).table()
+        return Model(np.zeros(1 << BITS, np.float32), np.inf if sizes.get(1) else -np.inf)
+    ratio, z, drawn = ratios_of(class_counts(sample).toArrow(), sizes[1], sizes[0])
+    best = np.lexsort((np.arange(len(z)), -z))[:keep]
+    best = best[z[best] > 0]
+    number = np.zeros(1 << BITS, np.int32)
+    number[best] = np.arange(1, len(best) + 1)
+    others = np.where(number > 0, 0, drawn).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((number, others))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, others = shared.value
+        wanted = (number > 0) | (others != 0)
         for batch in batches:
-            out = []
+            out, sums = [], [np.empty(0)]
             for texts in text_blocks(batch.column("text")):
-                text, feature = features(texts, table)
+                text, code = features(texts, wanted)
+                sums.append(np.bincount(text, others[code], len(texts)))
+                own = number[code] > 0
+                text, has = text[own], (number[code[own]] - 1).astype(np.int16)
                 cut = np.searchsorted(text, np.arange(len(texts) + 1))
-                out += [feature[cut[i] : cut[i + 1]].astype(np.int16).tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], ["label", "has"])
+                out += [has[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))]
+            cells = [batch.column("label"), pa.array(out, pa.binary()), pa.array(np.concatenate(sums))]
+            yield pa.RecordBatch.from_arrays(cells, ["label", "has", "rest"])
 
-    got = sample.mapInArrow(rows_of, "label int, has binary").collect()
-    x = np.zeros((len(got), len(codes) + 1), np.float32)
+    got = sample.mapInArrow(rows_of, "label int, has binary, rest double").collect()
+    got.sort(key=lambda r: (r["label"], r["has"], r["rest"]))  # the solver adds up rows in one order
+    x = np.zeros((len(got), len(best) + 2), np.float32)
     x[:, -1] = 1
     for i, r in enumerate(got):
         has = np.frombuffer(r["has"], np.int16)
-        x[i, has] = ratios[has]
-    weights = logistic(x, np.array([r["label"] for r in got], np.float32))
-    return Model(codes, weights[:-1] * ratios, float(weights[-1]))
+        x[i, has] = ratio[best[has]]
+        x[i, -2] = r["rest"] / REST_SCALE
+    solved = logistic(x, np.array([r["label"] for r in got], np.float32))
+    weights = others.astype(np.float64) * max(solved[-2], 0.0) / REST_SCALE
+    weights[best] = solved[:-2] * ratio[best]
+    return Model(weights.astype(np.float32), float(solved[-1]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 12) -> np.ndarray:
@@ -157,14 +173,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key, held_out, score, predicted`` of every row."""
-    table, weights, intercept = model.table(), model.weights, model.intercept
+    shared, intercept = docs.sparkSession.sparkContext.broadcast(model.weights), model.intercept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        wanted = weights != 0
         for batch in batches:
             out = [np.empty(0)]
             for texts in text_blocks(batch.column("_t")):
-                at, feature = features(texts, table)
-                total = np.bincount(at, weights=weights[feature], minlength=len(texts)) + intercept
+                at, code = features(texts, wanted)
+                total = np.bincount(at, weights=weights[code], minlength=len(texts)) + intercept
                 out.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
             yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(np.concatenate(out))], ["_k", "score"])
 
