@@ -41,7 +41,7 @@ THRESHOLD = 0.5
 #: Standard errors by which the ratios without an own coefficient are drawn towards 0.
 DRAWN = 3.0
 #: The drawn ratios' sum is divided by this beside the features' own ratios, so that the penalty is alike.
-REST_SCALE = 4.0
+REST_SCALE = 16.0
 COUNT_BLOCK = 1 << 19
 
 
