@@ -1,97 +1,36 @@
-"""Text files as numbered lines."""
+"""Text files as numbered lines, and the fields of a line."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOM = "\ufeff"
-#: Conditions that name a file as the cause; any other error is not about one file.
-UNREADABLE = ("FAILED_READ_FILE", "PATH_NOT_FOUND", "FILE_NOT_EXIST")
+from ..session import settle
+from . import ranges
+from .listing import files_of, tree
 
 
-def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").text(path)
-
-
-def exactly(path: str) -> str:
-    """A listed path as the reader takes it: signs of a pattern stand for themselves."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
-
-
-def readable(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
-    """The listed paths that can be read to their end, as ``read_lines`` takes them, and the others as listed.
-
-    The reader itself reads every line once. Where that fails, the paths are halved until the files
-    that fail alone are found, so sound folders cost one pass and a broken file a pass over its halves.
-    """
-    good, broken, groups = [], [], [paths] if paths else []
-    while groups:
-        group = groups.pop()
-        named = [exactly(p) for p in group]
-        try:
-            _text(spark, named).count()
-            good += named
-        except (PySparkException, Py4JJavaError) as error:
-            if not any(condition in str(error) for condition in UNREADABLE):
-                raise
-            if len(group) == 1:
-                broken += group
-            else:
-                groups += [group[len(group) // 2 :], group[: len(group) // 2]]
-    return good, broken
-
-
-def file_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_names(path, file)``: a file's path in a listing and the name that its lines carry."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("_metadata.file_path").alias("file")).distinct()
-
-
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | Sequence[str] | DataFrame) -> DataFrame:
     """``lines(file, bytes, line, text)`` of every file below ``path``, ``line`` from 0.
 
-    Large files are split as usual. Rows are numbered inside each split (bounded by
-    ``spark.sql.files.maxPartitionBytes``) and shifted by the rows of the file's
-    earlier splits, so no file passes through one task. Hidden paths are skipped, a
-    byte-order mark is dropped and any line ending is accepted by the reader. A file that
-    cannot be read to its end fails the job: lines are never left out silently. ``readable``
-    tells such files from the others beforehand.
+    See ``ranges``: any encoding with a byte-order mark, any line end, files cut into ranges. Where
+    single files may be broken, ``ranges.scan`` gives them a status instead; here one that cannot be
+    read to its end is an error, so lines are never left out silently.
     """
-    raw = (
-        _text(spark, path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.col("_metadata.file_size").alias("bytes"),
-            F.monotonically_increasing_id().alias("_id"),
-            F.col("value").alias("text"),
-        )
-    )
-    split = Window.partitionBy("file", "_block")
-    numbered = raw.select(
-        "file", "_block", "bytes", "text", (F.row_number().over(split.orderBy("_id")) - 1).cast("bigint").alias("_row")
-    )
-    sizes = numbered.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")).filter(
-        "_shift > 0"
-    )
-    marked = (F.col("_block") == 0) & (F.col("_row") == 0) & F.col("text").startswith(BOM)
-    text = F.when(marked, F.substring("text", 2, 2147483647)).otherwise(F.col("text"))
-    return numbered.join(shifts, ["file", "_block"], "left").select(
-        "file", "bytes", (F.col("_row") + F.coalesce("_shift", F.lit(0))).alias("line"), text.alias("text")
-    )
-
-
-def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``listing(path, size, mtime)`` without reading any content; empty files are not listed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    files = settle(files_of(tree(spark, path)))
+    scanned = ranges.scan(files)
+    broken = scanned.where("error IS NOT NULL").select("path", "error")
+    some = broken.limit(3).collect()
+    if some:
+        raise ValueError(f"{broken.select('path').distinct().count()} files cannot be read to their end: {[tuple(r) for r in some]}")
+    return ranges.lines(files, scanned)
+
+
+def listing(spark: SparkSession, path: str | Sequence[str] | DataFrame) -> DataFrame:
+    """``listing(path, size, mtime)`` without reading any content; empty files have size 0."""
+    return files_of(tree(spark, path)).select("path", "size", "mtime")
 
 
 def field_count(text: Column, delimiter: Column, quote: Column | None = None) -> Column:

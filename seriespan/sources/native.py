@@ -90,12 +90,14 @@ def detect_format(lines: DataFrame, formats: list[NativeFormat]) -> DataFrame:
 def triage_paths(listing: DataFrame, formats: DataFrame, own: str | None = None) -> DataFrame:
     """Kind of every listed path: native, generic, or a notice why it is neither.
 
-    ``own`` is the extension of the caller's own project files, which are not logs.
+    ``own`` is the extension of the caller's own project files, which are not logs. Paths are
+    those that lines carry. See ``listing.notices`` for given paths that are missing or hold no file.
     """
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     kind = (
         F.when(F.col("format").isNotNull() & (F.col("format") != "generic"), "native")
         .when(F.lit(False) if own is None else ext == own, "own_format")
+        .when(F.col("size") == 0, "empty")
         .when(ext == ".csv", "generic")
         .otherwise("unrecognised")
     )
