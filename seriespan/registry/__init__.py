@@ -50,5 +50,5 @@ def load() -> None:
 
 MODULES = [
     "conditions", "windows", "meshes", "rollups", "quality", "units", "phases", "catalogue", "logs", "cells",
-    "detectors", "analyses", "ingest",
+    "detectors", "analyses", "ingest", "files",
 ]
