@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import Axis, attach_splits, scan
 from ..plans.ingest import import_csv, read_folder, scan_status
 from ..plans.views import table
 from ..session import settle, shared_folder
-from ..sources import listing, native as nat, ranges, stores
+from ..sources import csv_probe as cp, csv_read as cr, listing, native as nat, ranges, stores
 from . import query
 from .ingest import ROWS, csv_lines, native_lines
 
@@ -190,3 +191,48 @@ def import_samples(spark, d):
     )
     out = import_csv(spark, folder, f"{fresh(spark, 'imported')}")["samples"]
     return out.select(name_of(F.col("log_id")).alias("log_id"), "channel_id", "seq", "t_ms", F.round("v", 2).alias("v"))
+
+
+def _quoted_files(spark: SparkSession, d: str) -> str:
+    """A CSV per supplier whose notes hold delimiters, quotes and line breaks; escapes and signs differ."""
+    folder = fresh(spark, "quoted")
+    axis = Axis(("l_suppkey",), "l_orderkey", ("l_linenumber", "l_partkey", "l_extendedprice"))
+    li = scan(attach_splits(table(spark, d, "lineitem"), axis), axis, total={"n": F.lit(1).cast("bigint")})
+    k = F.col("l_suppkey") % 3
+    sign, inner = F.when(k == 2, "'").otherwise('"'), F.when(k == 0, '""').when(k == 1, '\\"').otherwise("''")
+    note = F.concat(sign, F.lit("flag "), "l_returnflag", F.lit(";\n "), inner, "l_linestatus", inner, F.lit("\r\n"), sign)
+    cells = [F.format_string("%.1f", (F.col("n") - 1) * 0.5), note, *[F.format_string("%.0f", "l_quantity")] * 3]
+    body = li.select("l_suppkey", F.col("n").alias("line"), F.concat_ws(";", *cells).alias("text"))
+    head = li.select("l_suppkey").distinct().select("l_suppkey", F.lit(0).cast("bigint").alias("line"), F.lit("T;Note;A;B;C").alias("text"))
+    texts = head.unionByName(body).select(
+        F.concat("l_suppkey", F.lit(".csv")).alias("name"), "line", "text", one_of(CODECS, F.col("l_suppkey") % 6).alias("codec"), F.lit("\r\n").alias("end"),
+        F.lit(None).cast("string").alias("damage"),
+    )
+    write_texts(texts, folder)
+    return folder
+
+
+@query(
+    "csv_quoted_breaks",
+    """WITH r AS (SELECT l_suppkey, l_quantity, l_returnflag || l_linestatus AS label, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq FROM lineitem),
+  c AS (SELECT l_suppkey, label, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY label) - 1 AS code FROM (SELECT DISTINCT l_suppkey, label FROM r))
+  SELECT l_suppkey || '.csv' AS log_id, u.channel_id, seq, seq * 500 AS t_ms, u.v::DOUBLE AS v FROM r JOIN c USING (l_suppkey, label),
+    LATERAL (VALUES ('1', code), ('2', l_quantity), ('3', l_quantity), ('4', l_quantity)) u(channel_id, v)""",
+)
+def csv_quoted_breaks(spark, d):
+    """Records with line breaks inside quotes, in files of many ranges."""
+    _, _, lines = read_folder(spark, _quoted_files(spark, d), SMALL_RANGE // 16)
+    found = cp.Probe(lines)
+    block = cr.read_block(cr.data_lines(found.lines, found.sample, found.structure), found.dialects, found.encodings)
+    out = cr.read_channels(block, found.time, found.decimals, found.types)[0]
+    return out.select(name_of(F.col("log_id")).alias("log_id"), "channel_id", "seq", "t_ms", "v")
+
+
+@query(
+    "csv_escapes",
+    "SELECT l_suppkey || '.csv' AS name, CASE WHEN l_suppkey % 3 = 1 THEN 'backslash' ELSE 'doubled' END AS escape FROM lineitem GROUP BY l_suppkey",
+)
+def csv_escapes(spark, d):
+    _, _, lines = read_folder(spark, _quoted_files(spark, d), SMALL_RANGE)
+    found = cp.Probe(lines)
+    return cp.escapes(found.sample, found.dialects).select(name_of(F.col("file")).alias("name"), "escape")

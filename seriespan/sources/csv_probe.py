@@ -123,6 +123,18 @@ def dialects(sample: DataFrame) -> DataFrame:
     )
 
 
+def escapes(sample: DataFrame, dialect: DataFrame) -> DataFrame:
+    """``(file, escape)``: how quotes inside quotes are written, as the first line that has some tells.
+
+    backslash, doubled, or none where no quote is used or none is escaped.
+    """
+    known = dialect.select("file", F.col("quote").alias("_q"))
+    kind = F.when(F.col("text").contains(F.concat(F.lit("\\"), "_q")), "backslash").when(F.col("text").contains(F.concat("_q", "_q")), "doubled")
+    told = sample.join(known.where("_q IS NOT NULL"), "file").withColumn("_e", kind).where("_e IS NOT NULL")
+    first = told.groupBy("file").agg(F.min_by("_e", "k").alias("_e"))
+    return known.join(first, "file", "left").select("file", F.coalesce("_e", F.lit("none")).alias("escape"))
+
+
 def sample_cells(sample: DataFrame, dialect: DataFrame) -> DataFrame:
     """``(file, k, fields, col, cell)`` of the sample under each file's dialect."""
     known = dialect.filter("delimiter IS NOT NULL").select("file", "delimiter", "quote", "start")

@@ -33,12 +33,21 @@ def listing(spark: SparkSession, path: str | Sequence[str] | DataFrame) -> DataF
     return files_of(tree(spark, path)).select("path", "size", "mtime")
 
 
+#: Stands for a quote behind a backslash while a line is cut; a private code point that texts do not use.
+ESCAPED = "\uf8f1"
+
+
+def _shield(text: Column, quote: Column) -> Column:
+    """Quotes behind a backslash neither open nor close a field."""
+    return F.replace(text, F.concat(F.lit("\\"), quote), F.lit(ESCAPED))
+
+
 def field_count(text: Column, delimiter: Column, quote: Column | None = None) -> Column:
     """Fields of a line; delimiters inside quotes do not count."""
     bare = text
     if quote is not None:
         inside = F.concat(quote, F.lit("[^"), quote, F.lit("]*"), quote)
-        bare = F.when(quote.isNotNull(), F.regexp_replace(text, inside, F.lit(""))).otherwise(text)
+        bare = F.when(quote.isNotNull(), F.regexp_replace(_shield(text, quote), inside, F.lit(""))).otherwise(text)
     return F.length(bare) - F.length(F.replace(bare, delimiter, F.lit(""))) + 1
 
 
@@ -53,9 +62,9 @@ def split_fields(text: Column, delimiter: Column, quote: Column | None = None) -
     # Possessive steps never look back, so the time is linear in the line.
     inside = F.concat(F.lit("(?:[^"), quote, delimiter, F.lit("]++|"), quote, F.lit("[^"), quote, F.lit("]*+"), quote, F.lit("|"), quote, F.lit(")*+"))
     field = F.concat(F.lit("["), delimiter, F.lit("]("), inside, F.lit(")"))
-    wrapped = F.concat(F.lit("^\\s*"), quote, F.lit("(.*)"), quote, F.lit("\\s*$"))
+    wrapped = F.concat(F.lit("(?s)^\\s*"), quote, F.lit("(.*)"), quote, F.lit("\\s*$"))
     cut = F.transform(
-        F.regexp_extract_all(F.concat(delimiter, text), field, F.lit(1)),
-        lambda x: F.replace(F.regexp_replace(x, wrapped, F.lit("$1")), F.concat(quote, quote), quote),
+        F.regexp_extract_all(F.concat(delimiter, _shield(text, quote)), field, F.lit(1)),
+        lambda x: F.replace(F.replace(F.regexp_replace(x, wrapped, F.lit("$1")), F.concat(quote, quote), quote), F.lit(ESCAPED), quote),
     )
     return F.when(quote.isNull(), plain).otherwise(cut)
