@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.units import INT32_SENTINELS, TEXT_SENTINELS
 from ..operators.lookup import attach
+from ..session import settle
 
 # Cell shapes and boolean pairs.
 INTEGER = r"^[+-]?\d+$"
@@ -265,6 +266,29 @@ def type_notices(types: DataFrame, keys: Sequence[str]) -> DataFrame:
     return types.select(*keys, F.explode(notices).alias("code"))
 
 
+#: A dictionary up to this size is looked up by broadcast.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+#: Labels of one column up to which one task may rank them.
+RANKED_ROWS = 1_000_000
+
+
+def ranked(labels: DataFrame, keys: Sequence[str], size: DataFrame, most: int = RANKED_ROWS) -> DataFrame:
+    """``labels`` with ``_rank``, the place of each distinct label in its column from 0.
+
+    Where a column has more than ``most`` labels (``size`` counts them), labels are sorted by ranges and
+    ranked inside each range, behind the counts of the ranges before: no column passes one task.
+    """
+    if (size.agg(F.max("_n")).first()[0] or 0) <= most:
+        return labels.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)
+    placed = settle(labels.repartitionByRange(*keys, "label").withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("label")) - 1
+    return placed.withColumn("_in", inside).join(shifts, [*keys, "_part"]).withColumn("_rank", (F.col("_in") + F.col("_shift")).cast("int")).drop("_in", "_part", "_shift")
+
+
 def enum_dictionary(
     cells: DataFrame, keys: Sequence[str], cell: str = "cell", limit: int | None = None, booleans: bool = True
 ) -> DataFrame:
@@ -274,7 +298,7 @@ def enum_dictionary(
     negative boolean word. The ranking sees each label of a column once.
     """
     t = F.trim(F.col(cell))
-    labels = cells.filter(t.isNotNull() & ~t.isin(TEXT_SENTINELS)).select(*keys, t.alias("label")).distinct()
+    labels = settle(cells.filter(t.isNotNull() & ~t.isin(TEXT_SENTINELS)).select(*keys, t.alias("label")).distinct())
     positive = F.lower("label").isin([yes for yes, _ in BOOLEAN_PAIRS])
     negative = F.lower("label").isin([no for _, no in BOOLEAN_PAIRS])
     size = labels.groupBy(*keys).agg(
@@ -282,10 +306,9 @@ def enum_dictionary(
     )
     if limit is not None:
         size = size.filter(F.col("_n") <= limit)
-    kept = labels.join(size, list(keys))
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("label")) - 1
+    kept = ranked(labels, keys, size).join(size, list(keys))
     is_pair = (F.col("_n") == 2) & (F.col("_yes") == 1) & (F.col("_no") == 1) & F.lit(booleans)
-    return kept.withColumn("_rank", rank).select(
+    return kept.select(
         *keys, "label", F.when(is_pair, positive.cast("int")).otherwise(F.col("_rank")).alias("code")
     )
 
@@ -296,14 +319,26 @@ def to_codes(cells: DataFrame, dictionary: DataFrame, keys: Sequence[str], cell:
 
 
 def _look_up(rows: DataFrame, values: DataFrame, keys: list[str], match: list[Column]) -> DataFrame:
-    """Attach the other columns of ``values`` where all ``keys`` equal ``match``."""
+    """Attach the other columns of ``values`` where all ``keys`` equal ``match``.
+
+    Values are settled and measured: up to ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` of them go to every
+    task and no row moves. More meet the rows in a shuffle, in which hot keys are served by broadcast.
+    """
+    rest = [c for c in values.columns if c not in keys]
+    values = settle(values)
+    size = values.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in values.columns), F.lit(0))).alias("b")).first()
+    if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES:
+        named = values.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *rest)
+        same = F.lit(True)
+        for i, m in enumerate(match):
+            same = same & (m == F.col(f"_k{i}"))
+        return rows.join(F.broadcast(named), same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
     known = F.lit(True)
     for m in match:
         known = known & m.isNotNull()
     as_text = lambda cols: F.to_json(F.array(*[c.cast("string") for c in cols]))
     keyed = rows.withColumn("_key", F.when(known, as_text(match)))
     counted = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    rest = [c for c in values.columns if c not in keys]
     groups = values.select(as_text([F.col(k) for k in keys]).alias("_key"), *rest).join(counted, "_key")
     total = counted.agg(F.sum("_n")).first()[0] or 0
     return attach(

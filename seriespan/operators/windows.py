@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Axis, scan, span_of_key
-
+from .ordered import Axis, has_splits, scan, span_of_key
 
+#: Rows in a frame's length of one key up to which a plain RANGE frame is cheaper than two running halves.
+NARROW = 256
 AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 
 
+def most_in_a_block(df: DataFrame, axis: Axis, width: int) -> int:
+    """The largest number of rows of one key in one block of the order axis."""
+    block = F.floor(F.col(axis.order) / width).alias("_block")
+    counts = df.select(*axis.keys, block).groupBy(*axis.keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
 def sliding(df: DataFrame, axis: Axis, lo: int, hi: int, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
     """Append aggregates over ``[t + lo, t + hi]`` in time linear in the rows, however long the frame.
 
@@ -19,11 +27,18 @@ def sliding(df: DataFrame, axis: Axis, lo: int, hi: int, wanted: dict[str, tuple
     the second block up to its end. Both are running aggregates inside one block, one in each
     direction, read off where the row stands as a probe at its frame's end and start. Work is
     dealt by key and block, so no key and no frame has to pass through one task.
+
+    Where no key is oversized and no block of any key has more than ``NARROW`` rows (a count that is
+    taken first, of keys and times only), the frame is a plain one: it looks at ``2 * NARROW`` rows at
+    most and shares the exchange of the other windows over the axis.
     """
     if hi < lo:
         raise ValueError("the window ends before it starts")
     width = max(hi - lo, 1)
     names = list(df.columns)
+    if not has_splits(df) and most_in_a_block(df, axis, width) <= NARROW:
+        frame = Window.partitionBy(*axis.keys).orderBy(axis.order).rangeBetween(lo, hi)
+        return df.select(*[c for c in names if c not in wanted], *[AGGREGATES[how](c).over(frame).alias(n) for n, (how, c) in wanted.items()])
     inputs = {f"_i_{n}": c for n, (_, c) in wanted.items()}
     base = df.withColumns(inputs)
     t = F.col(axis.order)

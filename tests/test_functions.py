@@ -278,3 +278,27 @@ def test_store_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w")).schema["CLT"].metadata["unit"] == "degC"
     store.export_csv(wide, str(tmp_path / "csv"))
     assert "CLT [degC]" in spark.read.option("header", True).csv(str(tmp_path / "csv")).columns
+
+
+def test_dictionaries_of_any_size_give_the_same_codes(spark, monkeypatch):
+    from seriespan.functions import cells
+
+    rows = [(f"f{i % 2}", i % 3, None if i % 17 == 0 else f" label {i * 7919 % 300} " if i % 3 else ["on", "off"][i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "file string, col int, cell string")
+    got = []
+    for ranked, broadcast in ((1 << 20, 1 << 20), (5, 1 << 20), (5, 0), (1 << 20, 0)):
+        monkeypatch.setattr(cells, "RANKED_ROWS", ranked)
+        monkeypatch.setattr(cells.ranked, "__defaults__", (ranked,))
+        monkeypatch.setattr(cells, "BROADCAST_ROWS", broadcast)
+        dictionary = cells.enum_dictionary(df, ["file", "col"])
+        coded = cells.to_codes(df, dictionary, ["file", "col"])
+        back = cells.decode(coded, dictionary, ["file", "col"])
+        assert coded.columns == [*df.columns, "code"]
+        got.append((sorted(dictionary.collect()), sorted(map(repr, back.collect()))))
+    assert all(g == got[0] for g in got) and len(got[0][1]) == 2000
+    by_column = {}
+    for r in got[0][0]:
+        by_column.setdefault((r.file, r.col), []).append((r.label, r.code))
+    for (_, c), pairs in by_column.items():
+        if c:
+            assert [n for _, n in sorted(pairs)] == list(range(len(pairs)))

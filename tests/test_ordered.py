@@ -270,3 +270,22 @@ def test_quantiles_exact_for_oversized_keys(spark):
 
 def test_axis_position_order():
     assert len(Axis(("k",), "t", ("a", "b")).position) == 3
+
+
+@pytest.mark.parametrize("lo,hi", [(-50, 0), (-30, 30), (0, 40), (10, 25), (-40, -20), (0, 0)])
+def test_plain_frames_and_running_halves_agree(spark, monkeypatch, lo, hi):
+    import random
+
+    from seriespan.operators import windows
+    from seriespan.operators.ordered import LOG_TIME
+
+    r = random.Random(lo * 100 + hi)
+    rows = [(k, r.randint(0, 400), i, None if r.random() < 0.2 else float(r.randint(0, 9))) for k in range(3) for i in range(120)]
+    df = spark.createDataFrame(rows, "log_id int, t_ms long, seq int, v double")
+    wanted = {"a": ("min", F.col("v")), "b": ("max", F.col("v")), "c": ("sum", F.col("v")), "d": ("count", F.col("v"))}
+    got = []
+    for narrow in (10_000, -1):
+        monkeypatch.setattr(windows, "NARROW", narrow)
+        got.append(sorted(map(repr, windows.sliding(df, LOG_TIME, lo, hi, wanted).select("log_id", "t_ms", "seq", "v", "a", "b", "c", "d").collect())))
+    assert got[0] == got[1] and len(got[0]) == 360
+    assert windows.most_in_a_block(df.limit(0), LOG_TIME, 10) == 0
