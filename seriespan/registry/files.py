@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import Axis, attach_splits, scan
 from ..plans.ingest import import_csv, read_folder, scan_status
-from ..plans.views import table
+from ..plans.views import samples, table
 from ..session import settle, shared_folder
 from ..sources import csv_probe as cp, csv_read as cr, listing, native as nat, ranges, stores
+from ..sources.manifest import Store
 from . import query
 from .ingest import ROWS, csv_lines, native_lines
 
@@ -236,3 +237,26 @@ def csv_escapes(spark, d):
     _, _, lines = read_folder(spark, _quoted_files(spark, d), SMALL_RANGE)
     found = cp.Probe(lines)
     return cp.escapes(found.sample, found.dialects).select(name_of(F.col("file")).alias("name"), "escape")
+
+
+@query(
+    "store_refresh",
+    """{S} SELECT log_id, channel_id, seq, t_ms, CASE WHEN log_id % 50 = 7 THEN 2 * v ELSE v END AS v, CASE WHEN log_id % 50 = 7 THEN 2 ELSE 1 END AS version
+  FROM s WHERE log_id % 50 <> 9 AND NOT (log_id % 50 = 7 AND seq % 3 = 0)""",
+)
+def store_refresh(spark, d):
+    """A store of all logs, of which some are replaced and some removed; a writer that dies changes nothing."""
+    stored = Store(spark, fresh(spark, "stores"))
+    s = samples(spark, d)
+    marks = s.groupBy("log_id").agg(F.count(F.lit(1)).alias("size"), F.max("t_ms").alias("mtime"))
+    marks = marks.withColumns({"parser_version": F.lit("1"), "format_version": F.lit("1")})
+    first = stored.refresh(s, marks)
+    before = stored.manifest(first)
+    changed = marks.where("log_id % 50 = 7").withColumn("mtime", F.col("mtime") + 1)
+    stored.refresh(
+        s.where("log_id % 50 = 7 AND seq % 3 <> 0").withColumn("v", 2 * F.col("v")), changed, marks.where("log_id % 50 = 9").select("log_id")
+    )
+    stored._write_aside(s.withColumn("v", F.lit(-1.0)))  # a writer that is killed before it publishes
+    kept = stored.manifest().join(before.select("log_id", "commit"), ["log_id", "commit"], "left_semi").select("log_id", F.lit(1).alias("version"))
+    out = stored.read().join(kept, "log_id", "left")
+    return out.select("log_id", "channel_id", "seq", "t_ms", "v", F.coalesce("version", F.lit(2)).alias("version"))
