@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import rollup as ru
 from ..operators.ordered import LOG_TIME, attach_splits
 from ..plans.views import counters
-from . import query
+from ..sources.pyramid import Pyramid
+from . import ORACLES, query
 from .conditions import by_log
+from .files import fresh
 
 RANKED = """{S}, r AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY t_ms, seq) - 1 AS rn FROM s),
   lv AS (SELECT k AS level, CAST(pow(4, k) AS BIGINT) AS size FROM range(1, 4) t(k)),
@@ -96,3 +100,32 @@ def _enum_level(src: str, dst: str) -> str:
 )
 def rollup_enum(spark, d):
     return ru.enum(by_log(spark, d), 3, LOG_TIME, "channel_id")
+
+
+def _grown(spark, rows, kind, value):
+    """A pyramid of the rows in three appends, cut in time; some series begin in a later one."""
+    grown = Pyramid(spark, fresh(spark, "pyramids"), kind, 3, LOG_TIME, value)
+    early, late = F.col("t_ms") < T0, F.col("t_ms") >= T1
+    for part in (rows.where(early), rows.where(~early & ~late), rows.where(late)):
+        grown.append(part)
+    return grown.read()
+
+
+@query("rollup_append", RANKED + f"SELECT {COLS} FROM b")
+def rollup_append(spark, d):
+    return _grown(spark, by_log(spark, d), "continuous", "v").select(*COLS.split(", "))
+
+
+@query("rollup_append_counter", ORACLES["rollup_counter"])
+def rollup_append_counter(spark, d):
+    return _grown(spark, counters(spark, d), "counter", "k").select("log_id", "level", "bucket", "increase", "v_first", "v_last")
+
+
+@query("rollup_append_bits", ORACLES["rollup_bits"])
+def rollup_append_bits(spark, d):
+    return _grown(spark, counters(spark, d), "bitmask", "k").select("log_id", "level", "bucket", "bits")
+
+
+@query("rollup_append_enum", ORACLES["rollup_enum"])
+def rollup_append_enum(spark, d):
+    return _grown(spark, by_log(spark, d), "enum", "channel_id").select("log_id", "level", "bucket", "mode", "changed")

@@ -33,21 +33,40 @@ class Conflict(RuntimeError):
     """Another writer published first; read the manifest again and redo the refresh."""
 
 
+def folder_names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows the prefix in the names below a folder; there is one per commit or version, never one per log."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return []
+    found = (s.getPath().getName() for s in fs.listStatus(jpath))
+    return sorted(n.removeprefix(prefix) for n in found if n.startswith(prefix))
+
+
+def publish(spark: SparkSession, aside: str, there: str) -> None:
+    """Give a folder its final name at once; fails if another has taken it."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    here, target = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(there)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(here, target, options)
+    except Exception as e:
+        if not fs.exists(target):
+            raise
+        fs.delete(here, True)
+        raise Conflict(f"{there} was published by another writer") from e
+
+
 class Store:
     """One store folder; ``path`` must be shared by all executors."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    # names of folders: at most one per commit or version, never one per log
-
     def _names(self, folder: str, prefix: str) -> list[str]:
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(jpath):
-            return []
-        found = (s.getPath().getName() for s in fs.listStatus(jpath))
-        return sorted(n.removeprefix(prefix) for n in found if n.startswith(prefix))
+        return folder_names(self.spark, f"{self.path}/{folder}", prefix)
 
     def version(self) -> int:
         """The newest published version, 0 for a new store."""
@@ -84,8 +103,7 @@ class Store:
 
     def _commit(self, commit: str) -> DataFrame:
         """What a commit folder holds; nothing if all its logs are without samples."""
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/commit={commit}")
-        there = any(s.getPath().getName().startswith("log_bucket=") for s in jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(jpath))
+        there = bool(self._names(f"data/commit={commit}", "log_bucket="))
         empty = self.spark.read.parquet(f"{self.path}/empty")
         return self.spark.read.parquet(f"{self.path}/data/commit={commit}").drop("log_bucket") if there else empty
 
@@ -106,21 +124,10 @@ class Store:
         return self._publish(kept.unionByName(rows), base)
 
     def _publish(self, manifest: DataFrame, base: int) -> int:
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         version = base + 1
         aside = f"{self.path}/manifest/.{uuid.uuid4().hex}"
         manifest.select("log_id", *MARK, "commit", "samples").write.parquet(aside)
-        here, there = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/v={version:09d}")
-        fs = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(here, there, options)
-        except Exception as e:
-            if not fs.exists(there):
-                raise
-            fs.delete(here, True)
-            raise Conflict(f"version {version} was published by another writer") from e
+        publish(self.spark, aside, f"{self.path}/manifest/v={version:09d}")
         return version
 
     def read(self, logs: Sequence | DataFrame | None = None, version: int | None = None) -> DataFrame:
