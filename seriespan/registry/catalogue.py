@@ -167,6 +167,35 @@ def identity_layers(spark, d):
     return identity.match_channels(*_channels(spark, d))
 
 
+PAIRS = CH + """xs AS (SELECT ord, pair, min(channel_id) AS channel_id, min(log_id) FILTER (channel_id = c0) AS log_id FROM
+    (SELECT *, min(channel_id) OVER (PARTITION BY pair) AS c0 FROM man) GROUP BY ord, pair),
+  mv AS (SELECT * FROM man JOIN ch USING (log_id, channel_id)),
+  mg AS (SELECT pair FROM mv GROUP BY pair HAVING count(DISTINCT log_id) >= 2),
+  lost AS (SELECT 'manual_not_applicable' AS code, pair, -1 AS log_id, 'gone' AS channel_id FROM man WHERE ord % 3 = 0 GROUP BY pair
+    UNION ALL SELECT 'manual_not_applicable', 'x' || pair, log_id, channel_id FROM xs SEMI JOIN mg USING (pair)
+    UNION ALL SELECT 'manual_not_applicable', 'x' || pair, -1, 'gone' FROM xs)
+"""
+
+
+@query(
+    "identity_pair_notices",
+    PAIRS + """SELECT * FROM lost UNION ALL SELECT 'manual_dropped', pair, NULL, NULL FROM (SELECT DISTINCT pair FROM man) ANTI JOIN mg USING (pair)
+  UNION ALL SELECT 'manual_dropped', 'x' || pair, NULL, NULL FROM xs
+  UNION ALL SELECT 'manual_contradicts_role', pair, NULL, NULL FROM mv SEMI JOIN mg USING (pair) GROUP BY pair HAVING count(DISTINCT role) > 1""",
+)
+def identity_pair_notices(spark, d):
+    """Pairs that cite channels that do not exist, and later pairs that cite what an earlier one holds."""
+    ch, manual = _channels(spark, d)
+    gone = manual.where("ord % 3 = 0").select("ord", "pair").distinct()
+    nowhere = [F.lit(-1).cast("bigint").alias("log_id"), F.lit("gone").alias("channel_id")]
+    first = manual.groupBy("ord", "pair").agg(F.min(F.struct("channel_id", "log_id")).alias("_f"))
+    later = [(F.col("ord") + 1_000_000).alias("ord"), F.concat(F.lit("x"), "pair").alias("pair")]
+    more = (
+        gone.select("ord", "pair", *nowhere).unionByName(first.select(*later, "_f.log_id", "_f.channel_id")).unionByName(first.select(*later, *nowhere))
+    )
+    return identity.manual_notices(ch, manual.unionByName(more))
+
+
 @query(
     "identity_groups",
     IDENTITY + "SELECT layer, group_id, count(DISTINCT log_id) AS logs, arg_min(channel_id, (log_id, channel_id)) AS label FROM mm GROUP BY 1, 2",

@@ -302,3 +302,48 @@ def test_dictionaries_of_any_size_give_the_same_codes(spark, monkeypatch):
     for (_, c), pairs in by_column.items():
         if c:
             assert [n for _, n in sorted(pairs)] == list(range(len(pairs)))
+
+
+def test_configurations_of_any_size(spark):
+    from seriespan.operators.config import with_each
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    config = spark.createDataFrame([(i, f"c{i}") for i in range(95)], "k int, c string").repartition(3)
+    whole = sorted(with_each(df, config).collect())
+    assert whole == sorted((x, y, i, f"c{i}") for x, y in ((1, "a"), (2, "b")) for i in range(95))
+    assert sorted(with_each(df, config, 10).collect()) == whole and with_each(df, config.limit(0), 10).count() == 0
+
+
+def test_manual_pairs_one_after_the_other(spark):
+    """Against the pairs taken in order, each with the channels that kept pairs before it left."""
+    import random
+
+    from seriespan.operators import identity
+
+    for seed in range(4):
+        r = random.Random(seed)
+        channels = [(log, f"c{c}", r.choice([None, "rpm", "map"])) for log in "abcd" for c in range(4)]
+        manual = [(o, f"p{o}", r.choice("abcd"), f"c{r.randint(0, 5)}") for o in range(14) for _ in range(r.randint(1, 4))]
+        free, members, notices = {(x, c): y for x, c, y in channels}, {}, set()
+        for o in range(14):
+            got = set()
+            for _, p, log, c in sorted(set(m for m in manual if m[0] == o)):
+                if (log, c) in free:
+                    got.add((log, c))
+                else:
+                    notices.add(("manual_not_applicable", p, log, c))
+            if len({log for log, _ in got}) < 2:
+                if any(m[0] == o for m in manual):
+                    notices.add(("manual_dropped", f"p{o}", None, None))
+                continue
+            members[f"p{o}"] = got
+            if len({free[g] for g in got} - {None}) > 1:
+                notices.add(("manual_contradicts_role", f"p{o}", None, None))
+            for g in got:
+                del free[g]
+        ch = spark.createDataFrame(channels, "log_id string, channel_id string, role string")
+        man = spark.createDataFrame(manual, "ord int, pair string, log_id string, channel_id string")
+        layer = {(x.group_id.removeprefix("manual:"), x.log_id, x.channel_id) for x in identity.manual_layer(ch, man).collect()}
+        assert layer == {(p, *g) for p, gs in members.items() for g in gs}
+        assert {tuple(x) for x in identity.manual_notices(ch, man).collect()} == notices
+    assert identity.manual_notices(ch, man.limit(0)).count() == 0
