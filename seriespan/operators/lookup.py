@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 #: A key counts as hot above this share of all rows, so there are at most ``1 / HOT_SHARE`` of them.
 HOT_SHARE = 1e-4
 #: Below so many rows a key is never hot: one task takes them easily.
@@ -36,3 +38,16 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, *, count: str, total: i
     out = out.join(cold, "_ck", "left").drop("_ck")
     found = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *(found[v].alias(v) for v in values))
+
+
+#: A table up to this size is given to every task.
+SMALL_ROWS = 200_000
+SMALL_BYTES = 32 << 20
+
+
+def measured(table: DataFrame) -> DataFrame:
+    """The table settled, marked for broadcast if its rows and the bytes of its values are few."""
+    table = settle(table)
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(0))
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(table) if size["n"] <= SMALL_ROWS and size["b"] <= SMALL_BYTES else table

@@ -14,7 +14,8 @@ from ..operators.ordered import Axis, attach_splits, scan
 from ..plans.ingest import import_csv, read_folder, scan_status
 from ..plans.views import samples, table
 from ..session import settle, shared_folder
-from ..sources import csv_probe as cp, csv_read as cr, listing, native as nat, ranges, stores
+from ..sources import csv_probe as cp, csv_read as cr, export, listing, native as nat, ranges, stores
+from ..sources.lines import read_lines, split_fields
 from ..sources.manifest import Store
 from . import query
 from .ingest import ROWS, csv_lines, native_lines
@@ -260,3 +261,40 @@ def store_refresh(spark, d):
     kept = stored.manifest().join(before.select("log_id", "commit"), ["log_id", "commit"], "left_semi").select("log_id", F.lit(1).alias("version"))
     out = stored.read().join(kept, "log_id", "left")
     return out.select("log_id", "channel_id", "seq", "t_ms", "v", F.coalesce("version", F.lit(2)).alias("version"))
+
+
+def export_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Three layouts: logs differ in the channels they have and in the units asked for."""
+    logs = samples(spark, d).select("log_id").distinct()
+    text = lambda x: F.lit(x).cast("string")
+    spec = lambda c, name, dim, unit, ref=None, why=None: F.struct(
+        F.lit(c).alias("channel_id"), F.lit(name).alias("name"), text(dim).alias("dimension"), text(unit).alias("unit"), F.lit("point").alias("cls"),
+        F.lit(ref).cast("double").alias("reference_kpa"), text(why).alias("reason"),
+    )
+    kinds = [
+        [spec("click", "CLT", "temperature", "degF"), spec("view", "Boost", "pressure", "bar", 101.325)],
+        [spec("click", "CLT", "temperature", "degC"), spec("error", "Odd", None, None, why="unknown_dimension")],
+        [spec("view", "MAP", "pressure", "kPa"), spec("purchase", "Speed", "angular_speed", "rpm"), spec("signup", "Speed", "angular_speed", "rpm")],
+    ]
+    k = F.col("log_id") % 3
+    found = F.when(k == 0, F.array(*kinds[0])).when(k == 1, F.array(*kinds[1])).otherwise(F.array(*kinds[2]))
+    return logs.select("log_id", F.explode(found).alias("c")).select("log_id", "c.*")
+
+
+@query(
+    "export_by_layout",
+    """{S}, c(m, channel_id, label, a, b) AS (VALUES (0, 'click', 'CLT [degF]', 1.8, -459.67), (0, 'view', 'Boost [bar (rel)]', 0.01, -1.01325),
+    (1, 'click', 'CLT [degC]', 1.0, -273.15), (1, 'error', 'Odd [raw]', 1.0, 0.0),
+    (2, 'view', 'MAP [kPa (abs)]', 1.0, 0.0), (2, 'purchase', 'Speed [rpm]', 1.0, 0.0), (2, 'signup', 'Speed [rpm]_2', 1.0, 0.0))
+  SELECT CAST(log_id AS VARCHAR) AS log_id, seq, t_ms, label, round(v * a + b, 6) AS v FROM s JOIN c ON c.m = s.log_id % 3 AND c.channel_id = s.channel_id""",
+)
+def export_by_layout(spark, d):
+    """All logs exported as CSV in one job; files and headers read back as text."""
+    files = export.export_layouts(samples(spark, d), export_channels(spark, d), fresh(spark, "exports"), "csv", 100)
+    lines = read_lines(spark, files.select(F.col("file").alias("path")))
+    comma, quote = F.lit(","), F.lit('"')
+    heads = lines.where("line = 0").select("file", split_fields(F.col("text"), comma, quote).alias("h"))
+    cells = lines.where("line > 0").join(heads, "file").select("h", split_fields(F.col("text"), comma, quote).alias("c"))
+    each = cells.select(F.get("c", F.lit(0)).alias("log_id"), F.get("c", F.lit(1)).cast("bigint").alias("seq"), F.get("c", F.lit(2)).cast("bigint").alias("t_ms"), "h", F.posexplode("c").alias("i", "x"))
+    kept = each.where("i > 2 AND x <> ''")
+    return kept.select("log_id", "seq", "t_ms", F.get("h", F.col("i")).alias("label"), F.round(F.col("x").cast("double"), 6).alias("v"))

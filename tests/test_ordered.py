@@ -289,3 +289,29 @@ def test_plain_frames_and_running_halves_agree(spark, monkeypatch, lo, hi):
         got.append(sorted(map(repr, windows.sliding(df, LOG_TIME, lo, hi, wanted).select("log_id", "t_ms", "seq", "v", "a", "b", "c", "d").collect())))
     assert got[0] == got[1] and len(got[0]) == 360
     assert windows.most_in_a_block(df.limit(0), LOG_TIME, 10) == 0
+
+
+def test_selected_quantiles(spark, monkeypatch):
+    import numpy as np
+
+    from seriespan.operators import quantiles as q
+
+    r = np.random.default_rng(4)
+    columns = {
+        "same": np.full(300, 3.5), "two": np.where(np.arange(301) % 2, -1.0, 1e-300), "wide": r.standard_normal(500) * 10.0 ** r.integers(-300, 300, 500),
+        "close": 1e9 + r.standard_normal(700) * 1e-6, "whole": r.integers(-5, 6, 900).astype(float), "zeros": np.array([0.0, -0.0, 5e-324, -5e-324] * 60),
+        "ends": np.array([np.inf, -np.inf, 0.0, 1.0] * 50), "skew": r.exponential(1, 2000) ** 9,
+    }
+    rows = [(k, float(v)) for k, vs in columns.items() for v in vs] + [(None, float(v)) for v in range(400)] + [("small", 1.0), ("small", 2.0), ("small", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    plain = {x.k: x for x in q.quantiles(df, ["k"], "v", probs).collect()}
+    for exact in (1 << 20, 40, 1):
+        monkeypatch.setattr(q.selected, "__defaults__", (exact,))
+        got = {x.k: x for x in q.quantiles(df, ["k"], "v", probs, 10).collect()}
+        assert set(got) == set(plain)
+        for k in plain:
+            for name in probs:
+                x, y = got[k][name], plain[k][name]
+                assert x == y or (np.isnan(x) and np.isnan(y)) or abs(x - y) <= 1e-12 * abs(y), (exact, k, name, x, y)
+    assert q.quantiles(df.limit(0), ["k"], "v", probs, 10).count() == 0
