@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import measured
+
 
 @dataclass(frozen=True)
 class GearLimits:
@@ -94,7 +96,7 @@ def detect_gears(grid: DataFrame, rpm: str, speed: str, lim: GearLimits) -> tupl
     band = F.try_element_at(
         F.filter("gears", lambda g: (F.col("ratio") >= g["lo"]) & (F.col("ratio") < g["hi"])), F.lit(1)
     )
-    raw = ratios.join(fine.select("log_id", "gears"), "log_id", "left").withColumn(
+    raw = ratios.join(measured(fine.select("log_id", "gears")), "log_id", "left").withColumn(
         "_k", F.when(F.col("ratio").isNotNull(), band["k"])
     )
     counts = raw.filter(F.col("_k").isNotNull()).groupBy("log_id", "_k").agg(F.count(F.lit(1)).alias("n"))
@@ -126,7 +128,7 @@ def detect_gears(grid: DataFrame, rpm: str, speed: str, lim: GearLimits) -> tupl
     )
     numbering = kept.groupBy("log_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "gear"))).alias("_m"))
     samples = (
-        raw.join(numbering, "log_id", "left")
+        raw.join(measured(numbering), "log_id", "left")
         .withColumn("gear", F.coalesce(F.col("_m")[F.col("_k")], F.lit(0)))
         .drop("_k", "_m", "gears")
     )

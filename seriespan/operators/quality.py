@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import measured
 from .ordered import CHANNEL_FILE, LOG_FILE, Axis, has_splits, scan
 from .quantiles import quantiles
 
@@ -31,7 +32,7 @@ def gaps(samples: DataFrame, factor: float = 3.0, axis: Axis = CHANNEL_FILE, t:
     period = typical_period(samples, axis, t)
     return (
         d.filter(F.col("dt") > 0)
-        .join(period, list(axis.keys))
+        .join(measured(period), list(axis.keys))
         .filter(F.col("dt") > F.lit(float(factor)) * F.col("period_ms"))
         .select(
             *axis.keys,

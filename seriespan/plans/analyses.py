@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mesh as meshes
 from ..operators.events import crossings
+from ..operators.lookup import measured
 from ..operators.ordered import CHANNEL_TIME, LOG_TIME, Axis, scan
 from ..operators.windows import counter_delta, plain_delta
 
@@ -111,7 +112,7 @@ def sum_check(df: DataFrame, total: Column, parts: Sequence[Column], tolerance:
 def sensor_health(df: DataFrame, keys: Sequence[str], value: str = "v", axis: Axis = CHANNEL_TIME) -> DataFrame:
     """Time share at the extremes and sample-to-sample noise per channel."""
     ends = df.groupBy(*keys).agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
-    work = plain_delta(df, axis, F.col(value), "_d").join(ends, list(keys))
+    work = plain_delta(df, axis, F.col(value), "_d").join(measured(ends), list(keys))
     return work.groupBy(*keys).agg(
         F.avg((F.col(value) == F.col("_hi")).cast("int")).alias("at_max"),
         F.avg((F.col(value) == F.col("_lo")).cast("int")).alias("at_min"),

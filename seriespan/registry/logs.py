@@ -138,6 +138,34 @@ def best_lag(spark, d):
     return out.select("pair_id", "lag", F.col("offset_ms").cast("bigint").alias("offset_ms"), F.round("r", 6).alias("r"), "overlap")
 
 
+def _lagged(width: int, lags: str) -> str:
+    return f"""SELECT pair_id, lag, corr(a.v, b.v) AS r, count(*) AS overlap FROM pr JOIN h{width} a ON a.log_id = log_a, range({lags}) q(lag), h{width} b
+    WHERE b.log_id = log_b AND b.b + lag = a.b GROUP BY 1, 2"""
+
+
+def _grid(width: int) -> str:
+    return f"""h{width} AS (SELECT s.log_id, (t_ms - c0) // {width} AS b, avg(v) AS v FROM s JOIN g0 USING (log_id) WHERE channel_id = 'click' GROUP BY 1, 2)"""
+
+
+BEST = "row_number() OVER (PARTITION BY pair_id ORDER BY round(r, 9) DESC, abs(lag), lag DESC) AS p"
+
+
+@query(
+    "best_lag_refined",
+    PAIRS + f""", g0 AS (SELECT s.log_id, min(t_ms) AS c0 FROM s WHERE channel_id = 'click' GROUP BY 1), {_grid(DAY)}, {_grid(DAY // 4)},
+  l AS ({_lagged(DAY, "-5, 6")}), k AS (SELECT *, {BEST} FROM l WHERE overlap >= 4 AND r IS NOT NULL AND NOT isnan(r)),
+  c AS (SELECT pair_id AS pc, 4 * lag AS centre FROM k WHERE p = 1),
+  l2 AS (SELECT pair_id, lag, corr(a.v, b.v) AS r, count(*) AS overlap FROM pr JOIN c ON pc = pair_id JOIN h{DAY // 4} a ON a.log_id = log_a, range(-24, 25) q(lag), h{DAY // 4} b
+    WHERE b.log_id = log_b AND b.b + lag = a.b AND abs(lag - centre) <= 4 GROUP BY 1, 2),
+  k2 AS (SELECT *, {BEST} FROM l2 WHERE overlap >= 4 AND r IS NOT NULL AND NOT isnan(r))
+  SELECT pair_id, CAST(lag AS INT) AS lag, lag * {DAY // 4} AS offset_ms, round(r, 6) AS r, overlap FROM k2 WHERE p = 1""",
+)
+def best_lag_refined(spark, d):
+    """Lags of whole days first, then of quarter days around the best."""
+    out = axes.best_lag_refined(samples(spark, d), _pairs(spark, d), "click", DAY // 4, 5, 4, 4)
+    return out.select("pair_id", "lag", F.col("offset_ms").cast("bigint").alias("offset_ms"), F.round("r", 6).alias("r"), "overlap")
+
+
 @query(
     "concatenated_series",
     CONCAT + """SELECT session, CASE channel_id WHEN 'click' THEN 'g1' WHEN 'view' THEN 'g2' END AS group_id, log_id, t_ms + "offset" AS x, seq, v

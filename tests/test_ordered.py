@@ -315,3 +315,49 @@ def test_selected_quantiles(spark, monkeypatch):
                 x, y = got[k][name], plain[k][name]
                 assert x == y or (np.isnan(x) and np.isnan(y)) or abs(x - y) <= 1e-12 * abs(y), (exact, k, name, x, y)
     assert q.quantiles(df.limit(0), ["k"], "v", probs, 10).count() == 0
+
+
+@pytest.mark.parametrize("block,direct", [(4, 1 << 30), (16, 1 << 30), (4096, 0), (7, 0)])
+def test_lags_by_blocks(spark, monkeypatch, block, direct):
+    import numpy as np
+
+    from seriespan.operators import axes
+
+    monkeypatch.setattr(axes, "DIRECT", direct)
+    r = random.Random(9)
+    logs = {k: {i: r.random() + (i % 7) for i in range(80) if r.random() < 0.8} for k in range(3)}
+    logs[3] = {i: 2.5 for i in range(40)}  # no variance: no correlation
+    rows = [(k, "a", i, i * 10 + r.randint(0, 9), v) for k, vs in logs.items() for i, v in vs.items()] + [(0, "b", 1, 1, 1.0)]
+    df = spark.createDataFrame(rows, "log_id int, channel_id string, seq long, t_ms long, v double")
+    pairs = spark.createDataFrame([("x", 0, 1), ("y", 2, 1), ("z", 0, 3), ("n", 0, 99)], "pair_id string, log_a int, log_b int")
+    grids = {}
+    for k in logs:
+        own = [(t, v) for x, c, _, t, v in rows if x == k and c == "a"]
+        t0, cells = min(t for t, _ in own), {}
+        for t, v in own:
+            cells.setdefault((t - t0) // 10, []).append(v)
+        grids[k] = {b: float(np.mean(v)) for b, v in cells.items()}
+
+    def brute(lags, a, b):
+        out = {}
+        for lag in lags:
+            both = [(v, grids[b][i - lag]) for i, v in grids[a].items() if i - lag in grids[b]]
+            if len(both) >= 5 and np.std([x for x, _ in both]) > 0 and np.std([y for _, y in both]) > 0:
+                out[lag] = (float(np.corrcoef(np.array(both).T)[0, 1]), len(both))
+        return out
+
+    def same(scored, lags):
+        got = {}
+        for x in scored.collect():
+            got.setdefault(x.pair_id, {})[x.lag] = (x.r, x.overlap)
+        for pair, (a, b) in {"x": (0, 1), "y": (2, 1)}.items():
+            want = brute(lags[pair], a, b)
+            assert set(got[pair]) == set(want)
+            assert all(abs(got[pair][k][0] - want[k][0]) < 1e-9 and got[pair][k][1] == want[k][1] for k in want)
+        assert set(got) == {"x", "y"}
+
+    every = range(-6, 7)
+    same(axes.lag_scores(df, pairs, "a", 10, 6, 5, block=block), {"x": every, "y": every})
+    centres = spark.createDataFrame([("x", 20), ("y", -11), ("z", 0)], "pair_id string, centre long")
+    same(axes.lag_scores(df, pairs, "a", 10, 3, 5, centres, block), {"x": range(17, 24), "y": range(-14, -7)})
+    assert axes.lag_scores(df.limit(0), pairs, "a", 10, 6).count() == 0
