@@ -115,13 +115,22 @@ def balance(by_size: DataFrame, targets: DataFrame, most: int = MOST) -> DataFra
     return state.select("_s", "lambda", "mean")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies, taken`` added to every row."""
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with ``size, source_size, target, copies, taken`` added to every row; these replace columns of ``docs``."""
+    mixed = _mixed(docs, **how)
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in NEW]
+    return mixed.select(*kept, *(F.col(f"_new_{c}").alias(c) for c in NEW))
+
+
+def _mixed(
+    docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
+    """Every row whole as ``_row``, beside the columns ``NEW`` under names of their own."""
     rows = docs.select(
-        F.struct("*").alias("_row"), F.col(key).alias("_k"), word_count(F.col(text)).alias("_size"),
+        F.struct("*").alias("_row"), F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_sum"), word_count(F.col(text)).alias("_size"),
         # the sort order of this key is the sources' by code point, null last
         F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")).alias("_s"),
-    ).withColumn("_salt", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int"))
+    ).withColumn("_salt", F.pmod(F.xxhash64("_k", "_sum"), F.lit(SALTS)).cast("int"))
     group = ["_s", "_size", "_salt"]
     cells = settle(rows.groupBy(*group).agg(F.count("*").alias("_n")))
     targets = settle(source_targets(cells, weights, most))
@@ -135,7 +144,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     rated = settle(rated.select(*group, "_n", "_rate", "_before").join(targets.select("_s", "source_size", "target"), "_s"))
 
     rounded = settle_cells(rated)
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("_k"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_k", "_sum"))
     numbered = rows.withColumn("_j", place).join(rated, group)
     whole = copies_at(F.col("_j")) - copies_at(F.col("_j") - 1)
     fixed = repairs(rounded, targets, most)
@@ -145,8 +154,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"),
         "copies": copies.cast("int"), "taken": (copies * F.col("_size")).cast("long"),
     }
-    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
-    return numbered.select(*kept, *(v.alias(c) for c, v in new.items()))
+    return numbered.select("_row", *(v.alias(f"_new_{c}") for c, v in new.items()))
+
+
+#: Columns that the mix adds.
+NEW = ("size", "source_size", "target", "copies", "taken")
 
 
 def copies_at(j: Column) -> Column:
@@ -186,6 +198,7 @@ def repairs(cells: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     return chosen.withColumn("_j", F.lit(1))
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: every row as often as its ``copies``."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: every row of ``docs``, with its own columns, as often as the mix takes it."""
+    copies = F.explode(F.sequence(F.lit(1), F.col("_new_copies")))
+    return _mixed(docs, **how).where("_new_copies > 0").select("_row", copies.alias("_copy")).select("_row.*")

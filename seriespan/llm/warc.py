@@ -44,6 +44,7 @@ from ..session import settle, shared_folder
 BLOCK_LINES = 1024
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 2 << 20
+MOST_TASKS = 100_000
 DATE = "2026-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -300,15 +301,16 @@ def lookup(keys: DataFrame, files: DataFrame, folder: str) -> DataFrame:
             yield batch_of(rows, CAPTURES)
 
     placed = keys.select("key").mapInArrow(place, ddl(PLACES))
-    dealt = placed.repartition("file").sortWithinPartitions("file", F.encode("key", "UTF-8"))
+    dealt = placed.repartition(max(len(known), 1), "file").sortWithinPartitions("file", F.encode("key", "UTF-8"))
     return dealt.mapInArrow(search, ddl(CAPTURES))
 
 
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
     """The records of ``captures(archive, offset, length)``, each by a read of its own range.
 
-    A task takes captures of ``READ_BYTES`` of an archive in the order of their offsets. A stored
-    payload is digested anew and must match its header.
+    A task takes captures of about ``READ_BYTES`` in the order of their offsets: there are as many
+    tasks as the archives' bytes ask for, however few bytes the places themselves have. A stored payload
+    is digested anew and must match its header.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +340,9 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    places = captures.select("archive", "offset", "length")
-    dealt = places.repartition("archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
+    places = settle(captures.select("archive", "offset", "length"))
+    tasks = -(-(places.agg(F.sum("length")).first()[0] or 0) // READ_BYTES)
+    dealt = places.repartition(min(max(tasks, 1), MOST_TASKS), "archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(scan, ddl(RECORDS))
 
 

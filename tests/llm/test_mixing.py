@@ -69,8 +69,24 @@ def test_awkward_rows(spark):
     assert got.count() == df.count() and mixing.mix(empty(spark)).count() == 0
     assert set(df.columns) <= set(got.columns)
     assert all(r["taken"] == 0 for r in got.where("size = 0").collect())
-    again = mixing.repeated(got, ["doc_id", "text"])
-    assert again.count() == sum(r["copies"] for r in got.where("size > 0").collect())
+    again = mixing.repeated(df)
+    assert again.columns == df.columns and again.count() == sum(r["copies"] for r in got.where("size > 0").collect())
+
+
+def test_the_mix_keeps_input_columns(spark):
+    rows = [(i, words(5 + i, i), "ab"[i % 2], 77, 88, "t", -1, -2) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, source_size long, target string, copies int, taken long")
+    mixed = mixing.repeated(df)
+    assert mixed.columns == df.columns
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in df.collect()} and mixed.count() > 0
+    assert all(r["size"] not in (77,) and r["target"] != "t" for r in mixing.mix(df).collect())
+
+
+def test_reruns_agree_on_rows_that_share_an_id(spark):
+    rows = [(i % 3 if i % 4 else None, words(6, i), "a" if i % 2 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted(map(repr, mixing.repeated(df.repartition(3)).collect()))
+    assert one == sorted(map(repr, mixing.repeated(df.repartition(7)).collect()))
 
 
 def test_only_empty_texts(spark):

@@ -71,3 +71,27 @@ def test_pipeline_stages(spark):
     leaked = {r[0] for r in P.decontamination.leaks(before, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).select("doc_id").collect()}
     assert not leaked
     assert P.minhash.near_duplicates(before.dropDuplicates(["doc_id"]).select("doc_id", "text")).where("NOT kept").count() == 0
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    """One row of each class stays, whatever doc_id says: equal rows, shared and missing ids."""
+    import corpus_pipeline as P
+    from frames import words
+
+    base = words(60, 1)
+    near = base.replace(base.split()[30], "changed", 1)
+    other, third = words(60, 2), words(60, 3)
+    rows = [(5, base), (5, base), (5, base), (None, base), (2, near), (7, other), (7, third), (8, other), (None, third), (None, None), (9, "")]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], "doc_id long, text string, lang string, source string, _row long").repartition(4)
+    got = P.one_of_each(spark, docs, FOLDER)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(2, near), (7, other), (7, third), (None, None), (9, "")]))
+    plain = docs.where("doc_id IN (2, 8, 9)")
+    assert P.one_of_each(spark, plain, FOLDER).count() == 3
+
+
+def test_pipeline_stages_on_empty_tables(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    assert P.one_of_each(spark, docs, FOLDER).count() == 0 and P.mixed(spark, docs, FOLDER).count() == 0
