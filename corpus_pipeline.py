@@ -28,9 +28,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate class."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of every near-duplicate class: that with the smallest id.
+
+    Where ids repeat or are missing, rows are numbered first (by id, missing ones last, then by text), so
+    that of equal rows one stays and rows that only share an id are judged by their texts.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("doc_id IS NULL OR n > 1").isEmpty():
+        kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    number = F.monotonically_increasing_id().alias("doc_id")
+    numbered = settle(whole.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text")).select("row", "text", number))
+    kept = minhash.near_duplicates(numbered.select("doc_id", "text")).where("kept").select("doc_id")
+    return numbered.join(kept, "doc_id", "left_semi").select("row.*")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +51,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    return mixing.repeated(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
