@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,12 +50,49 @@ def _other(decimal: str) -> str:
     return "," if decimal == "." else "."
 
 
+def _digits(text: Column) -> Column:
+    """One digit or more and nothing else."""
+    return text.rlike(r"^[0-9]+\z")
+
+
+def _unsigned(text: Column) -> Column:
+    return F.when(F.left(text, F.lit(1)).isin("+", "-"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+
+
+def _tail(text: Column, head: Column) -> Column:
+    """What follows the sign after ``head``; empty where there is none."""
+    return F.substring(text, F.length(head) + 2, F.lit(2**31 - 1))
+
+
+def _well_formed(number: Column, decimal: str, spaced: bool = False) -> Column:
+    """Whether a text is a number, piece by piece.
+
+    The text is cut at the exponent sign, its head at the decimal sign and the whole part at the grouping
+    sign (``spaced``: or a blank). Every piece has digits only; of several groups the first has one to three
+    and no leading zero, the others have three. Texts of digits alone, the usual ones, are not cut.
+    """
+    size = F.length(number)
+    plain = F.replace(number, F.lit("E"), F.lit("e"))
+    scaled = F.substring_index(plain, "e", 1)
+    whole = F.substring_index(_unsigned(scaled), decimal, 1)
+    grouping = _other(decimal)
+    # One plain character is split at without a pattern.
+    groups = F.split(F.replace(whole, F.lit(" "), F.lit(grouping)) if spaced else whole, "\\." if grouping == "." else ",", -1)
+    first = F.get(groups, F.lit(0))
+    grouped = (
+        F.left(whole, F.lit(1)).between("1", "9") & (F.size(groups) > 1)
+        & _digits(F.array_join(groups, "")) & F.length(first).between(1, 3)
+        & F.forall(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) == 3)
+    )
+    one_cut = (F.length(scaled) == size) | _digits(_unsigned(_tail(plain, scaled)))
+    fraction = (F.length(whole) == F.length(_unsigned(scaled))) | _digits(_tail(_unsigned(scaled), whole))
+    return _digits(number) | ((_digits(whole) | grouped) & fraction & one_cut)
+
+
 def is_numeric(cell: Column, decimal: str) -> Column:
     """Number under this decimal sign: plain, grouped or scientific; empty counts."""
-    d, g = f"[{decimal}]", f"[{_other(decimal)}]"
-    number = rf"^[+-]?([1-9]\d{{0,2}}({g}\d{{3}})+|\d+)({d}\d+)?([eE][+-]?\d+)?$"
     t = F.trim(cell)
-    return (t == "") | t.rlike(number)
+    return (t == "") | _well_formed(t, decimal)
 
 
 def looks_like_time(cell: Column) -> Column:
@@ -79,21 +116,53 @@ def number_shape(cell: Column) -> Column:
     )
 
 
-def _cell_pattern(decimal: str) -> str:
-    d, g = f"[{decimal}]", _other(decimal)
-    body = rf"[+-]?(?:[1-9]\d{{0,2}}(?:[{g} ]\d{{3}})+|\d+)(?:{d}\d+)?(?:[eE][+-]?\d+)?"
-    return rf"^\s*({body})\s*([{UNIT_CHARS}][{UNIT_CHARS}0-9]*)?\s*$"
+def _unblanked(text: Column) -> Column:
+    """Without blanks, tabs and line breaks at its ends."""
+    t = F.trim(text)
+    return F.when(((t != "") & (t < " ")) | F.right(t, F.lit(1)).between("\t", "\r"), F.regexp_replace(t, r"^\s+|\s+$", "")).otherwise(t)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _number_and_unit(cell: Column, decimal: str) -> Column:
+    """What a cell begins with as a number, and the word behind it, as (number, unit); NULL in any other shape.
+
+    A cell that is a number is not cut. Elsewhere the number goes as far as digits, signs and blanks do, and
+    on over an exponent that has digits.
+    """
+    t = F.trim(cell)
+
+    def cut(head: Column) -> Column:
+        rest = F.substring(t, F.length(head) + 1, F.lit(2**31 - 1))
+        power = F.when(
+            F.left(rest, F.lit(1)).isin("e", "E") & ~F.endswith(head, F.lit(" ")),
+            F.regexp_extract(rest, "^.[+-]?[0-9]+", 0),
+        ).otherwise("")
+        unit = F.substring(rest, F.length(power) + 1, F.lit(2**31 - 1))
+        return F.struct(F.concat(_unblanked(head), power).alias("number"), _unblanked(unit).alias("unit"))
+
+    def checked(parts: Column) -> Column:
+        number, unit = parts["number"], parts["unit"]
+        word = unit.rlike(rf"^[0-9{UNIT_CHARS}]+\z") & ~unit.rlike("^[0-9]")
+        shape = ((unit == "") | word) & _well_formed(number, decimal, spaced=True)
+        return F.when(shape, F.struct(number.alias("number"), F.nullif(unit, F.lit("")).alias("unit")))
+
+    plain = F.struct(t.alias("number"), F.lit(None).cast("string").alias("unit"))
+    return F.when((t != "") & _well_formed(t, decimal), plain).when(
+        t.rlike(r"^\s*[+-]?[0-9]"), _bound(_bound(F.regexp_extract(t, r"^\s*[0-9+., -]*", 0), cut), checked)
+    )
 
 
 def number_text(cell: Column, decimal: str) -> Column:
     """The number part of ``3,2 bar``; NULL where the cell has another shape."""
-    got = F.regexp_extract(F.trim(cell), _cell_pattern(decimal), 1)
-    return F.when(got != "", got)
+    return _number_and_unit(cell, decimal)["number"]
 
 
 def unit_text(cell: Column, decimal: str) -> Column:
-    got = F.regexp_extract(F.trim(cell), _cell_pattern(decimal), 2)
-    return F.when(got != "", got)
+    return _number_and_unit(cell, decimal)["unit"]
 
 
 def normalise_thousands(number: Column, decimal: str) -> Column:
@@ -206,7 +275,7 @@ def infer_types(
     """
     c = F.trim(F.coalesce(F.col(cell), F.lit("")))
     kind = cell_kind(c)
-    fraction = rf"[{decimal}]\d|[eE][+-]?\d"
+    fraction = F.contains("_t", F.lit(decimal)) | F.contains(F.lower("_t"), F.lit("e"))
     values = (
         cells.select(*keys, c.alias("_t"), kind.alias("_k"))
         .groupBy(*keys, "_t", "_k")
@@ -227,7 +296,7 @@ def infer_types(
         tally(numeric).alias("numeric"),
         tally(data & ~numeric).alias("non_numeric"),
         F.count_if(data).alias("distinct"),
-        F.coalesce(F.max(numeric & F.col("_t").rlike(fraction)), F.lit(False)).alias("_fraction"),
+        F.coalesce(F.max(numeric & fraction), F.lit(False)).alias("_fraction"),
         F.min(F.when(data, F.col("_t"))).alias("_only"),
         *[flag for i, both in enumerate(BOOLEAN_PAIRS) for flag in _pair_flags(i, both, data)],
     )

@@ -8,17 +8,28 @@ from ..functions import cells, clock, names
 from ..plans.views import table
 from . import query
 
-# One text cell per lineitem row and column, in the shapes log exports use.
+# One text cell per lineitem row and column, in the shapes log exports use, each with the name of its shape.
 CELLS = """WITH base AS (SELECT l_suppkey % 13 AS file, row_number() OVER () AS rid, l_quantity, l_extendedprice, l_discount, l_linenumber, l_orderkey, l_partkey FROM lineitem),
-  c AS (SELECT file, 'price' AS col, CASE l_linenumber WHEN 1 THEN replace(printf('%.2f', l_extendedprice), '.', ',') || ' bar'
+  c0 AS (SELECT file, 'price' AS col, CASE l_linenumber WHEN 1 THEN replace(printf('%.2f', l_extendedprice), '.', ',') || ' bar'
         WHEN 2 THEN ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) WHEN 3 THEN '#N/A' WHEN 4 THEN '' WHEN 5 THEN '2147483647' WHEN 6 THEN 'x' || l_partkey
-        ELSE '1.' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ',5' END AS cell FROM base
-    UNION ALL SELECT file, 'qty', CASE WHEN file % 2 = 0 THEN replace(printf('%.1f', l_quantity), '.', ',') ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END FROM base
-    UNION ALL SELECT file, 'disc', '0,0' || CAST(CAST(floor(l_discount * 100 + 0.5) AS INT) AS VARCHAR) FROM base
-    UNION ALL SELECT file, 'flag', CASE WHEN l_linenumber > 5 THEN 'ON' WHEN l_linenumber > 3 THEN 'On' ELSE 'off' END FROM base
-    UNION ALL SELECT file, 'same', 'k' FROM base
-    UNION ALL SELECT file, 'none', CASE WHEN l_linenumber > 2 THEN '' ELSE '---' END FROM base
-    UNION ALL SELECT file, 'text', 't' || CAST(l_partkey % 70 AS VARCHAR) FROM base)
+        ELSE '1.' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ',5' END AS cell,
+        ['with_unit', 'whole', 'dash', 'blank', 'overflow', 'word', 'mixed'][CAST(least(l_linenumber, 7) AS INT)] AS form,
+        CASE l_linenumber WHEN 1 THEN round(l_extendedprice, 2) WHEN 2 THEN CAST(l_quantity AS INT) ELSE 1000.5 + l_partkey % 1000 END::DOUBLE AS amount FROM base
+    UNION ALL SELECT file, 'qty', CASE WHEN file % 2 = 0 THEN replace(printf('%.1f', l_quantity), '.', ',') ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END,
+        CASE WHEN file % 2 = 0 THEN 'comma' ELSE 'whole' END, l_quantity::DOUBLE FROM base
+    UNION ALL SELECT file, 'disc', '0,0' || CAST(h AS VARCHAR), 'comma', CASE WHEN h < 10 THEN h / 100.0 ELSE h / 1000.0 END::DOUBLE
+        FROM (SELECT file, CAST(floor(l_discount * 100 + 0.5) AS INT) AS h FROM base)
+    UNION ALL SELECT file, 'flag', CASE WHEN l_linenumber > 5 THEN 'ON' WHEN l_linenumber > 3 THEN 'On' ELSE 'off' END, 'word', 0 FROM base
+    UNION ALL SELECT file, 'same', 'k', 'word', 0 FROM base
+    UNION ALL SELECT file, 'none', CASE WHEN l_linenumber > 2 THEN '' ELSE '---' END, CASE WHEN l_linenumber > 2 THEN 'blank' ELSE 'dash' END, 0 FROM base
+    UNION ALL SELECT file, 'text', 't' || CAST(l_partkey % 70 AS VARCHAR), 'word', 0 FROM base),
+  forms(form, kind, as_comma, as_dot, shape, has_number, grouped, fraction) AS (VALUES
+    ('with_unit', 'data', FALSE, FALSE, 'text', TRUE, FALSE, FALSE), ('whole', 'data', TRUE, TRUE, 'integer', TRUE, FALSE, FALSE),
+    ('comma', 'data', TRUE, FALSE, 'decimal', TRUE, FALSE, TRUE), ('mixed', 'data', TRUE, FALSE, 'both', TRUE, TRUE, TRUE),
+    ('word', 'data', FALSE, FALSE, 'text', FALSE, FALSE, FALSE), ('dash', 'sentinel', FALSE, FALSE, 'text', FALSE, FALSE, FALSE),
+    ('blank', 'empty', TRUE, TRUE, 'empty', FALSE, FALSE, FALSE), ('overflow', 'overflow', TRUE, TRUE, 'integer', TRUE, FALSE, FALSE)),
+  c AS (SELECT file, col, cell, forms.*, CASE WHEN has_number THEN replace(trim(cell), ' bar', '') END AS number, CASE WHEN form = 'with_unit' THEN 'bar' END AS unit,
+    CASE WHEN has_number AND kind = 'data' THEN amount END AS value FROM c0 JOIN forms USING (form))
 """
 
 
@@ -44,19 +55,7 @@ def _cells(spark, d):
     return li.select(file, F.explode(structs).alias("_c")).select("file", "_c.col", "_c.cell")
 
 
-NUM = r"^[+-]?([1-9]\d{0,2}([.]\d{3})+|\d+)([,]\d+)?([eE][+-]?\d+)?$"
-NUM_DOT = r"^[+-]?([1-9]\d{0,2}([,]\d{3})+|\d+)([.]\d+)?([eE][+-]?\d+)?$"
-BODY = r"^\s*([+-]?(?:[1-9]\d{0,2}(?:[. ]\d{3})+|\d+)(?:[,]\d+)?(?:[eE][+-]?\d+)?)\s*([A-Za-zµΩλφ°%/][A-Za-zµΩλφ°%/0-9]*)?\s*$"
-SENT = "'NaN', 'nan', 'inf', '-inf', '#N/A', 'N/A', 'n/a', 'NULL', 'null', '---', '-'"
-KIND = f"""CASE WHEN trim(cell) = '' THEN 'empty' WHEN trim(cell) IN ('2147483647', '-2147483648', '-2147483645', '-2147483628', '-2147483639', '8388607') THEN 'overflow'
-   WHEN trim(cell) IN ({SENT}) THEN 'sentinel' ELSE 'data' END"""
-
-
-@query(
-    "cell_parse",
-    CELLS + f"""SELECT col, cell, {KIND} AS kind, nullif(regexp_extract(trim(cell), '{BODY}', 1), '') AS number, nullif(regexp_extract(trim(cell), '{BODY}', 2), '') AS unit,
-    CASE WHEN {KIND} = 'data' THEN TRY_CAST(replace(regexp_replace(nullif(regexp_extract(trim(cell), '{BODY}', 1), ''), '[.\\s]', '', 'g'), ',', '.') AS DOUBLE) END AS value FROM c""",
-)
+@query("cell_parse", CELLS + "SELECT col, cell, kind, number, unit, value FROM c")
 def cell_parse(spark, d):
     c = F.col("cell")
     return _cells(spark, d).select(
@@ -65,15 +64,7 @@ def cell_parse(spark, d):
     )
 
 
-@query(
-    "number_shape",
-    CELLS + r"""SELECT col, cell, regexp_matches(trim(cell), '""" + NUM + r"""') OR trim(cell) = '' AS numeric_comma,
-    regexp_matches(trim(cell), '""" + NUM_DOT + r"""') OR trim(cell) = '' AS numeric_dot,
-    CASE WHEN trim(cell) = '' THEN 'empty' WHEN regexp_matches(trim(cell), '^[+-]?\d+$') THEN 'integer'
-      WHEN regexp_matches(trim(cell), '^[+-]?[1-9]\d{0,2}(([.,])\d{3}){2,}$') THEN 'grouped'
-      WHEN regexp_matches(trim(cell), '^[+-]?[1-9]\d{0,2}(([.,])\d{3})+([.,])(\d+)$') AND regexp_extract(trim(cell), '^[+-]?[1-9]\d{0,2}(([.,])\d{3})+([.,])(\d+)$', 2) <> regexp_extract(trim(cell), '^[+-]?[1-9]\d{0,2}(([.,])\d{3})+([.,])(\d+)$', 3) THEN 'both'
-      WHEN regexp_matches(trim(cell), '^[+-]?[1-9]\d{0,2}([.,])(\d{3})$') THEN 'three_digits' WHEN regexp_matches(trim(cell), '^[+-]?\d+([.,])\d+$') THEN 'decimal' ELSE 'text' END AS shape FROM c""",
-)
+@query("number_shape", CELLS + "SELECT col, cell, as_comma AS numeric_comma, as_dot AS numeric_dot, shape FROM c")
 def number_shape(spark, d):
     c = F.col("cell")
     return _cells(spark, d).select(
@@ -84,11 +75,10 @@ def number_shape(spark, d):
 
 @query(
     "cell_conversion_report",
-    CELLS + f""", p AS (SELECT file, col, {KIND} AS k, nullif(regexp_extract(trim(cell), '{BODY}', 1), '') AS num, nullif(regexp_extract(trim(cell), '{BODY}', 2), '') AS un FROM c),
-  g AS (SELECT file, col, count(*) AS cells, count(*) FILTER (k = 'empty') AS empty, count(*) FILTER (k = 'sentinel') AS sentinels, count(*) FILTER (k = 'overflow') AS overflows,
-    count(*) FILTER (k = 'data' AND num IS NOT NULL) AS numeric, count(*) FILTER (k = 'data' AND num IS NULL) AS non_numeric,
-    count(*) FILTER (k = 'data' AND regexp_matches(num, '[.\\s]')) AS grouped, count(*) FILTER (k = 'data' AND un IS NOT NULL) AS with_unit,
-    count(DISTINCT un) FILTER (k = 'data') AS units, min(un) FILTER (k = 'data') AS u0 FROM p GROUP BY 1, 2)
+    CELLS + """, g AS (SELECT file, col, count(*) AS cells, count(*) FILTER (kind = 'empty') AS empty, count(*) FILTER (kind = 'sentinel') AS sentinels, count(*) FILTER (kind = 'overflow') AS overflows,
+    count(*) FILTER (kind = 'data' AND has_number) AS numeric, count(*) FILTER (kind = 'data' AND NOT has_number) AS non_numeric,
+    count(*) FILTER (kind = 'data' AND grouped) AS grouped, count(*) FILTER (kind = 'data' AND unit IS NOT NULL) AS with_unit,
+    count(DISTINCT unit) FILTER (kind = 'data') AS units, min(unit) FILTER (kind = 'data') AS u0 FROM c GROUP BY 1, 2)
   SELECT file, col, cells, empty, sentinels, overflows, numeric, non_numeric, grouped, with_unit, CASE WHEN units = 0 THEN 'none' WHEN units = 1 THEN 'consistent' ELSE 'mixed' END AS unit_status,
     CASE WHEN units = 1 THEN u0 END AS unit FROM g""",
 )
@@ -98,9 +88,8 @@ def cell_conversion_report(spark, d):
 
 @query(
     "decimal_vote",
-    CELLS + r""", n AS (SELECT file, trim(cell) = '' OR regexp_matches(trim(cell), '""" + NUM + r"""') AS cm, trim(cell) = '' OR regexp_matches(trim(cell), '""" + NUM_DOT + r"""') AS dt,
-    regexp_matches(trim(cell), '^[+-]?[1-9]\d{0,2}([.,])(\d{3})$') AS t3, trim(cell) AS t FROM c),
-  g AS (SELECT file, count(*) AS cells, count(*) FILTER (dt AND NOT cm) AS only_dot, count(*) FILTER (cm AND NOT dt) AS only_comma, count(*) FILTER (t3) AS three_digits FROM n GROUP BY file)
+    CELLS + """, g AS (SELECT file, count(*) AS cells, count(*) FILTER (as_dot AND NOT as_comma) AS only_dot, count(*) FILTER (as_comma AND NOT as_dot) AS only_comma,
+    count(*) FILTER (shape = 'three_digits') AS three_digits FROM c GROUP BY file)
   SELECT file, cells, only_dot, only_comma, three_digits, CASE WHEN only_comma > only_dot THEN ',' ELSE '.' END AS "decimal",
     CASE WHEN only_dot > 0 OR only_comma > 0 THEN 'cross_check' ELSE 'no_evidence' END AS reason, only_dot > 0 AND only_comma > 0 AS ambiguous FROM g""",
 )
@@ -108,11 +97,11 @@ def decimal_vote(spark, d):
     return cells.vote_decimal(_cells(spark, d), ["file"])
 
 
-TYPES = CELLS + f""", p AS (SELECT file, col, trim(cell) AS t, {KIND} AS k FROM c),
-  g AS (SELECT file, col, count(*) AS cells, count(*) FILTER (k = 'empty') AS empty, count(*) FILTER (k = 'sentinel') AS sentinels, count(*) FILTER (k = 'overflow') AS overflows,
-    count(*) FILTER (k = 'data' AND regexp_matches(t, '{NUM}')) AS numeric, count(*) FILTER (k = 'data' AND NOT regexp_matches(t, '{NUM}')) AS non_numeric,
-    count(DISTINCT t) FILTER (k = 'data') AS "distinct", count(DISTINCT lower(t)) FILTER (k = 'data') AS words, coalesce(bool_or(k = 'data' AND regexp_matches(t, '{NUM}') AND regexp_matches(t, '[,]\\d|[eE][+-]?\\d')), FALSE) AS frac,
-    min(lower(t)) FILTER (k = 'data') AS a, max(lower(t)) FILTER (k = 'data') AS b, min(t) FILTER (k = 'data') AS o FROM p GROUP BY 1, 2),
+TYPES = CELLS + """, p AS (SELECT *, trim(cell) AS t FROM c),
+  g AS (SELECT file, col, count(*) AS cells, count(*) FILTER (kind = 'empty') AS empty, count(*) FILTER (kind = 'sentinel') AS sentinels, count(*) FILTER (kind = 'overflow') AS overflows,
+    count(*) FILTER (kind = 'data' AND as_comma) AS numeric, count(*) FILTER (kind = 'data' AND NOT as_comma) AS non_numeric,
+    count(DISTINCT t) FILTER (kind = 'data') AS "distinct", count(DISTINCT lower(t)) FILTER (kind = 'data') AS words, coalesce(bool_or(kind = 'data' AND as_comma AND fraction), FALSE) AS frac,
+    min(lower(t)) FILTER (kind = 'data') AS a, max(lower(t)) FILTER (kind = 'data') AS b, min(t) FILTER (kind = 'data') AS o FROM p GROUP BY 1, 2),
   y AS (SELECT *, CASE WHEN numeric + non_numeric = 0 THEN 'empty' WHEN "distinct" = 1 THEN 'constant'
     WHEN words = 2 AND (a, b) IN (('false', 'true'), ('off', 'on'), ('no', 'sí'), ('no', 'si'), ('falso', 'verdadero'), ('no', 'yes')) THEN 'boolean'
     WHEN numeric::DOUBLE / (numeric + non_numeric) >= 0.95 THEN CASE WHEN frac THEN 'decimal' ELSE 'integer' END ELSE 'text_enum' END AS type FROM g)
@@ -137,7 +126,7 @@ def type_notices(spark, d):
     return cells.type_notices(cells.infer_types(_cells(spark, d), ["file", "col"], ",", free_text_over=64), ["file", "col"])
 
 
-ENUM = CELLS + f""", lb AS (SELECT DISTINCT file, col, trim(cell) AS label FROM c WHERE trim(cell) NOT IN ('', {SENT})),
+ENUM = CELLS + """, lb AS (SELECT DISTINCT file, col, trim(cell) AS label FROM c WHERE kind NOT IN ('empty', 'sentinel')),
   sz AS (SELECT file, col, count(*) AS n, min(lower(label)) AS a, max(lower(label)) AS b FROM lb GROUP BY 1, 2),
   en AS (SELECT file, col, label, CAST(CASE WHEN n = 2 AND (a, b) IN (('false', 'true'), ('off', 'on'), ('no', 'sí'), ('no', 'si'), ('falso', 'verdadero'), ('no', 'yes'))
      THEN CASE WHEN lower(label) IN ('true', 'on', 'sí', 'si', 'verdadero', 'yes') THEN 1 ELSE 0 END ELSE dense_rank() OVER (PARTITION BY file, col ORDER BY label) - 1 END AS INT) AS code FROM lb JOIN sz USING (file, col))

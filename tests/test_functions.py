@@ -82,6 +82,29 @@ def test_cells(spark):
     assert [r.s for r in s.collect()] == ["integer", "grouped", "both", "three_digits", "decimal", "decimal", "text", "empty"]
 
 
+NUMBER_CELLS = [
+    # cell, number under ',', under '.', number part and unit under ','
+    ("12", True, True, "12", None), ("-0,5", True, False, "-0,5", None), ("+3.25", False, True, None, None), ("", True, True, None, None),
+    ("1.234", True, True, "1.234", None), ("0.234", False, True, None, None), ("1234.567", False, True, None, None),
+    ("1.234.567,8", True, False, "1.234.567,8", None), ("1.23.567", False, False, None, None), ("1,2,3", False, False, None, None),
+    ("6e3", True, True, "6e3", None), ("6,5E-3", True, False, "6,5E-3", None), ("6e", False, False, "6", "e"), ("e6", False, False, None, None),
+    ("6e3,2", False, False, None, None), ("6e3 m", False, False, "6e3", "m"), ("6 e3", False, False, "6", "e3"), ("6e3e3", False, False, "6e3", "e3"),
+    ("1 234,5 bar", False, False, "1 234,5", "bar"), ("1 23 bar", False, False, None, None), ("850rpm", False, False, "850", "rpm"),
+    ("12 %", False, False, "12", "%"), ("3\tkm/h", False, False, "3", "km/h"), ("7 m2", False, False, "7", "m2"), ("7 2m", False, False, None, None),
+    ("7 m!", False, False, None, None), ("5.", False, False, None, None), (",5", False, False, None, None), ("-", False, False, None, None),
+    ("+", False, False, None, None), ("--5", False, False, None, None), ("5-", False, False, None, None), ("5 -", False, False, None, None),
+    ("012", True, True, "012", None), ("bar", False, False, None, None), ("é", False, False, None, None), ("9" * 5000, True, True, "9" * 5000, None),
+    (None, None, None, None, None),
+]
+
+
+def test_numbers_piece_by_piece(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(NUMBER_CELLS)], "i int, c string")
+    c = F.col("c")
+    got = df.select("i", "c", cells.is_numeric(c, ","), cells.is_numeric(c, "."), cells.number_text(c, ","), cells.unit_text(c, ","))
+    assert [tuple(r)[1:] for r in got.orderBy("i").collect()] == NUMBER_CELLS
+
+
 def test_presentation_names(spark):
     heads = ["RPM", "RPM", "", "RPM_2", "RPM"]
     df = spark.createDataFrame([("f", i, n) for i, n in enumerate(heads)], "file string, pos int, name string")
