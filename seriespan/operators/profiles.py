@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import with_each
+from .lookup import measured
 
 # Fixed value: confidence levels, best first.
 CONFIDENCE = ["exact", "indexed", "fuzzy", "manual"]
@@ -97,41 +98,89 @@ def best_suggestion(suggestions: DataFrame, minimum: float = 0.5) -> DataFrame:
     return suggestions.filter((F.col("place") == 1) & (F.col("share") >= minimum))
 
 
+def _meetings(current: DataFrame, saved: DataFrame, by: list[str]) -> DataFrame:
+    """Per file and profile that share a column key: rows that match, and the rows of either side among them.
+
+    An index from key to profiles meets the files' keys (``by``: the key and whatever must be equal too), so
+    work and output follow the hits; keys are counted first, so repeated columns do not multiply. The index
+    goes to every task where it is measured to be small.
+    """
+    here = current.groupBy("file", *by).agg(F.count(F.lit(1)).alias("_here"))
+    index = measured(saved.groupBy("profile", *by).agg(F.count(F.lit(1)).alias("_there")))
+    return here.join(index, by).groupBy("file", "profile").agg(
+        F.sum(F.col("_here") * F.col("_there")).alias("matched"), F.sum("_here").alias("_met"), F.sum("_there").alias("_used")
+    )
+
+
+def _counted(pairs: DataFrame, met: DataFrame, current: DataFrame, saved: DataFrame, how: str) -> DataFrame:
+    """Pairs with their matched, new and lost columns; all three NULL where neither side has a column."""
+    wide = current.groupBy("file").agg(F.count(F.lit(1)).alias("_wide"))
+    kept = saved.groupBy("profile").agg(F.count(F.lit(1)).alias("_kept"))
+    out = pairs.join(met, ["file", "profile"], how).join(wide, "file", "left").join(kept, "profile", "left")
+    none = F.col("_wide").isNull() & F.col("_kept").isNull()
+
+    def left_over(of: str, used: str) -> Column:
+        return F.when(~none, F.coalesce(of, F.lit(0)) - F.coalesce(used, F.lit(0)))
+
+    out = out.withColumns({"new": left_over("_wide", "_met"), "lost": left_over("_kept", "_used")})
+    return out.withColumn("matched", F.when(~none, F.coalesce("matched", F.lit(0)))).drop("_wide", "_kept", "_met", "_used")
+
+
+def _columns(outcome: DataFrame, current: DataFrame, saved: DataFrame) -> DataFrame:
+    """The current columns of each pair with the decision that holds for them."""
+    old = measured(
+        saved.select(F.col("profile").alias("_p"), F.col("key").alias("_k"), F.col("decision").alias("_saved"), "origin")
+    )
+    cur = current.select("file", "key", "name", "decision").join(outcome.select("file", "profile", "outcome"), "file")
+    met = cur.join(old, (F.col("profile") == F.col("_p")) & (F.col("key") == F.col("_k")), "left")
+    return met.select(
+        "file", "profile", "key", "name", F.when(F.col("_p").isNull(), "new").otherwise("matched").alias("state"),
+        F.when((F.col("outcome") != "none") & (F.col("origin") == "confirmed"), F.col("_saved"))
+        .otherwise(F.col("decision")).alias("decision"),
+    )
+
+
+def _same_layout() -> Column:
+    return (F.col("fingerprint") == F.col("_f")) & (F.col("new") == 0) & (F.col("lost") == 0)
+
+
+OUTCOME = ["file", "profile", "outcome", "matched", "new", "lost"]
+
+
 def reapply_import(saved: DataFrame, current: DataFrame, files: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Re-apply saved import decisions to new files: ``(columns, outcome)``.
+    """Re-apply saved import decisions to new files: ``(columns, outcome)`` of every file with every profile.
 
     ``saved(profile, key, name, decision, origin)``, ``current(file, key, name,
     decision)``, ``files(file, delimiter, encoding, fingerprint)``, ``profile(profile,
     delimiter, encoding, fingerprint)``. Per current column a confirmed saved decision
-    wins, a guessed one is refreshed; columns are matched on the normalised name.
+    wins, a guessed one is refreshed; columns are matched on the normalised name, and a
+    column without a key matches none.
     """
     p = profile.select(
         "profile", F.col("delimiter").alias("_d"), F.col("encoding").alias("_e"), F.col("fingerprint").alias("_f")
     )
-    pairs = with_each(files, p)
-    cur = pairs.join(current, "file").select("file", "profile", "key", F.col("name").alias("_cn"), F.col("decision").alias("_cd"))
-    old = pairs.select("file", "profile").join(
-        saved.select("profile", "key", F.col("name").alias("_sn"), F.col("decision").alias("_sd"), "origin"), "profile"
-    )
-    full = cur.join(old, ["file", "profile", "key"], "full_outer")
-    state = F.when(F.col("_sn").isNull(), "new").when(F.col("_cn").isNull(), "lost").otherwise("matched")
-    full = full.withColumn("state", state)
-    counts = full.groupBy("file", "profile").agg(
-        *[F.count_if(F.col("state") == s).alias(s) for s in ("matched", "new", "lost")]
+    counted = _counted(with_each(files, p), _meetings(current, saved, ["key"]), current, saved, "left")
+    usable = (
+        (F.col("delimiter") == F.col("_d")) & (F.col("encoding") == F.col("_e")) & (F.coalesce("matched", F.lit(0)) > 0)
     )
-    outcome = pairs.join(counts, ["file", "profile"], "left")
-    usable = (F.col("delimiter") == F.col("_d")) & (F.col("encoding") == F.col("_e")) & (F.coalesce("matched", F.lit(0)) > 0)
-    same = (F.col("fingerprint") == F.col("_f")) & (F.col("new") == 0) & (F.col("lost") == 0)
-    outcome = outcome.withColumn(
-        "outcome", F.when(~F.coalesce(usable, F.lit(False)), "none").when(same, "total").otherwise("partial")
-    ).select("file", "profile", "outcome", "matched", "new", "lost")
-    columns = (
-        full.join(outcome.select("file", "profile", "outcome"), ["file", "profile"])
-        .filter(F.col("state") != "lost")
-        .select(
-            "file", "profile", "key", F.col("_cn").alias("name"), "state",
-            F.when((F.col("outcome") != "none") & (F.col("origin") == "confirmed"), F.col("_sd"))
-            .otherwise(F.col("_cd")).alias("decision"),
-        )
-    )
-    return columns, outcome
+    outcome = counted.withColumn(
+        "outcome", F.when(~F.coalesce(usable, F.lit(False)), "none").when(_same_layout(), "total").otherwise("partial")
+    ).select(*OUTCOME)
+    return _columns(outcome, current, saved), outcome
+
+
+def find_imports(saved: DataFrame, current: DataFrame, files: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``reapply_import`` whose outcome is not ``none``, for any number of files and profiles.
+
+    Files meet only profiles of the same delimiter and encoding that share a column key with them, so no
+    pair without a hit is ever made.
+    """
+    by = ["key", "delimiter", "encoding"]
+    here = current.join(files.select("file", "delimiter", "encoding"), "file")
+    there = saved.join(profile.select("profile", "delimiter", "encoding"), "profile")
+    met = _meetings(here, there, by)
+    pairs = met.select("file", "profile").join(files.select("file", "fingerprint"), "file")
+    pairs = pairs.join(profile.select("profile", F.col("fingerprint").alias("_f")), "profile")
+    counted = _counted(pairs, met, current, saved, "inner")
+    outcome = counted.withColumn("outcome", F.when(_same_layout(), "total").otherwise("partial")).select(*OUTCOME)
+    return _columns(outcome, current, saved), outcome

@@ -427,7 +427,7 @@ IMPORT = """WITH cur AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS file, lower(r
 """
 
 
-def _imports(spark, d):
+def _imports(spark, d, apply=profiles.reapply_import):
     o = table(spark, d, "orders")
     cur = o.groupBy(
         (F.col("o_custkey") % 40).cast("string").alias("file"),
@@ -446,7 +446,7 @@ def _imports(spark, d):
          ("A", "9gone", "9-GONE", "keep", "confirmed"), ("B", "5low", "5-LOW", "drop", "confirmed")],
         "profile string, key string, name string, decision string, origin string",
     )
-    return profiles.reapply_import(saved, cur, files, profile)
+    return apply(saved, cur, files, profile)
 
 
 @query("import_reapply_outcome", IMPORT + "SELECT file, profile, outcome, matched, new_c, lost FROM oc")
@@ -454,10 +454,20 @@ def import_reapply_outcome(spark, d):
     return _imports(spark, d)[1].withColumnRenamed("new", "new_c")
 
 
-@query(
-    "import_reapply_columns",
-    IMPORT + """SELECT fu.file, fu.profile, fu.key, cn AS name, CASE WHEN sn IS NULL THEN 'new' ELSE 'matched' END AS state,
-    CASE WHEN outcome <> 'none' AND origin = 'confirmed' THEN sd ELSE cd END AS decision FROM fu JOIN oc USING (file, profile) WHERE cn IS NOT NULL""",
-)
+IMPORT_COLUMNS = IMPORT + """SELECT fu.file, fu.profile, fu.key, cn AS name, CASE WHEN sn IS NULL THEN 'new' ELSE 'matched' END AS state,
+    CASE WHEN outcome <> 'none' AND origin = 'confirmed' THEN sd ELSE cd END AS decision FROM fu JOIN oc USING (file, profile) WHERE cn IS NOT NULL"""
+
+
+@query("import_reapply_columns", IMPORT_COLUMNS)
 def import_reapply_columns(spark, d):
     return _imports(spark, d)[0]
+
+
+@query("import_found_outcome", IMPORT + "SELECT file, profile, outcome, matched, new_c, lost FROM oc WHERE outcome <> 'none'")
+def import_found_outcome(spark, d):
+    return _imports(spark, d, profiles.find_imports)[1].withColumnRenamed("new", "new_c")
+
+
+@query("import_found_columns", IMPORT_COLUMNS + " AND outcome <> 'none'")
+def import_found_columns(spark, d):
+    return _imports(spark, d, profiles.find_imports)[0]

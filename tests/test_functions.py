@@ -370,3 +370,42 @@ def test_manual_pairs_one_after_the_other(spark):
         assert layer == {(p, *g) for p, gs in members.items() for g in gs}
         assert {tuple(x) for x in identity.manual_notices(ch, man).collect()} == notices
     assert identity.manual_notices(ch, man.limit(0)).count() == 0
+
+
+def test_imports_meet_only_where_a_column_is_shared(spark):
+    from seriespan.operators import profiles
+
+    files = [("f1", ",", "u", "p"), ("f2", ",", "u", "x"), ("f3", ";", "u", "p"), ("f4", ",", "u", "p"), ("f5", None, "u", "p")]
+    current = [
+        ("f1", "a", "A", "c1"), ("f1", "b", "B", "c2"), ("f2", "a", "A", "c3"), ("f2", "a", "A2", "c4"), ("f2", "z", "Z", "c5"),
+        ("f2", None, "?", "c6"), ("f3", "a", "A", "c7"), ("f5", "a", "A", "c8"),
+    ]
+    profile = [("P", ",", "u", "p"), ("Q", ",", "u", "q"), ("R", ",", "u", "p")]
+    saved = [
+        ("P", "a", "A", "s1", "confirmed"), ("P", "b", "B", "s2", "guessed"), ("Q", "a", "A", "s3", "confirmed"),
+        ("Q", "a", "A", "s4", "guessed"), ("Q", None, "?", "s5", "confirmed"),
+    ]
+    frames = (
+        spark.createDataFrame(saved, "profile string, key string, name string, decision string, origin string"),
+        spark.createDataFrame(current, "file string, key string, name string, decision string"),
+        spark.createDataFrame(files, "file string, delimiter string, encoding string, fingerprint string"),
+        spark.createDataFrame(profile, "profile string, delimiter string, encoding string, fingerprint string"),
+    )
+    columns, outcome = (x.collect() for x in profiles.reapply_import(*frames))
+    assert len(outcome) == len(files) * len(profile)
+    by_pair = {(r.file, r.profile): tuple(r)[2:] for r in outcome}
+    assert by_pair["f1", "P"] == ("total", 2, 0, 0) and by_pair["f2", "P"] == ("partial", 2, 2, 1)
+    assert by_pair["f2", "Q"] == ("partial", 4, 2, 1) and by_pair["f3", "P"] == ("none", 1, 0, 1)
+    assert by_pair["f4", "P"] == ("none", 0, 0, 2) and by_pair["f4", "R"] == ("none", None, None, None)
+    assert by_pair["f5", "P"][0] == "none"
+    decided = {(r.file, r.profile, r.key, r.name): (r.state, r.decision) for r in columns if r.profile == "P"}
+    assert decided["f1", "P", "a", "A"] == ("matched", "s1") and decided["f1", "P", "b", "B"] == ("matched", "c2")
+    assert decided["f2", "P", None, "?"] == ("new", "c6") and decided["f3", "P", "a", "A"] == ("matched", "c7")
+    some_columns, some = (x.collect() for x in profiles.find_imports(*frames))
+    wanted = {(r.file, r.profile) for r in outcome if r.outcome != "none"}
+    assert wanted == {("f1", "P"), ("f1", "Q"), ("f2", "P"), ("f2", "Q")}
+    order = lambda rows: sorted(map(repr, rows))
+    assert order(some) == order(r for r in outcome if r.outcome != "none")
+    assert order(some_columns) == order(r for r in columns if (r.file, r.profile) in wanted)
+    nothing = [f.limit(0) for f in frames]
+    assert all(x.isEmpty() for x in (*profiles.reapply_import(*nothing), *profiles.find_imports(*nothing)))
