@@ -20,3 +20,12 @@ def test_attach_with_hot_and_null_keys(spark, monkeypatch):
         want.setdefault(r["k"], r["id"])
     assert len(got) == 500
     assert all(r["least"] == (None if r["k"] is None else want[r["k"]]) for r in got)
+
+
+def test_attach_apart_shuffles_no_served_row(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_ROWS", 50)
+    rows = spark.range(500).selectExpr("id", "CASE WHEN id < 300 THEN 'hot' WHEN id < 320 THEN NULL ELSE cast(id % 40 AS string) END AS k")
+    groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    whole = lookup.attach(rows, groups, "k", count="n", total=500, spread=F.col("id")).collect()
+    got = lookup.attach_apart(rows, groups, "k", count="n", total=500).collect()
+    assert sorted(got, key=lambda r: r["id"]) == sorted(whole, key=lambda r: r["id"]) and len(got) == 500

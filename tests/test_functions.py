@@ -409,3 +409,22 @@ def test_imports_meet_only_where_a_column_is_shared(spark):
     assert order(some_columns) == order(r for r in columns if (r.file, r.profile) in wanted)
     nothing = [f.limit(0) for f in frames]
     assert all(x.isEmpty() for x in (*profiles.reapply_import(*nothing), *profiles.find_imports(*nothing)))
+
+
+def test_a_row_s_own_decimal_sign_is_read_by_one_expression(spark):
+    df = spark.createDataFrame([(t, d) for t in [r[0] for r in NUMBER_CELLS] for d in (".", ",")], "c string, d string")
+    c, d = F.col("c"), F.col("d")
+    own = F.when(d == ",", cells.cell_value(c, ",")).otherwise(cells.cell_value(c, "."))
+    got = df.select(own.alias("own"), cells.value_under(c, d).alias("v"), cells.is_numeric(cells.pointed(c, d), ".").alias("n"),
+                    F.when(d == ",", cells.is_numeric(c, ",")).otherwise(cells.is_numeric(c, ".")).alias("m")).collect()
+    assert all((r.own, r.m) == (r.v, r.n) for r in got)
+
+
+def test_votes_and_types_sort_only_what_they_must(spark):
+    """Aggregates of texts have all rows sorted; a vote keeps numbers and types are told in one pass for both signs."""
+    df = spark.createDataFrame([("a", 0, "1,5", ","), ("a", 0, "2,5", ","), ("b", 0, "1.5", "."), ("b", 0, "1.5", ".")], "file string, col int, cell string, d string")
+    vote = cells.vote_decimal(df, ["file"], delimiter=F.lit(";"))
+    assert "SortAggregate" not in vote._jdf.queryExecution().executedPlan().toString()
+    assert {(r.file, r.decimal) for r in vote.collect()} == {("a", ","), ("b", ".")}
+    types = cells.infer_types(df, ["file", "col"], F.col("d"))
+    assert {(r.file, r.type, r.constant_value) for r in types.collect()} == {("a", "decimal", None), ("b", "constant", "1.5")}
