@@ -305,3 +305,51 @@ def test_broken_files_have_a_status_in_every_plan(spark, broken_dir, tmp_path):
     rows = scan_folder(spark, broken_dir + "/native", spark.createDataFrame([], schema), summary, parser_version="1", format_version="1").collect()
     got = {r.path.rsplit("/", 1)[1]: (r.status, r.n is not None) for r in rows}
     assert got == {"whole [1].csv.gz": ("ok", True), "cut{2}.csv.gz": ("unreadable", False), "none.csv.gz": ("unreadable", False)}
+
+
+def _probe_of(spark, texts):
+    rows = [(name, i, t) for name, lines in texts.items() for i, t in enumerate(lines)]
+    return cp.Probe(spark.createDataFrame(rows, "file string, line bigint, text string"))
+
+
+def test_data_that_begins_late_is_found(spark):
+    """The first lines are looked at first; files without data there are searched to their end."""
+    n = cp.HEAD_LINES + 30
+    rows = [f"{i};{i * 2}" for i in range(5)]
+    p = _probe_of(spark, {"late": ["word;text"] * n + rows, "early": ["a;b", *rows], "never": ["word;text"] * n})
+    got = {r.file: (r.data_start, r.columns) for r in p.structure.collect()}
+    assert got == {"late": (n, 2), "early": (1, 2)}
+
+
+def test_only_columns_that_can_be_an_axis_are_scanned_in_order(spark):
+    n = 40
+    texts = ["T;Up;Same;Noise;Day"] + [f"{(i * 7) % 11}.5;{i // 2};7;{(i * 5) % 13};2026-07-29" for i in range(n)]
+    p = _probe_of(spark, {"f": texts, "flat": ["A;B"] + ["7;8"] * 5, "one": ["A;B", "1;2"]})
+    rows = cp.data_rows(p.cells, p.structure).join(p.decimals.select("file", "decimal"), "file")
+    got = {(r.file, r.col): (r["class"], r.step_s, r.first_text) for r in cp.time_classes(rows, ["file", "col"], F.col("decimal")).collect()}
+    assert got[("f", 0)][0] is None and got[("f", 3)][0] is None
+    assert got[("f", 1)][:2] == ("relative", 1.0) and got[("f", 2)][:2] == ("relative", None)
+    assert got[("f", 4)] == (None, None, "2026-07-29")
+    assert got[("flat", 0)][:2] == ("relative", None) and got[("one", 1)][:2] == ("relative", None)
+
+
+def test_runs_of_equal_counts_are_joined_over_lines_left_out(spark):
+    """Only lines that count otherwise than the line before are kept; runs of each try are as over all lines."""
+    texts = ["a,b;c", "1,2;3", "1,2;3", '"1,5";2', "3;4", "1,2;3", "1,2;3", "1,2;3"]
+    p = _probe_of(spark, {"f": texts})
+    got = {(r.delimiter, r.quote): (r.run, r.start, r.fields) for r in cp.delimiter_scores(p.sample).collect()}
+    assert got[(";", None)] == (8, 0, 2) and got[(";", '"')] == (8, 0, 2)
+    assert got[(",", None)] == (4, 0, 2) and got[(",", '"')] == (3, 0, 2)
+    assert got[("\t", None)] == (8, 0, 1) and ("|", "'") not in got
+
+
+def test_series_of_a_file_whose_first_rows_have_no_instant(spark):
+    n = cp.HEAD_LINES + 10
+    block = spark.createDataFrame(
+        [("late", i, 2, 2, ["x" if i < n else str(i), "5"]) for i in range(n + 3)] + [("plain", i, 2, 2, [str(i), "5"]) for i in range(3)],
+        "file string, seq bigint, fields int, columns int, cells array<string>",
+    )
+    time = spark.createDataFrame([(f, "relative", 0, None, 1.0, None) for f in ("late", "plain")], "file string, class string, col int, date_col int, factor double, hz double")
+    decimal = spark.createDataFrame([("late", "."), ("plain", ".")], "file string, decimal string")
+    got = {(r.log_id, r.seq): (r.t_ms, r.v) for r in cr.read_series(block, time, decimal).collect()}
+    assert got == {("late", n): (0, 5.0), ("late", n + 1): (1000, 5.0), ("late", n + 2): (2000, 5.0), ("plain", 0): (0, 5.0), ("plain", 1): (1000, 5.0), ("plain", 2): (2000, 5.0)}
