@@ -88,6 +88,9 @@ def test_files_of_one_size_share_an_entry_of_the_disk(tmp_path, monkeypatch):
             holes.write(f"file:{p}", i % 2 + 5 * again)
     assert [p.stat().st_size for p in paths] == [i % 2 + 5 for i in range(20)]
     assert len({p.stat().st_ino for p in paths}) <= 6
+    for name, size in (("a", 7), ("a", 3), ("b", 7), ("c", 3)):  # a name written twice
+        holes.write(f"file:{tmp_path}/{name}", size)
+    assert [(tmp_path / n).stat().st_size for n in "abc"] == [3, 7, 3]
 
 
 def test_values_and_votes_of_usual_and_odd_cells(spark):
