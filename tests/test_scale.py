@@ -106,3 +106,65 @@ def test_values_and_votes_of_usual_and_odd_cells(spark):
     )
     got = c.vote_decimal(cells.where("decimal = '.'"), ["cell"]).select("cell", "only_dot", "only_comma", "three_digits")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_texts_are_written_by_stretches(spark, tmp_path):
+    """Files in several encodings, with one kind of line end or two, plain and packed."""
+    import gzip
+
+    from seriespan.registry import files
+
+    kinds = [("a", "utf-16-le", "\n", None), ("b", "utf-8-sig", "\r", "gzip"), ("c", "utf-32-be", "\r\n", None), ("d", "utf-8", None, None)]
+    rows = [(n, i, f"é{i};1", codec, end or "\n\r"[i % 2], how) for n, codec, end, how in kinds for i in range(50)]
+    texts = spark.createDataFrame(rows, "name string, line long, text string, codec string, end string, damage string")
+    batch = texts.where("name <> 'd'").coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    assert [(name, codec, damage) for name, codec, damage, _ in files._pieces(batch)] == [(n, codec, how) for n, codec, _, how in kinds[:3]]
+    files.write_texts(texts, f"file:{tmp_path}")
+    for n, codec, _, how in kinds:
+        got = (tmp_path / n).read_bytes()
+        want = files.MARKS.get(codec, b"") + "".join(f"{r[2]}{r[4]}" for r in rows if r[0] == n).encode(codec.removesuffix("-sig"))
+        assert (gzip.decompress(got) if how else got) == want
+
+
+def test_types_are_told_without_sorting_values(spark, monkeypatch):
+    rows = [("f", 0, x) for x in ("Yes", "no", "", "YES")] + [("f", 1, x) for x in ("yes", "no", "maybe")] + [("f", 2, x) for x in ("7", " 7", "")]
+    rows += [("f", 3, x) for x in ("SÍ", "no")] + [("f", 4, x) for x in ("1", "2.5")] + [(None, 5, "k"), (None, 5, "k"), ("f", 6, ""), ("f", 7, "no"), ("f", 7, "1")]
+    df = spark.createDataFrame(rows, "file string, col int, cell string")
+    seen = _spy(monkeypatch, c)
+    got = {r.col: (r.file, r.type, r.constant_value, r.distinct) for r in c.infer_types(df, ["file", "col"], ".").collect()}
+    assert got == {
+        0: ("f", "boolean", None, 3), 1: ("f", "text_enum", None, 3), 2: ("f", "constant", "7", 1), 3: ("f", "boolean", None, 2),
+        4: ("f", "decimal", None, 2), 5: (None, "constant", "k", 1), 6: ("f", "empty", None, 0), 7: ("f", "text_enum", None, 2),
+    }
+    assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_known_of_a_file_meets_its_lines(spark):
+    """The data block's cells as before, with no join above the split of the lines."""
+    p = cp.Probe(_files(spark, 3, 20).unionByName(spark.createDataFrame([("/f/0", 30, "9,5;2,5"), ("/f/1", 31, "10;1;2;3;4")], "file string, line bigint, text string")))
+    old = cp.data_rows(p.cells, p.structure).join(p.decimals.select("file", "decimal"), "file")
+    names = ["file", "k", "col", "cell", "delimiter", "fields", "data_start", "columns", "decimal"]
+    rows = lambda df: sorted(map(repr, df.select(*names).collect()))
+    assert rows(p.data) == rows(old) and len(rows(p.data)) == 3 * 60 + 2 + 3
+    plan = p.data._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Generate") < plan.index("Join")
+    assert p.decoding is None
+
+
+def test_lines_behind_all_starts_are_left_before_any_join(spark):
+    lines = spark.range(10).select(F.lit("f").alias("file"), F.col("id").alias("k"))
+    found = spark.createDataFrame([("f", 2), ("g", 4)], "file string, data_start long")
+    assert cp.lines_until(lines, found).count() == 5
+    assert cp.lines_until(lines, found.limit(0)).count() == 0
+
+
+def test_status_reads_no_line_of_files_that_are_counted(spark, tmp_path):
+    def seen(batches):
+        for b in batches:
+            (tmp_path / os.urandom(8).hex()).write_bytes(b"")
+            yield b
+
+    lines = _files(spark, 2, 5).coalesce(1).mapInArrow(seen, "file string, line bigint, text string")
+    p = cp.Probe(lines, counted=spark.createDataFrame([("/f/0", 6), ("/f/1", 6)], "file string, lines bigint"))
+    assert sorted((r.file, r.status) for r in p.status.collect()) == [("/f/0", "ok"), ("/f/1", "ok")]
+    assert len(list(tmp_path.iterdir())) == 1
