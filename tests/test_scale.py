@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from seriespan.functions import cells as c
 from seriespan.operators import ordered
 from seriespan.sources import csv_probe as cp, csv_read as cr, ranges, stores
+from seriespan.sources.lines import split_fields
 
 
 def _files(spark, n: int, rows: int):
@@ -168,3 +170,60 @@ def test_status_reads_no_line_of_files_that_are_counted(spark, tmp_path):
     p = cp.Probe(lines, counted=spark.createDataFrame([("/f/0", 6), ("/f/1", 6)], "file string, lines bigint"))
     assert sorted((r.file, r.status) for r in p.status.collect()) == [("/f/0", "ok"), ("/f/1", "ok")]
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_lines_are_cut_once(spark):
+    lines = spark.createDataFrame([("/f/a", 0, "T;Note;A;B")] + [("/f/a", i, f'{i}.5;"x;{i % 2}";{i};7') for i in range(1, 30)], "file string, line bigint, text string")
+    p = cp.Probe(lines)
+    block = cr.read_block(cr.data_lines(p.rows, p.sample, p.structure), p.dialects, p.encodings)
+    for df in (p.cells, p.data):
+        assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert block.where("seq = 1").first().cells == ["2.5", "x;0", "2", "7"]
+    other = p.dialects.withColumn("delimiter", F.lit(","))  # by other signs they are cut anew
+    assert cr.read_block(cr.data_lines(p.rows, p.sample, p.structure), other).where("seq = 1").first().cells == ['2.5;"x;0";2;7', None, None, None]
+
+
+def test_quoted_fields(spark):
+    cases = [
+        ('a;"b;c";d', '"', ["a", "b;c", "d"]), ('"a""b";"";c', '"', ['a"b', "", "c"]), ('"a\\";b";c', '"', ['a\\";b'.replace("\\", ""), "c"]),
+        ('a;"b;c', '"', ["a", '"b', "c"]), ('x"y;z"w;q', '"', ['x"y;z"w', "q"]), (' "a;b" ;c', '"', ["a;b", "c"]), ("'a\n;b';'", "'", ["a\n;b", "'"]),
+        ('a;";";b', '"', ["a", ";", "b"]), ("a;b", '"', ["a", "b"]), ('"";";"', '"', ["", ";"]), ("", '"', [""]),
+    ]
+    rows = spark.createDataFrame([(i, text, quote) for i, (text, quote, _) in enumerate(cases)], "i int, text string, quote string")
+    got = {r.i: r.f for r in rows.select("i", split_fields(F.col("text"), F.lit(";"), F.col("quote")).alias("f")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_labels_of_a_file_meet_its_lines(spark, monkeypatch):
+    rows = [(f, 0, "T;A;B;C;D;L;M") for f in ("/f/a", "/f/b")]
+    rows += [("/f/a", i, f"{i}.5;1;2;3;4;{'xyz'[i % 3]};{'on' if i % 2 else 'off'}") for i in range(1, 20)]
+    rows += [("/f/b", i, f"{i}.5;1;2;3;4;w{i};{'uv'[i % 2]}") for i in range(1, 20)]
+    lines = spark.createDataFrame(rows, "file string, line bigint, text string")
+
+    def read():
+        p = cp.Probe(lines)
+        block = cr.read_block(cr.data_lines(p.rows, p.sample, p.structure), p.dialects)
+        return sorted(map(tuple, cr.read_channels(block, p.time, p.decimals, p.types)[0].collect()))
+
+    looked_up = []
+    real = cr.to_codes
+    monkeypatch.setattr(cr, "to_codes", lambda cells, *more: looked_up.append({r.file for r in cells.select("file").distinct().collect()}) or real(cells, *more))
+    packed = read()
+    assert not looked_up and len(packed) == 228
+    monkeypatch.setattr(cr, "PACKED_LABELS", 10)
+    assert read() == packed and looked_up == [{"/f/b"}]
+
+
+def test_keys_are_counted_without_their_order(spark):
+    dear = spark.range(10).select((F.col("id") % 2).alias("log_id"), F.raise_error(F.lit("computed")).cast("bigint").alias("t_ms"), F.col("id").alias("seq"))
+    assert ordered.attach_splits(dear, ordered.LOG_TIME).columns == ["log_id", "t_ms", "seq"]
+
+
+def test_small_ranges_share_a_batch(tmp_path):
+    path = str(tmp_path / "a.csv")
+    stores.write_file(path, [b"".join(b"%d\n" % (i % 10) for i in range(100))])
+    blank = {"path": path, "file": "f", "plain": False, "bytes": 200, "quoting": None, "entry": 0}
+    parts = [{**blank, "start": 20 * i, "stop": 20 * i + 20 if i < 9 else None, "shift": 10 * i} for i in range(10)]
+    got = list(ranges._read(iter([pa.RecordBatch.from_pylist(parts)])))
+    assert len(got) == 1
+    assert got[0].to_pylist() == [{"file": "f", "bytes": 200, "line": i, "text": b"%d" % (i % 10)} for i in range(100)]
