@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from seriespan.functions import cells as c
 from seriespan.operators import ordered
-from seriespan.sources import csv_probe as cp, csv_read as cr, ranges, stores
+from seriespan.sources import csv_probe as cp, csv_read as cr, listing, ranges, stores
 from seriespan.sources.lines import split_fields
 
 
@@ -227,3 +228,35 @@ def test_small_ranges_share_a_batch(tmp_path):
     got = list(ranges._read(iter([pa.RecordBatch.from_pylist(parts)])))
     assert len(got) == 1
     assert got[0].to_pylist() == [{"file": "f", "bytes": 200, "line": i, "text": b"%d" % (i % 10)} for i in range(100)]
+
+
+def test_a_few_folders_are_listed_by_several_tasks(spark, tmp_path, monkeypatch):
+    for i in range(16):
+        stores.write_file(f"{tmp_path}/{i}/a.csv", [b"1\n"])
+    seen = _spy(monkeypatch, listing)
+    found = listing.tree(spark, str(tmp_path))
+    assert found.where("kind = 'file'").count() == 16
+    dealt = [df.rdd.getNumPartitions() for df in seen if {"root", "kind"} <= set(df.columns)]
+    assert max(dealt) == min(16, spark.sparkContext.defaultParallelism) > 1
+
+
+def test_only_links_are_resolved_and_a_folder_comes_in_pieces(tmp_path, monkeypatch):
+    for i in range(10):
+        stores.write_file(f"{tmp_path}/a/{i}", [b"x" * i])
+    (tmp_path / "a" / "link").symlink_to(tmp_path / "a" / "3")
+    (tmp_path / "a" / "broken").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "a" / "below").mkdir()
+    os.mkfifo(tmp_path / "a" / "pipe")
+    (tmp_path / "a" / ".hidden").write_text("")
+    folder = f"file:{os.path.realpath(tmp_path)}/a"
+    store, name = stores.locate(folder)
+    want = sorted((i.base_name, *stores._shown(i)) for i in store.get_file_info(pafs.FileSelector(name)) if not i.base_name.startswith("."))
+    assert sorted(stores.children(folder)) == want
+    asked, real = [], stores.resolved
+    monkeypatch.setattr(stores, "resolved", lambda path: asked.append(path) or real(path))
+    monkeypatch.setattr(listing, "PIECE", 4)
+    got = list(listing._expand(iter([pa.RecordBatch.from_pylist([{"root": "r", "path": folder}, {"root": "r", "path": f"{folder}/none"}])])))
+    assert [b.num_rows for b in got] == [4, 4, 4, 1, 1]
+    rows = {(r["path"].rsplit("/", 1)[1], r["kind"], r["size"]) for b in got for r in b.to_pylist()}
+    assert {(f"{i}", "file", i) for i in range(10)} | {("3", "file", 3), ("below", "folder", 0), ("pipe", "other", 0), ("none", "unreadable_folder", 0)} == rows
+    assert len(asked) == 3  # two folders and a link
