@@ -260,3 +260,25 @@ def test_only_links_are_resolved_and_a_folder_comes_in_pieces(tmp_path, monkeypa
     rows = {(r["path"].rsplit("/", 1)[1], r["kind"], r["size"]) for b in got for r in b.to_pylist()}
     assert {(f"{i}", "file", i) for i in range(10)} | {("3", "file", 3), ("below", "folder", 0), ("pipe", "other", 0), ("none", "unreadable_folder", 0)} == rows
     assert len(asked) == 3  # two folders and a link
+
+
+def test_columns_that_are_no_axis_are_not_read_to_their_end(spark, monkeypatch):
+    """Two axes that later lines rule out, a date behind text, and a file without any axis."""
+    monkeypatch.setattr(cp, "HEAD_LINES", 4)
+    row = {
+        "a": lambda i: f"{i if i < 30 else 0};{i}.5;{i % 3};1", "b": lambda i: f"{i % 2};x;2026-01-0{1 + i % 9};0{i % 10}:00:0{i % 10}",
+        "c": lambda i: f"{i % 3};{-i}.5;{i % 2};{7 - i}",
+    }
+    lines = spark.createDataFrame([(f, 0, "A;B;C;D") for f in row] + [(f, i, row[f](i)) for f in row for i in range(1, 40)], "file string, line bigint, text string")
+    read, real = [], cp.time_column
+    monkeypatch.setattr(cp, "time_column", lambda data, *more, **named: read.append(data) or real(data, *more, **named))
+    p = cp.Probe(lines)
+    got = sorted(map(repr, p.time.collect()))
+    assert got == sorted(map(repr, real(p.data, p.decimals, p.headers).collect()))
+    assert {(r.file, r["class"], r.col, r.date_col) for r in p.time.collect()} == {("a", "relative", 1, None), ("b", "date_and_clock", 3, 2), ("c", "absent", None, None)}
+    assert {(r.file, r.col) for r in read[0].select("file", "col").distinct().collect()} == {("a", 0), ("a", 1), ("a", 3), ("b", 2), ("b", 3)}
+
+
+def test_lines_are_counted_without_their_text(spark):
+    dear = spark.range(20).select(F.concat(F.lit("f"), F.col("id") % 2).alias("file"), F.col("id").alias("line"), F.raise_error(F.lit("computed")).alias("text"))
+    assert cp.sample_lines(dear).columns == ["file", "line", "text", "k", "_new"]
